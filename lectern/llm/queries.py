@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, quality_rules, url_filters
+from . import bpe, chat_format, knn_quality, quality_rules, toxicity, url_filters
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, emit_ids=False)
@@ -36,6 +40,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *columns)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _glob_regex(glob: str) -> str:
     parts = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
     out, i = [], 0
@@ -89,7 +97,9 @@ def _chat_sql() -> str:
 QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_chat_format": op3_chat_format,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
 }
 ORACLES = {"op2_url_filters": _url_sql(), "op3_chat_format": _chat_sql()}
