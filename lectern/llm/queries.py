@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, knn_quality, quality_rules, toxicity, url_filters
+from . import bpe, chat_format, knn_quality, neardup, quality_rules, toxicity, url_filters
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def _glob_regex(glob: str) -> str:
     parts = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
     out, i = [], 0
@@ -101,5 +105,6 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
+    "op8_minhash_neardup": op8_minhash_neardup,
 }
 ORACLES = {"op2_url_filters": _url_sql(), "op3_chat_format": _chat_sql()}
