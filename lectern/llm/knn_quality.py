@@ -115,32 +115,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int, rank: int, se
     return {"directions": directions, "vectors": _unit(x @ directions), "y": y}
 
 
-def quality_scores(
+def with_scores(
     docs: DataFrame,
     labels: DataFrame,
     sample_per_class: int = 1500,
     rank: int = 48,
     neighbours: int = 15,
 ) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs.
+    """The rows of docs, all columns, with score (which replaces a column of that name).
 
-    score is the similarity-weighted share of good ones among the nearest labelled texts, from balanced classes;
-    predicted is 1 from 0.5 on. A text without words has no direction and gets the share of good ones in the sample;
-    so has every text if nothing is labelled (0.5 then). Ties in similarity go to the labelled text of lower id.
-    Repeated rows are scored each for itself; a null doc_id is not held out. Other columns are not read.
+    score is the similarity-weighted share of good ones among the nearest labelled texts, from balanced classes. A
+    text without words has no direction and gets the share of good ones in the sample; so has every text if nothing is
+    labelled (0.5 then). Ties in similarity go to the labelled text of lower id. Repeated rows are scored each for
+    itself. Columns other than doc_id and text are not looked at; an empty table gives no row.
     """
     model = fit(docs, labels, sample_per_class, rank)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m, vectors = shared.value, TextVectors()
         y = m["y"]
         prior = float(y.mean()) if len(y) else 0.5
         k = min(neighbours, len(y))
-        for batch in batches:
-            out = np.full(len(batch), prior)
-            for start in range(0, len(batch) if k else 0, 512):
-                block = batch["text"].iloc[start : start + 512]
+        for texts in batches:
+            out = np.full(len(texts), prior)
+            for start in range(0, len(texts) if k else 0, 512):
+                block = texts.iloc[start : start + 512]
                 z = _unit(np.stack([vectors.row(t) for t in block]) @ m["directions"])
                 cosine = z @ m["vectors"].T
                 near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
@@ -148,9 +148,16 @@ def quality_scores(
                 total = weight.sum(axis=1)
                 votes = (weight * y[near]).sum(axis=1)
                 out[start : start + len(block)] = np.where(total > 0, votes / np.where(total > 0, total, 1), prior)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.clip(out, 0.0, 1.0).astype(float)})
+            yield pd.Series(np.clip(out, 0.0, 1.0))
+
+    return docs.withColumn("score", F.pandas_udf(score, "double")("text"))
+
 
-    scored = docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double")
+def quality_scores(docs: DataFrame, labels: DataFrame, **options: int) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs; predicted is 1 from 0.5 on. A null doc_id is not held
+    out. The rest is as with_scores says."""
+    scored = with_scores(docs.select("doc_id", "text"), labels, **options)
+    # the score is computed once: both columns that use it are made above its projection
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

@@ -6,10 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, knn_quality, neardup, quality_rules, toxicity, url_filters
+from . import (
+    bpe,
+    chat_format,
+    decontamination,
+    knn_quality,
+    line_templates,
+    neardup,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+    url_filters,
+)
 from .common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.filter_urls(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -48,6 +63,16 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "start", "end", "n_words", "first_doc_id")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), "dropped", F.length("text").alias("n_chars"))
+
+
 def _glob_regex(glob: str) -> str:
     parts = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
     out, i = [], 0
@@ -99,6 +124,7 @@ def _chat_sql() -> str:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_url_filters": op2_url_filters,
     "op3_chat_format": op3_chat_format,
     "op4_quality_classifier": op4_quality_classifier,
@@ -106,5 +132,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
     "op8_minhash_neardup": op8_minhash_neardup,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {"op2_url_filters": _url_sql(), "op3_chat_format": _chat_sql()}
