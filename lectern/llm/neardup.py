@@ -4,7 +4,9 @@ Each document has a signature of SYMBOLS b-bit symbols, one MinHash value each.
 chunks; two signatures that differ in at most RADIUS = 2 * CHUNKS - 1 symbols have, by the pigeonhole principle, a
 chunk with at most one differing symbol. So every chunk is keyed once for each way to leave one symbol out, and any two
 documents within the radius share a key: no such pair is missed. At a similarity of 0.85 a pair lies outside the radius
-with a probability of 3e-6, and outside all keys with 2e-8.
+with a probability of 3e-6, and outside all keys with 2e-8. What shares a key is compared on a longer signature of
+FINE symbols of one byte, which tells similarities apart better; at 0.85 a pair lies beyond FINE_RADIUS with a
+probability of 1e-6.
 
 Exact copies are joined first by a digest of the whole shingle set; what follows sees one representative of each set.
 Under a key, the links of a minimum spanning forest by signature distance are confirmed on the full sets, at most one
@@ -30,12 +32,23 @@ from .common import materialise
 SYMBOLS, CHUNKS = 32, 8
 PER_CHUNK = SYMBOLS // CHUNKS
 RADIUS = 2 * CHUNKS - 1
+FINE = 192
+
+
+def fine_radius(percent: int) -> int:
+    """Differing symbols of the long signature up to which a pair is looked at: five standard deviations beyond the
+    mean at the least similarity of a link."""
+    miss = 1 - percent / 100
+    return int(FINE * miss + 5.1 * (FINE * miss * (1 - miss)) ** 0.5)
+
+
 #: Members of one key that a task compares at a time.
 BLOCK = 512
 #: Ids up to this number are sent to all executors (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _CACHE = 400_000
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
+_FINE_ODD = np.random.default_rng(21).integers(1, 1 << 31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -84,8 +97,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def fine_signature(shingles: np.ndarray) -> bytes:
+    low = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(FINE, 0xFFFFFFFF, np.uint32)
+    for start in range(0, len(low), 2048):
+        np.minimum(least, (low[start : start + 2048, None] * _FINE_ODD[None, :]).min(axis=0), out=least)
+    return (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null without shingles), sig."""
+    """doc_id, n_shingles, digest of the set (null without shingles), sig, fine."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_hexdigest
@@ -99,10 +120,11 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                     "n_shingles": [len(s) for s in sets],
                     "digest": [xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets],
                     "sig": [signature(s).tolist() if len(s) else None for s in sets],
+                    "fine": [fine_signature(s) if len(s) else None for s in sets],
                 }
             )
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, digest string, sig array<int>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, digest string, sig array<int>, fine binary")
 
 
 def chunk_keys(sig: str = "sig") -> F.Column:
@@ -132,11 +154,11 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list[p
 def _forest(sig: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of a minimum spanning forest over pairs within the radius (Prim's algorithm, ties to lower numbers)."""
     n = len(sig)
-    best, parent = np.full(n, SYMBOLS + 1), np.full(n, -1)
+    best, parent = np.full(n, FINE + 1), np.full(n, -1)
     inside = np.zeros(n, bool)
     links = []
     for _ in range(n):
-        open_ = np.where(inside, SYMBOLS + 2, best)
+        open_ = np.where(inside, FINE + 2, best)
         v = int(open_.argmin())
         if parent[v] >= 0 and best[v] <= radius:
             links.append((int(parent[v]), v))
@@ -147,30 +169,34 @@ def _forest(sig: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def nearest_pairs(members: DataFrame) -> DataFrame:
-    """a, b: links of each block's spanning forest. members: key, block, rep, sig."""
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, FINE)
+
+
+def nearest_pairs(members: DataFrame, radius: int) -> DataFrame:
+    """a, b: links of each block's spanning forest. members: key, block, rep, fine."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _groups(batches, ["key", "block"]):
             key, block, rep = (rows[c].to_numpy() for c in ("key", "block", "rep"))
-            sig = np.stack(rows["sig"].to_numpy()).astype(np.uint16)
+            sig = _matrix(rows["fine"])
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
             sizes = np.diff(np.r_[starts, len(key)])
             two = starts[sizes == 2]
-            near = two[(sig[two] != sig[two + 1]).sum(axis=1) <= RADIUS]
+            near = two[(sig[two] != sig[two + 1]).sum(axis=1) <= radius]
             a, b = [rep[near]], [rep[near + 1]]
             for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                for i, j in _forest(sig[start : start + size], RADIUS):
+                for i, j in _forest(sig[start : start + size], radius):
                     a.append(rep[start + i : start + i + 1])
                     b.append(rep[start + j : start + j + 1])
             a, b = np.concatenate(a), np.concatenate(b)
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     dealt = members.repartition("key", "block").sortWithinPartitions("key", "block", "rep")
-    return dealt.select("key", "block", "rep", "sig").mapInPandas(run, "a long, b long").filter("a < b").distinct()
+    return dealt.select("key", "block", "rep", "fine").mapInPandas(run, "a long, b long").filter("a < b").distinct()
 
 
-def crossing_pairs(members: DataFrame, components: DataFrame, sigs: DataFrame) -> DataFrame:
+def crossing_pairs(members: DataFrame, components: DataFrame, sigs: DataFrame, radius: int) -> DataFrame:
     """a, b: all pairs under a common key, within the radius, of different components. members: key, rep."""
     placed = members.join(components.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("comp", F.coalesce("comp", "rep"))
@@ -189,20 +215,20 @@ def crossing_pairs(members: DataFrame, components: DataFrame, sigs: DataFrame) -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _groups(batches, ["key", "block", "slice"]):
             rep, comp, at_home = (part[c].to_numpy() for c in ("rep", "comp", "home"))
-            sig = np.stack(part["sig"].to_numpy()).astype(np.uint16)
+            sig = _matrix(part["fine"])
             codes = part.groupby(["key", "block", "slice"], sort=False).ngroup().to_numpy()
             starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for start, end in zip(starts, np.r_[starts[1:], len(codes)], strict=True):
                 hosts = np.arange(start, end)[at_home[start:end]]
                 for g in np.arange(start, end)[~at_home[start:end]]:
-                    near = hosts[(comp[hosts] != comp[g]) & ((sig[hosts] != sig[g]).sum(axis=1) <= RADIUS)]
+                    near = hosts[(comp[hosts] != comp[g]) & ((sig[hosts] != sig[g]).sum(axis=1) <= radius)]
                     a.append(np.minimum(rep[near], rep[g]))
                     b.append(np.maximum(rep[near], rep[g]))
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
     dealt = rows.repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "rep")
-    return dealt.select("key", "block", "slice", "rep", "comp", "home", "sig").mapInPandas(run, "a long, b long").filter("a < b").distinct()
+    return dealt.select("key", "block", "slice", "rep", "comp", "home", "fine").mapInPandas(run, "a long, b long").filter("a < b").distinct()
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -256,18 +282,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     sketches = materialise(sketch(docs, width))
     known = sketches.filter("doc_id is not null and digest is not null")
-    reps = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    reps = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("fine").alias("fine"))
     reps = materialise(reps)
     keyed = reps.select("rep", F.explode(chunk_keys()).alias("key")).distinct()
     shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
     members = materialise(shared)
-    sigs = reps.select("rep", "sig")
+    sigs, radius = reps.select("rep", "fine"), fine_radius(percent)
     blocks = F.ceil(F.col("n") / BLOCK)
     blocked = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).join(sigs, "rep")
-    first = materialise(confirm(docs, materialise(nearest_pairs(blocked)), width, percent))
+    first = materialise(confirm(docs, materialise(nearest_pairs(blocked, radius)), width, percent))
     linked = first.filter("linked")
     found = components(linked)
-    more = crossing_pairs(members, found, sigs).join(first, ["a", "b"], "left_anti")
+    more = crossing_pairs(members, found, sigs, radius).join(first, ["a", "b"], "left_anti")
     more = materialise(more)
     if more.limit(1).count():
         second = materialise(confirm(docs, more, width, percent).filter("linked"))
