@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Pieces kept in a worker's memory before it starts anew; bounds memory, never results.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 120_000
 #: A space that is not a boundary between two runs of other characters: such texts are cut by the pattern as a whole.
 _ODD_SPACE = re.compile(r"\s |\s\s| \s|^ | $")
 
@@ -77,7 +77,7 @@ class BytePairEncoder:
         known = self.fits.get(key)
         if known is not None:
             return known
-        if len(self.fits) > 4 * CACHE_PIECES:
+        if len(self.fits) > 2 * CACHE_PIECES:
             self.fits.clear()
         halves, tokens, ranks = self.halves, self.tokens, self.ranks
         limit, known = 1 << 60, True

@@ -23,7 +23,7 @@ WORDS, SHAPES, EXTRAS = 1024, 512, 4
 WIDTH = WORDS + SHAPES + EXTRAS
 #: Weight of each block of a text's vector, which has length one in each.
 _WEIGHTS = (0.5, 1.0, 1.0)
-_CACHE = 400_000
+_CACHE = 150_000
 
 
 def word_shape(word: str) -> str:

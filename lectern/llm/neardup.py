@@ -46,7 +46,7 @@ def fine_radius(percent: int) -> int:
 BLOCK = 512
 #: Ids up to this number are sent to all executors (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_CACHE = 400_000
+_CACHE = 150_000
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 _FINE_ODD = np.random.default_rng(21).integers(1, 1 << 31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))

@@ -36,7 +36,7 @@ FEATURES = (
 )
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 _REPEATS = re.compile(r"(.)\1+")
-_CACHE = 300_000
+_CACHE = 150_000
 _NEAR = 5
 #: Letters of a word's beginning.
 STEM = 5
