@@ -11,9 +11,9 @@ probability of 1e-6.
 Exact copies are joined first by a digest of the whole shingle set; what follows sees one representative of each set.
 Under a key, the links of a minimum spanning forest by signature distance are confirmed on the full sets, at most one
 pair for each further member. Then, in every key whose members still lie in several components, all pairs within the
-radius that would join two of them are confirmed too. Pairs inside a component need no proof, so no group is expanded
-into all its pairs, and no link between components is lost. Keys with many members are cut into blocks; a block meets
-only the members outside the key's largest component.
+radius that would join two of them are checked where they are found, on the full sets; only links leave the task.
+Pairs inside a component need no proof, so no group is expanded into all its pairs, and no link between components is
+lost. Keys with many members are cut into blocks; a block meets only the members outside the key's largest component.
 """
 
 from __future__ import annotations
@@ -196,44 +196,88 @@ def nearest_pairs(members: DataFrame, radius: int) -> DataFrame:
     return dealt.select("key", "block", "rep", "fine").mapInPandas(run, "a long, b long").filter("a < b").distinct()
 
 
-def crossing_pairs(members: DataFrame, components: DataFrame, sigs: DataFrame, radius: int) -> DataFrame:
-    """a, b: all pairs under a common key, within the radius, of different components. members: key, rep."""
+def _first_key(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each row of sig the number of the first key that it shares with other, -1 without one."""
+    same = (sig == other).reshape(len(sig), CHUNKS, PER_CHUNK)
+    n = same.sum(axis=2)
+    chunk = (n >= PER_CHUNK - 1).argmax(axis=1)
+    rows = np.arange(len(sig))
+    out = np.where(n[rows, chunk] == PER_CHUNK, 0, same[rows, chunk].argmin(axis=1))
+    return np.where(n[rows, chunk] >= PER_CHUNK - 1, chunk * PER_CHUNK + out, -1)
+
+
+def crossing_links(docs: DataFrame, members: DataFrame, components: DataFrame, sigs: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links between different components, enough of them to join all that are linked.
+
+    members: key, key_no, rep. In each key with several components every pair of different components within the long
+    signature's radius is checked on the full sets, where it is found: no pair leaves the task but a link. A pair is
+    looked at under the first key that it shares, the nearest first, and not if a link has joined its components.
+    """
+    radius = fine_radius(percent)
     placed = members.join(components.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("comp", F.coalesce("comp", "rep"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     keys = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top")).filter("all > top.n")
     mixed = placed.join(keys.select("key", "all", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.n")).alias("others")), "key")
     blocks = F.ceil(F.col("all") / BLOCK).cast("int")
-    slices = F.ceil(F.col("others") / (8 * BLOCK)).cast("int")
+    slices = F.ceil(F.col("others") / (2 * BLOCK)).cast("int")
     place = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n.cast("long")).cast("int")
     mixed = mixed.withColumns({"blocks": blocks, "slices": slices, "guest": F.col("comp") != F.col("main")})
     # at home in one block (in each slice of the guests), and a guest in all blocks if outside the largest component
-    home = mixed.select("key", "rep", "comp", place(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("home"))
-    guest = mixed.filter("guest").select("key", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), place(slices, 2).alias("slice"), F.lit(False).alias("home"))
-    rows = home.unionByName(guest).join(sigs, "rep")
+    base = ("key", "key_no", "rep", "comp")
+    home = mixed.select(*base, place(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("home"))
+    guest = mixed.filter("guest").select(*base, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), place(slices, 2).alias("slice"), F.lit(False).alias("home"))
+    rows = materialise(home.unionByName(guest))
+    sets = full_sets(docs, rows.select(F.col("rep").alias("doc_id")).distinct(), width).withColumnRenamed("doc_id", "rep")
+    rows = rows.join(sigs.join(sets, "rep"), "rep")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _groups(batches, ["key", "block", "slice"]):
-            rep, comp, at_home = (part[c].to_numpy() for c in ("rep", "comp", "home"))
-            sig = _matrix(part["fine"])
-            codes = part.groupby(["key", "block", "slice"], sort=False).ngroup().to_numpy()
+        group = ["key", "block", "slice"]
+        for part in _groups(batches, group):
+            rep, comp, at_home, number = (part[c].to_numpy() for c in ("rep", "comp", "home", "key_no"))
+            fine, sets = _matrix(part["fine"]), part["h"].to_numpy()
+            sig = np.stack(part["sig"].to_numpy())
+            codes = part.groupby(group, sort=False).ngroup().to_numpy()
             starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found = []
             for start, end in zip(starts, np.r_[starts[1:], len(codes)], strict=True):
                 hosts = np.arange(start, end)[at_home[start:end]]
+                tries = []
                 for g in np.arange(start, end)[~at_home[start:end]]:
-                    near = hosts[(comp[hosts] != comp[g]) & ((sig[hosts] != sig[g]).sum(axis=1) <= radius)]
-                    a.append(np.minimum(rep[near], rep[g]))
-                    b.append(np.maximum(rep[near], rep[g]))
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+                    away = (fine[hosts] != fine[g]).sum(axis=1)
+                    near = (comp[hosts] != comp[g]) & (away <= radius)
+                    near[near] = _first_key(sig[hosts[near]], sig[g]) == number[g]
+                    tries += [(d, g, h) for d, h in zip(away[near].tolist(), hosts[near].tolist(), strict=True)]
+                joined: dict[int, int] = {}
+                for _, g, h in sorted(tries):
+                    x, y = _root(joined, int(comp[g])), _root(joined, int(comp[h]))
+                    if x != y and _alike(sets[g], sets[h], percent):
+                        joined[max(x, y)] = min(x, y)
+                        found.append((min(rep[g], rep[h]), max(rep[g], rep[h])))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     dealt = rows.repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "rep")
-    return dealt.select("key", "block", "slice", "rep", "comp", "home", "fine").mapInPandas(run, "a long, b long").filter("a < b").distinct()
+    columns = (*base, "block", "slice", "home", "sig", "fine", "h")
+    return dealt.select(*columns).mapInPandas(run, "a long, b long").filter("a < b").distinct()
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b, linked for every pair, by the full shingle sets."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def _root(joined: dict[int, int], x: int) -> int:
+    while x in joined:
+        x = joined[x]
+    return x
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    low, high = min(len(a), len(b)), max(len(a), len(b))
+    if 100 * low < percent * high:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, h (hashes of the whole shingle set) of the documents with these ids."""
+    ids = materialise(ids)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,7 +286,12 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
             yield pd.DataFrame({"doc_id": batch["doc_id"], "h": [shingle(t).view(np.int64) for t in batch["text"]]})
 
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = texts.mapInPandas(run, "doc_id long, h array<long>")
+    return texts.mapInPandas(run, "doc_id long, h array<long>")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b, linked for every pair, by the full shingle sets."""
+    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
@@ -284,20 +333,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = sketches.filter("doc_id is not null and digest is not null")
     reps = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("fine").alias("fine"))
     reps = materialise(reps)
-    keyed = reps.select("rep", F.explode(chunk_keys()).alias("key")).distinct()
+    keyed = reps.select("rep", F.posexplode(chunk_keys()).alias("key_no", "key")).distinct()
     shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
     members = materialise(shared)
     sigs, radius = reps.select("rep", "fine"), fine_radius(percent)
     blocks = F.ceil(F.col("n") / BLOCK)
     blocked = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).join(sigs, "rep")
-    first = materialise(confirm(docs, materialise(nearest_pairs(blocked, radius)), width, percent))
-    linked = first.filter("linked")
+    linked = materialise(confirm(docs, materialise(nearest_pairs(blocked, radius)), width, percent).filter("linked"))
     found = components(linked)
-    more = crossing_pairs(members, found, sigs, radius).join(first, ["a", "b"], "left_anti")
-    more = materialise(more)
+    more = materialise(crossing_links(docs, members, found, reps.select("rep", "sig", "fine"), width, percent))
     if more.limit(1).count():
-        second = materialise(confirm(docs, more, width, percent).filter("linked"))
-        found = components(linked.unionByName(second))
+        found = components(linked.select("a", "b").unionByName(more))
     named = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("digest", F.coalesce("comp", "rep").alias("class_id"))
     # one doc_id with several texts: all its rows take the smallest component
