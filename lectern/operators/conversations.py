@@ -50,7 +50,6 @@ def follow_up_signals(question: Column) -> Column:
 def numeral(text: Column) -> Column:
     """Arabic digits, or Chinese numerals up to 99; null for others."""
     digits = "一二三四五六七八九"
-    value = lambda c: F.when(c == "", F.lit(None)).otherwise(F.nullif(F.locate(c, F.lit(digits)), F.lit(0)))
     value = lambda c: F.when(c != "", F.nullif(F.call_function("instr", F.lit(digits), c), F.lit(0)))
     left, right = F.substring_index(text, "十", 1), F.substring_index(text, "十", -1)
     tens = F.coalesce(value(left), F.lit(1)) * 10 + F.coalesce(value(right), F.lit(0))
@@ -68,7 +67,7 @@ def numbered_items(text: Column) -> Column:
 def extract_reference(question: Column, turns: Column, max_chars: int = 420) -> Column:
     """The item that the question names by number, of the newest turn that has it; '' without one. turns: old to new."""
     wanted = numeral(F.regexp_extract(X.text_or_empty(question), P.QUESTION_REFERENCE, 1))
-    items = F.transform(F.reverse(turns), lambda t: F.element_at(F.filter(numbered_items(t), lambda i: (i.number == wanted) & (i.content != "")), -1).content)
+    items = F.transform(F.reverse(turns), lambda t: F.try_element_at(F.filter(numbered_items(t), lambda i: (i.number == wanted) & (i.content != "")), F.lit(-1)).content)
     return X.let(F.filter(items, lambda i: i.isNotNull()), lambda found: X.bounded_join(F.slice(found, 1, 1), max_chars))
 
 

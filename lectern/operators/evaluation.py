@@ -158,12 +158,12 @@ def parse_search_results(raw: DataFrame) -> DataFrame:
     kind = "array<struct<url:string,link:string,uri:string,title:string,name:string,content:string,snippet:string,description:string,text:string,score:double>>"
     lists = [F.from_json(F.get_json_object("result", p), kind) for p in ("$.structuredContent.results", "$.results", "$.structuredContent.sources", "$.sources")]
     blocks = F.from_json(F.get_json_object("result", "$.content"), "array<struct<type:string,text:string,uri:string,name:string,description:string>>")
-    links = F.transform(F.filter(blocks, lambda b: b.type == "resource_link"), lambda b: F.struct(b.uri.alias("url"), b.name.alias("title"), b.description.alias("snippet"), F.lit(0.0).alias("score")))
+    links = F.transform(F.filter(blocks, lambda b: b.type == "resource_link"), lambda b: F.struct(b.uri.alias("url"), b["name"].alias("title"), b.description.alias("snippet"), F.lit(0.0).alias("score")))
     texts = F.flatten(F.transform(F.filter(blocks, lambda b: b.type == "text"), lambda b: F.split(b.text, r"\n-{3,}\n")))
     part = lambda t, n: F.trim(F.regexp_extract(t, rf"(?m)^{n}:\s*(.*)$", 1))
     plain = F.transform(texts, lambda t: F.struct(part(t, "URL").alias("url"), part(t, "Title").alias("title"), F.trim(F.regexp_extract(t, r"(?s)Highlights:\s*(.*)$", 1)).alias("snippet"), F.lit(0.0).alias("score")))
     in_text = F.from_json(F.get(F.transform(F.filter(blocks, lambda b: (b.type == "text") & b.text.rlike(r"^\s*\{")), lambda b: F.get_json_object(b.text, "$.results")), F.lit(0)), kind)
-    one = lambda c: F.struct(F.coalesce(c.url, c.link, c.uri).alias("url"), F.coalesce(c.title, c.name).alias("title"), F.coalesce(c.content, c.snippet, c.description, c.text).alias("snippet"), F.coalesce(c.score, F.lit(0.0)).alias("score"))
+    one = lambda c: F.struct(F.coalesce(c.url, c.link, c.uri).alias("url"), F.coalesce(c.title, c["name"]).alias("title"), F.coalesce(c.content, c.snippet, c.description, c.text).alias("snippet"), F.coalesce(c.score, F.lit(0.0)).alias("score"))
     structured = F.transform(F.coalesce(*lists, in_text), one)
     named = F.filter(plain, lambda p: p.url != "")
     found = F.coalesce(structured, F.when(F.size(links) > 0, links), named)

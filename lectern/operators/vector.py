@@ -47,17 +47,16 @@ def token_hash(token: str) -> tuple[int, float]:
     return int.from_bytes(raw[:4], "big"), 1.0 if raw[4] % 2 == 0 else -1.0
 
 
-def hash_embed(rows: DataFrame, key: str, text: str = "text", dims: int = 64) -> DataFrame:
-    """key, vector: signed counts of hashed tokens, length one. Distinct tokens are hashed once for each task."""
+def hash_embed(rows: DataFrame, keys: Sequence[str], text: str = "text", dims: int = 64) -> DataFrame:
+    """keys, vector: signed counts of hashed tokens, length one. Distinct tokens are hashed once for each task."""
 
-    @F.pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[int, float]] = {}
         for batch in batches:
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             out = []
-            for tokens in batch:
+            for tokens in batch["tokens"]:
                 v = np.zeros(dims)
                 for t in tokens:
                     if t not in known:
@@ -65,9 +64,11 @@ def hash_embed(rows: DataFrame, key: str, text: str = "text", dims: int = 64) ->
                     v[known[t][0] % dims] += known[t][1]
                 norm = np.linalg.norm(v)
                 out.append((v / norm if norm else v).tolist())
-            yield pd.Series(out)
+            yield batch[list(keys)].assign(vector=out)
 
-    return rows.select(key, embed(X.tokenize_embedding(F.col(text))).alias("vector"))
+    ready = rows.select(*keys, X.tokenize_embedding(F.col(text)).alias("tokens"))
+    schema = ", ".join(f"{c} {t}" for c, t in ready.drop("tokens").dtypes)
+    return ready.mapInPandas(embed, f"{schema}, vector array<double>")
 
 
 def embed_with(rows: DataFrame, key: str, text: str, model: Callable[[Sequence[str]], Sequence[Sequence[float]]], batch: int = BATCH) -> DataFrame:
@@ -103,9 +104,9 @@ def build_vector_index(chunks: DataFrame, dims: int = 64) -> DataFrame:
     doc_id = F.coalesce(F.when(col("id") != "", col("id")), F.concat_ws("-", col("file_id"), page, col("chunk_index")))
     rest = [c for c in chunks.columns if c not in ("tokens", "context_text")]
     metadata = F.map_from_arrays(F.array(*map(F.lit, rest)), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rest]))
-    rows = chunks.filter(text.isNotNull()).select(doc_id.alias("doc_id"), text.alias("text"), metadata.alias("metadata"))
-    embed = hash_embed(rows.withColumn("row", F.struct("doc_id", "text", "metadata")), "row", "text", dims)
-    return embed.select("row.*", "vector")
+    rows = chunks.filter(text.isNotNull()).select(doc_id.alias("doc_id"), text.alias("text"), F.to_json(metadata).alias("metadata"))
+    embedded = hash_embed(rows, ["doc_id", "text", "metadata"], "text", dims)
+    return embedded.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
 
 
 def upsert_vectors(index: DataFrame, new: DataFrame) -> DataFrame:
@@ -192,8 +193,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, lim
     candidates = L.fused_candidates(asked, chunks, 2 * limit).withColumn("tokens", tokens)
     first = L.select_diverse(candidates, 2 * limit)
     lexical = first.select("query_id", "id", F.col("picked").alias("rank"), (1000 * F.col("rrf_score")).alias("score"))
-    keyed = queries.withColumn("key", F.struct("query_id", "course_id"))
-    embedded = hash_embed(keyed, "key", "question", dims).select("key.*", "vector")
+    embedded = hash_embed(queries, ["query_id", "course_id"], "question", dims)
     near = vector_search(embedded, vectors, max(4 * limit, 12), 0.2).withColumnRenamed("doc_id", "id")
     merged = hybrid_merge(lexical, near, max(4 * limit, 12))
     shown = merged.join(chunks.select("id", "file_id", tokens.alias("own")), "id").join(first.select("query_id", "id", "rerank_score"), ["query_id", "id"], "left")

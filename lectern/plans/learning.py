@@ -445,7 +445,7 @@ def upsert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.hash_embed(I.read(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.size("vector").alias("dims"), F.round(V.dot(F.col("vector"), F.col("vector")), 6).alias("norm"))
+    return V.hash_embed(I.read(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", F.size("vector").alias("dims"), F.round(V.dot(F.col("vector"), F.col("vector")), 6).alias("norm"))
 
 
 def embed_with(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,8 +466,7 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = R.index(spark, sf_dir)
-    keyed = chunks.withColumn("key", F.struct("id", "course_id", "chunk_index"))
-    vectors = V.hash_embed(keyed, "key").select(F.col("key.id").alias("doc_id"), "key.course_id", F.col("key.chunk_index").alias("ord"), "vector")
+    vectors = V.hash_embed(chunks, ["id", "course_id", "chunk_index"]).withColumnsRenamed({"id": "doc_id", "chunk_index": "ord"})
     return V.hybrid_search(I.questions(spark, sf_dir), chunks, vectors)
 
 
@@ -512,8 +511,8 @@ _CLAIMS = f"""{_CITED}, claims0 AS (SELECT query_id AS answer_id, trim(regexp_re
     claims AS (SELECT *, CASE WHEN NOT assertive THEN 'non_assertive' WHEN label = '' THEN 'missing_citation' WHEN quote IS NULL THEN 'unknown_citation' WHEN o < 0.18 THEN 'low_overlap' ELSE 'ok' END AS reason FROM claims2)"""
 _LONG = f"list_filter({I.tokens_sql('text')}, lambda t: length(t) > 1)"
 _REPRESENTATIVE = f"""{I.CHUNKS_SQL}, tk AS (SELECT course_id, chunk_index, file_id, text, {_LONG} AS toks FROM chunks),
-    ex AS (SELECT course_id, chunk_index, unnest(toks) AS tok, unnest(range(len(toks))) AS at FROM tk),
-    kw0 AS (SELECT course_id, chunk_index, tok, count(*) AS n, min(at) AS first FROM ex GROUP BY 1, 2, 3),
+    ex AS (SELECT course_id, chunk_index, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM tk),
+    kw0 AS (SELECT course_id, chunk_index, tok, count(*) AS n, min(pos) AS first FROM ex GROUP BY 1, 2, 3),
     kw AS (SELECT course_id, chunk_index, arg_min(tok, first - n * 100000000) AS keyword FROM kw0 GROUP BY 1, 2),
     rk AS (SELECT t.*, len(list_distinct(toks)) AS variety, coalesce(keyword, '核心概念') AS keyword FROM tk t LEFT JOIN kw USING (course_id, chunk_index)),
     fr AS (SELECT *, row_number() OVER (PARTITION BY course_id, file_id ORDER BY variety DESC, length(text) DESC, chunk_index) = 1
@@ -590,7 +589,7 @@ ORACLES = {
         (reason = 'missing_citation')::BIGINT AS uncited_count FROM claims""",
     "annotate_unsupported": f"WITH {_CLAIMS} SELECT answer_id, reason NOT IN ('ok', 'non_assertive') AS marked FROM claims",
     "representative_chunks": f"WITH {_REPRESENTATIVE} SELECT course_id, position, chunk_index, variety, md5(keyword) AS keyword FROM rep",
-    "summary_evidence": f"WITH {_REPRESENTATIVE} SELECT course_id, 'S' || position AS label, file_id, chunk_index, length(text) AS n_chars FROM rep",
+    "summary_evidence": f"WITH {_REPRESENTATIVE} SELECT course_id, 'S' || position AS label, file_id, chunk_index, length(trim(text)) AS n_chars FROM rep",
     "group_evidence": f"""WITH {_REPRESENTATIVE}, g AS (SELECT course_id, file_id, min(position) AS first, string_agg('S' || position, ',' ORDER BY position) FILTER (WHERE k <= 5) AS labels
             FROM (SELECT *, row_number() OVER (PARTITION BY course_id, file_id ORDER BY position) AS k FROM rep) GROUP BY 1, 2)
         SELECT course_id, 'G' || row_number() OVER (PARTITION BY course_id ORDER BY first) AS group_id, file_id, labels FROM g""",

@@ -114,8 +114,8 @@ ORACLES = {
         f"CASE WHEN length({_CLEAN}) <= 260 THEN {_CLEAN} WHEN {_PREFIX} <> '' AND 256 - length({_PREFIX}) > 30 THEN {_PREFIX} || ' ... ' || right({_CLEAN}, 256 - length({_PREFIX})) ELSE substr({_CLEAN}, 1, 259) || '…' END"
     ),
     "pick_keyword": f"""WITH t AS (SELECT doc_id, {_LONG} AS toks FROM documents),
-        e AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(len(toks))) AS at FROM t),
-        c AS (SELECT doc_id, tok, count(*) AS n, min(at) AS first FROM e GROUP BY 1, 2),
+        e AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM t),
+        c AS (SELECT doc_id, tok, count(*) AS n, min(pos) AS first FROM e GROUP BY 1, 2),
         b AS (SELECT doc_id, arg_min(tok, first - n * 100000000) AS tok FROM c GROUP BY 1)
         SELECT doc_id AS id, md5(coalesce(b.tok, '核心概念')) AS digest FROM documents LEFT JOIN b USING (doc_id)""",
     "redact_secrets": _value_sql("substr(trim(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_\\-]+', 'sk-***', 'g'), '\\s+', ' ', 'g')), 1, 300)"),
