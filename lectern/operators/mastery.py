@@ -40,7 +40,7 @@ def fold_answers(events: DataFrame, initial: DataFrame | None = None) -> DataFra
     logs = events.groupBy("course_id", "point_id").agg(F.array_sort(F.collect_list(fields)).alias("log"))
     names = ("score", "attempts", "correct_count", "wrong_count", "streak")
     if initial is not None:
-        logs = logs.join(initial.select("course_id", "point_id", F.struct(*[F.col(n).cast("int") for n in names]).alias("begin")), ["course_id", "point_id"], "left")
+        logs = logs.join(initial.select("course_id", "point_id", F.struct(*[F.col(n).cast("int").alias(n) for n in names]).alias("begin")), ["course_id", "point_id"], "left")
     zero = F.struct(*[F.lit(START if n == "score" else 0).alias(n) for n in names])
     begin = zero if initial is None else F.coalesce("begin", zero)
 

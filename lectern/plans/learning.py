@@ -17,7 +17,7 @@ from lectern.operators import vector as V
 from lectern.plans import inputs as I
 from lectern.plans import retrieval as R
 
-NOW = F.lit("2024-03-01 00:00:00").cast("timestamp")
+NOW = "2024-03-01 00:00:00"
 
 
 # mastery
@@ -96,7 +96,7 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mastery_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = D.mastery_summary(M.fold_answers(I.answers(spark, sf_dir)), None, _mistakes(spark, sf_dir), NOW)
+    out = D.mastery_summary(M.fold_answers(I.answers(spark, sf_dir)), None, _mistakes(spark, sf_dir), F.lit(NOW).cast("timestamp"))
     return out.select("course_id", "points", "weak", "building", "familiar", "mastered", "average_score", "due_count", "open_mistakes", F.array_join("weakest", ",").alias("weakest"))
 
 
@@ -119,7 +119,7 @@ def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def course_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     courses = I.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("course_id"))
-    mastery = D.mastery_summary(M.fold_answers(I.answers(spark, sf_dir)), None, None, NOW).select("course_id", "points", "average_score")
+    mastery = D.mastery_summary(M.fold_answers(I.answers(spark, sf_dir)), None, None, F.lit(NOW).cast("timestamp")).select("course_id", "points", "average_score")
     out = D.course_dashboard(courses, {"progress": D.learning_progress(plan(spark, sf_dir)), "mastery": mastery})
     return out.select("course_id", "progress.total", "progress.done", "progress.progress_percent", "mastery.points", "mastery.average_score")
 
