@@ -138,9 +138,8 @@ def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retain_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     uploads = I.read(spark, sf_dir, "events").select(F.col("user_id").alias("course_id"), F.col("event_id").cast("string").alias("name"), F.col("ts").alias("mtime"))
-    last = uploads.agg(F.max("mtime").alias("now"))
-    rows = uploads.crossJoin(F.broadcast(last))  # one row
-    return E.retain_uploads(rows, F.col("now"), 7, 20).select("course_id", "name")
+    now = uploads.agg(F.max("mtime")).first()[0]
+    return E.retain_uploads(uploads, F.lit(now).cast("timestamp"), 7, 20).select("course_id", "name")
 
 
 # conversations
