@@ -10,11 +10,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than cores are dealt out, or one core would cut all texts of a small table."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document is a file of one page in the course of its source."""
     kinds = F.array(*map(F.lit, ("chapter", "lecture", "quiz", "note", "doc")))
     name = F.concat(F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")), F.lit("-"), F.col("doc_id"), F.lit(".md"))
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents")).select(
         F.col("source").alias("course_id"),
         F.col("doc_id").cast("string").alias("file_id"),
         name.alias("file_name"),
