@@ -5,9 +5,10 @@ of fixed depth sorts the masked lines: by their number of tokens, then by their
 agree in most tokens become one template, with `<*>` where they differ. A template that recurs across many unlike
 documents is dropped from all of them.
 
-What counts is not the number of documents but that of unlike ones: each document has a sketch (the smallest hash of
-its five-word shingles, which copies and near copies share), and a template must occur under many sketches and under
-not much fewer sketches than documents. So a group of copies, however large, never makes its own lines recur.
+What counts is not the number of documents but that of unlike ones. Copies, which have the same five-word shingles,
+count as one; of the others each has a signature, and those whose signatures agree in ALIKE of their symbols count as
+one too. A template recurs if it stands in min_docs documents that are unlike each other, however many others there
+are: a group of copies never makes its own lines recur, and never keeps a line that recurs elsewhere.
 
 A leaf with more than LEAF_LINES masked lines is sorted by its first DEEP tokens instead; what is still larger is
 matched line by line, without merging. So no task holds an unbounded leaf.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .neardup import Shingler
+from .neardup import Shingler, _groups
 
 LEADING, DEEP, LEAF_LINES = 3, 12, 1_000
 #: Longer lines are no log lines: they recur as a whole or not at all.
@@ -32,8 +33,13 @@ LONGEST = 64
 #: Share of tokens in which a line must agree with a template of its leaf.
 AGREE = 0.75
 BROADCAST_TEMPLATES = 1_000_000
+#: Symbols of a document's signature, and the share of them from which two documents count as one.
+SYMBOLS, ALIKE = 64, 0.6
+#: Rows of one key that a task compares at a time.
+BLOCK = 512
+BROADCAST_ROWS = 500_000
+_BOUNDS = np.arange(SYMBOLS + 1, dtype=np.float64) * 2.0 ** 64 / SYMBOLS
 _DIGIT = re.compile(r"\d")
-_SHARED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mask_line(line: str) -> str:
@@ -57,10 +63,33 @@ class LineHasher:
         return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """A byte for the least shingle in each of SYMBOLS equal ranges of hashes, 0 for an empty range; sorted, not empty."""
+    at = np.searchsorted(shingles, _BOUNDS[:-1].astype(np.uint64))
+    own = shingles[np.minimum(at, len(shingles) - 1)]
+    filled = (at < len(shingles)) & (own >> np.uint64(58) == np.arange(SYMBOLS, dtype=np.uint64))
+    return np.where(filled, own % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
+
+
+def unlike(sigs: np.ndarray, most: int) -> list[int]:
+    """Numbers of rows unlike each other, each the first that is unlike all before it, until there are most."""
+    alive, out = np.ones(len(sigs), bool), []
+    while len(out) < most and alive.any():
+        first = int(alive.argmax())
+        out.append(first)
+        own = sigs[first]
+        filled = (sigs != 0) | (own != 0)
+        alive &= ((sigs == own) & filled).sum(axis=1) < ALIKE * filled.sum(axis=1)
+    return out
+
+
 def masked_lines(docs: DataFrame) -> DataFrame:
-    """leaf, template (hash of the masked line), sketch, line (null beyond LONGEST tokens): once for each document."""
+    """leaf, template (hash of the masked line), doc (digest of the shingles), line (null beyond LONGEST tokens): once
+    for each document; sig, its signature, in the first row only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_64_intdigest
+
         hashed, shingle = LineHasher(), Shingler(5)
         for batch in batches:
             rows = []
@@ -68,15 +97,49 @@ def masked_lines(docs: DataFrame) -> DataFrame:
                 own = {m for m in map(mask_line, text.split("\n")) if m}
                 if not own:
                     continue
-                sketch = int((shingle(text) * _SHARED).min() >> np.uint64(1))
+                shingles = shingle(text)
+                doc, sig = xxh3_64_intdigest(shingles.tobytes()) >> 1, signature(shingles)
                 for masked in own:
                     tokens = masked.split(" ", LONGEST)
                     short = len(tokens) <= LONGEST
                     leaf = hashed(" ".join(tokens[:LEADING]), len(tokens)) if short else 0
-                    rows.append((leaf, hashed(masked), sketch, masked if short else None))
-            yield pd.DataFrame(rows, columns=["leaf", "template", "sketch", "line"])
+                    rows.append((leaf, hashed(masked), doc, masked if short else None, sig))
+                    sig = None
+            yield pd.DataFrame(rows, columns=["leaf", "template", "doc", "line", "sig"])
+
+    return docs.filter("text is not null").select("text").mapInPandas(run, "leaf long, template long, doc long, line string, sig binary")
+
 
-    return docs.filter("text is not null").select("text").mapInPandas(run, "leaf long, template long, sketch long, line string")
+def _sized(df: DataFrame) -> DataFrame:
+    df = materialise(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def unlike_docs(rows: DataFrame, min_docs: int) -> DataFrame:
+    """key, doc, sig: of each key's documents (key, doc, sig, no row twice) as many unlike ones as there are, up to
+    min_docs. Keys of many rows go through blocks, again and again, until one block holds what is left of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _groups(batches, ["key", "block"]):
+            key, block = part["key"].to_numpy(), part["block"].to_numpy()
+            sigs = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(-1, SYMBOLS)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+            kept = [s + i for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True) for i in unlike(sigs[s:e], min_docs)]
+            yield part.iloc[kept][["key", "doc", "sig"]]
+
+    while True:
+        sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {BLOCK}"))
+        large = sizes.count()
+        if large:
+            big = F.broadcast(sizes) if large <= BROADCAST_ROWS else sizes
+            blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("long")
+            blocked = rows.join(big, "key", "left").withColumn("block", F.pmod(F.xxhash64("doc", "key"), blocks).cast("int"))
+        else:
+            blocked = rows.withColumn("block", F.lit(0))
+        dealt = blocked.select("key", "block", "doc", "sig").repartition("key", "block").sortWithinPartitions("key", "block", "doc")
+        rows = materialise(dealt.mapInPandas(run, "key long, doc long, sig binary"))
+        if not large:
+            return rows
 
 
 def _merge_leaf(rows: pd.DataFrame) -> pd.DataFrame:
@@ -96,16 +159,14 @@ def _merge_leaf(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["template", "cluster"], dtype="int64")
 
 
-def recurring_templates(docs: DataFrame, min_docs: int = 10, unlike: float = 0.3) -> DataFrame:
-    """template: hashes of the masked lines whose template recurs in min_docs unlike documents or more.
-
-    unlike is the least number of sketches for each document in which the template stands.
-    """
+def recurring_templates(docs: DataFrame, min_docs: int = 10) -> DataFrame:
+    """template: hashes of the masked lines whose template recurs in min_docs unlike documents or more."""
     seen = materialise(masked_lines(docs))
-    by_sketch = materialise(seen.groupBy("leaf", "template", "sketch").agg(F.count("*").alias("n")))
-    counts = by_sketch.groupBy("leaf", "template").agg(F.sum("n").alias("n"), F.count("*").alias("sketches"))
-    leaves = counts.filter("leaf <> 0").groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("sketches").alias("sketches"))
-    leaves = leaves.filter((F.col("lines") > 1) & (F.col("sketches") >= min_docs)).select("leaf", "lines")
+    sigs = _sized(seen.filter("sig is not null").groupBy("doc").agg(F.min("sig").alias("sig")))
+    by_doc = materialise(seen.select("leaf", "template", "doc").distinct())
+    counts = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("n"))
+    leaves = counts.filter("leaf <> 0").groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("n"))
+    leaves = leaves.filter((F.col("lines") > 1) & (F.col("n") >= min_docs)).select("leaf", "lines")
     texts = seen.filter("line is not null").join(leaves, "leaf").groupBy("leaf", "template").agg(F.first("line").alias("line"), F.max("lines").alias("lines"))
     deep = F.xxhash64(F.slice(F.split("line", " "), 1, DEEP))
     texts = materialise(texts.withColumn("sub", F.when(F.col("lines") > LEAF_LINES, deep).otherwise(F.lit(0))))
@@ -113,22 +174,23 @@ def recurring_templates(docs: DataFrame, min_docs: int = 10, unlike: float = 0.3
     fields = "template long, cluster long"
     merged = texts.join(small, ["leaf", "sub"]).select("leaf", "sub", "template", "line").groupBy("leaf", "sub")
     merged = materialise(merged.applyInPandas(lambda rows: _merge_leaf(rows.sort_values("line")), fields))
-    passes = lambda n, s: (s >= min_docs) & (s >= unlike * n)
-    alone = counts.filter(passes(F.col("n"), F.col("sketches"))).select("template")
-    together = by_sketch.join(merged, "template").groupBy("cluster", "sketch").agg(F.sum("n").alias("n"))
-    together = together.groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("sketches"))
-    together = merged.join(together.filter(passes(F.col("n"), F.col("sketches"))), "cluster").select("template")
+    often = _sized(counts.filter(F.col("n") >= min_docs).select("template"))
+    alone = by_doc.join(often, "template").select(F.col("template").alias("key"), "doc").join(sigs, "doc")
+    together = by_doc.join(merged, "template").select(F.col("cluster").alias("key"), "doc").distinct().join(sigs, "doc")
+    enough = lambda rows: unlike_docs(rows.select("key", "doc", "sig"), min_docs).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+    alone = enough(alone).select(F.col("key").alias("template"))
+    together = merged.join(enough(together).select(F.col("key").alias("cluster")), "cluster").select("template")
     return materialise(alone.unionByName(together).distinct())
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, unlike: float = 0.3) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """The rows of docs with recurring lines dropped from text, and n_lines and dropped (line numbers from 0) added.
 
     Lines are what stands between line feeds; blank lines never recur. A text may end up empty, its row stays. A null
     text stays null, with 0 lines and none dropped. Repeated rows are treated alike; columns of docs named n_lines or
     dropped are replaced, all others come through, whatever their names. An empty table gives no row.
     """
-    recurring = recurring_templates(docs, min_docs, unlike)
+    recurring = recurring_templates(docs, min_docs)
     rows = docs.drop("n_lines", "dropped")
     schema = ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, ("n_lines", "int"), ("dropped", "array<int>")])
     if recurring.count() > BROADCAST_TEMPLATES:

@@ -289,6 +289,19 @@ def test_line_dedup_by_join_gives_the_same(spark, monkeypatch):
     assert sorted(map(str, line_templates.drop_recurring_lines(table).collect())) == first
 
 
+def test_copies_do_not_keep_a_line_that_recurs_elsewhere(spark):
+    rnd = random.Random(15)
+    line = "read more about our terms"
+    texts = {i: f"{words(rnd, 60, 90_000)}\n{line}\n{words(rnd, 60, 90_000)}" for i in range(12)}
+    base = words(rnd, 150, 90_000).split()
+    for i in range(100, 300):  # near copies of each other, all different
+        own = list(base)
+        own[rnd.randrange(150)] = f"own{i}x"
+        texts[i] = " ".join(own[:75]) + f"\nfoot of the copies only\n{line}\n" + " ".join(own[75:])
+    out = line_templates.drop_recurring_lines(docs(spark, texts)).collect()
+    assert all(r.dropped == [2 if r.doc_id >= 100 else 1] for r in out)
+
+
 # 1: decontamination
 
 
