@@ -2,16 +2,18 @@
 
 Variable fields of a line (numbers, addresses, times, identifiers) become `<*>`; the result is its masked line. A tree
 of fixed depth sorts the masked lines: by their number of tokens, then by their leading tokens. In a leaf, lines that
-agree in most tokens become one template, with `<*>` where they differ. A template that recurs across many unlike
-documents is dropped from all of them.
+agree in AGREE of their tokens are of one template. A line recurs if it and the lines of its template stand in many
+unlike documents; it is dropped from all of them.
 
 What counts is not the number of documents but that of unlike ones. Copies, which have the same five-word shingles,
 count as one; of the others each has a signature, and those whose signatures agree in ALIKE of their symbols count as
 one too. A template recurs if it stands in min_docs documents that are unlike each other, however many others there
 are: a group of copies never makes its own lines recur, and never keeps a line that recurs elsewhere.
 
-A leaf with more than LEAF_LINES masked lines is sorted by its first DEEP tokens instead; what is still larger is
-matched line by line, without merging. So no task holds an unbounded leaf.
+Two lines of n tokens that agree differ in d = n / 4 positions at most. The positions behind the leading tokens are cut
+into d + 1 parts, so the two are equal in one part at least: every line is keyed by each of its parts, and all lines
+that agree meet under a key, at every size of a leaf and every length of a line. A key with more than BLOCK lines is
+cut into blocks; lines that have not been found to recur inside their block then meet all blocks of the key.
 """
 
 from __future__ import annotations
@@ -21,16 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 from .neardup import Shingler, _groups
 
-LEADING, DEEP, LEAF_LINES = 3, 12, 1_000
-#: Longer lines are no log lines: they recur as a whole or not at all.
-LONGEST = 64
-#: Share of tokens in which a line must agree with a template of its leaf.
+LEADING = 3
+#: Share of tokens in which lines of one template agree.
 AGREE = 0.75
 BROADCAST_TEMPLATES = 1_000_000
 #: Symbols of a document's signature, and the share of them from which two documents count as one.
@@ -84,8 +84,8 @@ def unlike(sigs: np.ndarray, most: int) -> list[int]:
 
 
 def masked_lines(docs: DataFrame) -> DataFrame:
-    """leaf, template (hash of the masked line), doc (digest of the shingles), line (null beyond LONGEST tokens): once
-    for each document; sig, its signature, in the first row only."""
+    """leaf (0 for lines too short to differ), template (hash of the masked line), doc (digest of the shingles), line:
+    once for each document; sig, its signature, in the first row only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_64_intdigest
@@ -100,10 +100,9 @@ def masked_lines(docs: DataFrame) -> DataFrame:
                 shingles = shingle(text)
                 doc, sig = xxh3_64_intdigest(shingles.tobytes()) >> 1, signature(shingles)
                 for masked in own:
-                    tokens = masked.split(" ", LONGEST)
-                    short = len(tokens) <= LONGEST
-                    leaf = hashed(" ".join(tokens[:LEADING]), len(tokens)) if short else 0
-                    rows.append((leaf, hashed(masked), doc, masked if short else None, sig))
+                    tokens = masked.split(" ")
+                    leaf = hashed(" ".join(tokens[:LEADING]), len(tokens)) if len(tokens) > LEADING else 0
+                    rows.append((leaf, hashed(masked), doc, masked, sig))
                     sig = None
             yield pd.DataFrame(rows, columns=["leaf", "template", "doc", "line", "sig"])
 
@@ -116,8 +115,8 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def unlike_docs(rows: DataFrame, min_docs: int) -> DataFrame:
-    """key, doc, sig: of each key's documents (key, doc, sig, no row twice) as many unlike ones as there are, up to
-    min_docs. Keys of many rows go through blocks, again and again, until one block holds what is left of them."""
+    """key, sig: of each key's documents (key, sig) as many unlike ones as there are, up to min_docs. Keys of many rows
+    go through blocks, again and again, until one block holds what is left of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _groups(batches, ["key", "block"]):
@@ -125,7 +124,7 @@ def unlike_docs(rows: DataFrame, min_docs: int) -> DataFrame:
             sigs = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(-1, SYMBOLS)
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
             kept = [s + i for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True) for i in unlike(sigs[s:e], min_docs)]
-            yield part.iloc[kept][["key", "doc", "sig"]]
+            yield part.iloc[kept][["key", "sig"]]
 
     while True:
         sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {BLOCK}"))
@@ -133,30 +132,89 @@ def unlike_docs(rows: DataFrame, min_docs: int) -> DataFrame:
         if large:
             big = F.broadcast(sizes) if large <= BROADCAST_ROWS else sizes
             blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("long")
-            blocked = rows.join(big, "key", "left").withColumn("block", F.pmod(F.xxhash64("doc", "key"), blocks).cast("int"))
+            blocked = rows.join(big, "key", "left").withColumn("block", F.pmod(F.xxhash64("sig", "key"), blocks).cast("int"))
         else:
             blocked = rows.withColumn("block", F.lit(0))
-        dealt = blocked.select("key", "block", "doc", "sig").repartition("key", "block").sortWithinPartitions("key", "block", "doc")
-        rows = materialise(dealt.mapInPandas(run, "key long, doc long, sig binary"))
+        dealt = blocked.select("key", "block", "sig").repartition("key", "block").sortWithinPartitions("key", "block", "sig")
+        rows = materialise(dealt.mapInPandas(run, "key long, sig binary"))
         if not large:
             return rows
 
 
-def _merge_leaf(rows: pd.DataFrame) -> pd.DataFrame:
-    """template, cluster of one leaf's lines: each joins the first cluster with which it agrees enough."""
-    hashed, clusters = LineHasher(), []
-    for template, line in zip(rows["template"], rows["line"], strict=True):
-        tokens = line.split(" ")
-        for c in clusters:
-            same = sum(a == b for a, b in zip(c[0], tokens, strict=True))
-            if same >= AGREE * len(tokens):
-                c[0] = [a if a == b else "<*>" for a, b in zip(c[0], tokens, strict=True)]
-                c[1].append(template)
-                break
-        else:
-            clusters.append([tokens, [template]])
-    out = [(t, hashed(" ".join(c[0]), len(c[0]))) for c in clusters if len(c[1]) > 1 for t in c[1]]
-    return pd.DataFrame(out, columns=["template", "cluster"], dtype="int64")
+def _enough(rows: DataFrame, min_docs: int) -> DataFrame:
+    """template: keys with min_docs unlike documents."""
+    return rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select(F.col("key").alias("template"))
+
+
+def part_keys(tokens: Column, leaf: Column) -> Column:
+    """A key for each part of the positions behind the leading tokens; lines that agree share one of them."""
+    rest, parts = F.size(tokens) - LEADING, F.floor((1 - AGREE) * F.size(tokens)).cast("int") + 1
+    cut = lambda i: F.floor(i * rest / parts).cast("int")
+    key = lambda i: F.xxhash64(leaf, i, F.slice(tokens, LEADING + 1 + cut(i), cut(i + 1) - cut(i)))
+    return F.transform(F.sequence(F.lit(0), parts - 1), key)
+
+
+def _meet(rows: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
+    """template, sig: unlike documents of the lines that agree with an asking line, a null sig if there are min_docs.
+
+    rows: key, block, slice, template, home, ask; in each key, block and slice the asking lines meet those at home.
+    lines: template, width (number of tokens), tokens, sigs.
+    """
+    group = ["key", "width", "block", "slice"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _groups(batches, group):
+            codes = part.groupby(group, sort=False).ngroup().to_numpy()
+            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            template, home, ask, sigs = (part[c].to_numpy() for c in ("template", "home", "ask", "sigs"))
+            out = []
+            for start, end in zip(starts, np.r_[starts[1:], len(codes)], strict=True):
+                tokens = np.stack(part["tokens"].iloc[start:end].to_numpy())
+                hosts = np.flatnonzero(home[start:end])
+                known: dict[bytes, list[bytes | None]] = {}
+                for i in np.flatnonzero(ask[start:end]):
+                    near = (tokens[hosts] == tokens[i]).sum(axis=1) >= AGREE * tokens.shape[1]
+                    found = known.get(near.tobytes())
+                    if found is None:
+                        all_ = [x for h in hosts[near] for x in sigs[start + h]]
+                        at = unlike(np.frombuffer(b"".join(all_), np.uint8).reshape(-1, SYMBOLS), min_docs)
+                        found = known[near.tobytes()] = [None] if len(at) >= min_docs else [all_[x] for x in at]
+                    out += [(template[start + i], x) for x in found]
+            yield pd.DataFrame(out, columns=["template", "sig"])
+
+    full = rows.join(lines, "template").repartition(*group).sortWithinPartitions(*group, "template")
+    return full.select(*group, "template", "home", "ask", "tokens", "sigs").mapInPandas(run, "template long, sig binary").distinct()
+
+
+def merged_templates(lines: DataFrame, min_docs: int) -> DataFrame:
+    """template: lines that do not recur alone but together with the lines that agree with them.
+
+    lines: leaf, template, width, tokens, sigs (unlike documents, min_docs at most).
+    """
+    alone = F.size("sigs") >= min_docs
+    keyed = materialise(lines.select("template", alone.alias("alone"), F.explode(part_keys(F.col("tokens"), F.col("leaf"))).alias("key")))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("alone").alias("done")).filter("n > 1 and not done")
+    members = materialise(keyed.join(_sized(sizes.select("key", "n")), "key"))
+    members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    block = F.pmod(F.xxhash64("template", "key"), F.col("blocks").cast("long")).cast("int").alias("block")
+    lines = materialise(lines.drop("leaf"))
+    own = members.select("key", block, F.lit(0).alias("slice"), "template", F.lit(True).alias("home"), (~F.col("alone")).alias("ask"))
+    seen = materialise(_meet(own, lines, min_docs))
+    large = members.filter("blocks > 1")
+    if large.limit(1).count():
+        done = _sized(seen.filter("sig is null").select("template"))
+        guests = materialise(large.filter("not alone").join(done, "template", "left_anti"))
+        asked = guests.groupBy("key").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("slices"))
+        asked = _sized(asked)
+        slices = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+        hosts = large.join(asked, "key").select("key", block, slices, "template", F.lit(True).alias("home"), F.lit(False).alias("ask"))
+        all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        slice_ = F.pmod(F.xxhash64("template", F.lit(2)), F.col("slices").cast("long")).cast("int").alias("slice")
+        guests = guests.join(asked, "key").select("key", all_blocks, slice_, "template", F.lit(False).alias("home"), F.lit(True).alias("ask"))
+        seen = materialise(seen.unionByName(_meet(hosts.unionByName(guests), lines, min_docs)))
+    done = seen.filter("sig is null").select("template").distinct()
+    rest = seen.filter("sig is not null").distinct().join(_sized(done), "template", "left_anti")
+    return done.unionByName(_enough(unlike_docs(rest.withColumnRenamed("template", "key"), min_docs), min_docs))
 
 
 def recurring_templates(docs: DataFrame, min_docs: int = 10) -> DataFrame:
@@ -166,21 +224,20 @@ def recurring_templates(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     by_doc = materialise(seen.select("leaf", "template", "doc").distinct())
     counts = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("n"))
     leaves = counts.filter("leaf <> 0").groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("n"))
-    leaves = leaves.filter((F.col("lines") > 1) & (F.col("n") >= min_docs)).select("leaf", "lines")
-    texts = seen.filter("line is not null").join(leaves, "leaf").groupBy("leaf", "template").agg(F.first("line").alias("line"), F.max("lines").alias("lines"))
-    deep = F.xxhash64(F.slice(F.split("line", " "), 1, DEEP))
-    texts = materialise(texts.withColumn("sub", F.when(F.col("lines") > LEAF_LINES, deep).otherwise(F.lit(0))))
-    small = texts.groupBy("leaf", "sub").agg(F.count("*").alias("m")).filter(f"m > 1 and m <= {LEAF_LINES}")
-    fields = "template long, cluster long"
-    merged = texts.join(small, ["leaf", "sub"]).select("leaf", "sub", "template", "line").groupBy("leaf", "sub")
-    merged = materialise(merged.applyInPandas(lambda rows: _merge_leaf(rows.sort_values("line")), fields))
+    leaves = _sized(leaves.filter((F.col("lines") > 1) & (F.col("n") >= min_docs)).select("leaf"))
     often = _sized(counts.filter(F.col("n") >= min_docs).select("template"))
-    alone = by_doc.join(often, "template").select(F.col("template").alias("key"), "doc").join(sigs, "doc")
-    together = by_doc.join(merged, "template").select(F.col("cluster").alias("key"), "doc").distinct().join(sigs, "doc")
-    enough = lambda rows: unlike_docs(rows.select("key", "doc", "sig"), min_docs).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    alone = enough(alone).select(F.col("key").alias("template"))
-    together = merged.join(enough(together).select(F.col("key").alias("cluster")), "cluster").select("template")
-    return materialise(alone.unionByName(together).distinct())
+    asked = by_doc.join(leaves, "leaf").unionByName(by_doc.join(leaves, "leaf", "left_anti").join(often, "template").select(*by_doc.columns))
+    own = unlike_docs(asked.join(sigs, "doc").select(F.col("template").alias("key"), "sig"), min_docs)
+    alone = _enough(own, min_docs)
+    texts = seen.join(leaves, "leaf").groupBy("leaf", "template").agg(F.first("line").alias("line"))
+    packed = own.groupBy(F.col("key").alias("template")).agg(F.collect_list("sig").alias("sigs"))
+    lines = materialise(texts.join(packed, "template"))
+    # a leaf of fewer unlike documents has no line that recurs
+    by_leaf = unlike_docs(lines.select(F.col("leaf").alias("key"), F.explode("sigs").alias("sig")), min_docs)
+    lines = lines.join(_sized(_enough(by_leaf, min_docs).withColumnRenamed("template", "leaf")), "leaf")
+    lines = lines.withColumn("tokens", F.transform(F.split("line", " "), lambda t: F.xxhash64(t)))
+    lines = lines.select("leaf", "template", F.size("tokens").alias("width"), "tokens", "sigs")
+    return materialise(alone.unionByName(merged_templates(lines, min_docs)).distinct())
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:

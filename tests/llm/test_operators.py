@@ -302,6 +302,30 @@ def test_copies_do_not_keep_a_line_that_recurs_elsewhere(spark):
     assert all(r.dropped == [2 if r.doc_id >= 100 else 1] for r in out)
 
 
+def test_templates_of_large_leaves_and_long_lines_recur(spark):
+    rnd = random.Random(17)
+    names = [f"n{''.join(rnd.choice('abcdefgh') for _ in range(9))}" for _ in range(1_100)]
+    long = words(rnd, 80, 90_000).replace("w", "").split()
+    long = ["".join("abcdefghij"[int(c)] for c in t if c.isdigit()) for t in long]
+    texts = {}
+    for i, name in enumerate(names):
+        texts[i] = f"{words(rnd, 30, 90_000)}\nSign in as {name} to reply now please\n{words(rnd, 30, 90_000)}"
+    for i in range(2_000, 2_012):
+        own = list(long)
+        own[70] = names[i - 2_000]
+        texts[i] = f"{words(rnd, 120, 90_000)}\n{' '.join(own)}\n{words(rnd, 120, 90_000)}"
+    # ten lines of one template in a leaf, under a key, of many others that agree with none
+    for i in range(3_000, 4_200):
+        tail = "x y" if i >= 4_188 else " ".join(rnd.choice(names) for _ in range(2))
+        texts[i] = f"{words(rnd, 30, 90_000)}\nSee also the {rnd.choice(names) if i < 4_188 else names[i - 4_188]} page {tail} end\n{words(rnd, 30, 90_000)}"
+    out = {r.doc_id: r.dropped for r in line_templates.drop_recurring_lines(docs(spark, texts)).collect()}
+    assert all(out[i] == [1] for i in texts if i < 3_000 or i >= 4_188)
+    line = {i: texts[i].split("\n")[1].split() for i in range(3_000, 4_188)}
+    for i in range(3_000, 4_188, 97):
+        agree = sum(sum(a == b for a, b in zip(line[i], texts[j].split("\n")[1].split())) >= 6 for j in range(3_000, 4_200))
+        assert out[i] == ([1] if agree >= 10 else [])
+
+
 # 1: decontamination
 
 
