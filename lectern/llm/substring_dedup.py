@@ -2,8 +2,11 @@
 
 Lines are cut further at the ends of their sentences, so that a passage is found inside a line too. Each unit is
 normalised to its words in lower case and digested; the earliest occurrence of a digest in the order of doc_id and
-position stays, all later ones are marked. Neighbouring marked units make a span (units of a few words between them
-belong to it); spans of at least min_words words are removed. Offsets are those of the original text.
+position stays, all later ones are marked. A unit of a few words is digested together with those behind it, and with
+those before it, until there are words enough, and marked if either recurs. Neighbouring marked units make a span (a
+few words between them belong to it); spans of at least min_words words from start to end are removed. A character of
+Chinese or Japanese is a word. Offsets are those of the original text. What a repeated passage has of a sentence that
+it does not contain whole is not found.
 """
 
 from __future__ import annotations
@@ -14,18 +17,38 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise
 
-_UNIT = re.compile(r"[^.?\n]+[.?]*")
-_WORDS = re.compile(r"[^\W_]+")
-#: Units of fewer words are too common to say anything; they take part in the spans around them only.
+_UNIT = re.compile(r"[^.?\n。｡！？]+[.?。｡！？]*")
+_CJK = "\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORDS = re.compile(rf"[^\W_{_CJK}]+|[{_CJK}]")
+#: Units of fewer words are too common to say anything by themselves.
 LEAST_WORDS = 4
 BROADCAST_ROWS = 1_000_000
 
 
+def windows(sizes: list[int], i: int) -> list[tuple[int, int]]:
+    """First and last of the units around i that are digested for it: itself, or with those behind and those before."""
+    if sizes[i] >= LEAST_WORDS:
+        return [(i, i)]
+    out, n, j = [], sizes[i], i
+    while n < LEAST_WORDS and j + 1 < len(sizes):
+        j += 1
+        n += sizes[j]
+    if n >= LEAST_WORDS:
+        out.append((i, j))
+    n, j = sizes[i], i
+    while n < LEAST_WORDS and j > 0:
+        j -= 1
+        n += sizes[j]
+    return [*out, (j, i)] if n >= LEAST_WORDS else out
+
+
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, text_id (hash of the text), ord, start, end, n_words, digest of every unit of LEAST_WORDS words or more."""
+    """doc_id, text_id (hash of the text), ord, start, end, n_words, before (words of the text before it) of every unit
+    with words; digest of each of its windows and at, the window's first unit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_64_intdigest
@@ -34,23 +57,24 @@ def units(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, text_id, text in zip(batch["doc_id"], batch["text_id"], batch["text"], strict=True):
-                n = 0
-                for unit in _UNIT.finditer(text):
-                    words = _WORDS.findall(unit[0].lower())
-                    if len(words) >= LEAST_WORDS:
-                        h = xxh3_64_intdigest(" ".join(words).encode("utf-8"))
-                        rows.append((doc, text_id, n, unit.start(), unit.end(), len(words), h - full if h >= half else h))
-                        n += 1
+                found = [(u.start(), u.end(), words) for u in _UNIT.finditer(text) if (words := _WORDS.findall(u[0].lower()))]
+                sizes, before = [len(words) for _, _, words in found], 0
+                for n, (start, end, words) in enumerate(found):
+                    for first, last in windows(sizes, n):
+                        joined = " ".join(words if first == last else [w for u in found[first : last + 1] for w in u[2]])
+                        h = xxh3_64_intdigest(joined.encode("utf-8"))
+                        rows.append((doc, text_id, n, start, end, len(words), before, first, h - full if h >= half else h))
+                    before += len(words)
                 if len(rows) > 200_000:
                     yield pd.DataFrame(rows, columns=_COLUMNS)
                     rows = []
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
     ready = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
-    return ready.mapInPandas(run, "doc_id long, text_id long, ord long, start long, end long, n_words long, digest long")
+    return ready.mapInPandas(run, ", ".join(f"{c} long" for c in _COLUMNS))
 
 
-_COLUMNS = ["doc_id", "text_id", "ord", "start", "end", "n_words", "digest"]
+_COLUMNS = ["doc_id", "text_id", "ord", "start", "end", "n_words", "before", "at", "digest"]
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 40) -> DataFrame:
@@ -62,21 +86,22 @@ def repeated_spans(docs: DataFrame, min_words: int = 40) -> DataFrame:
     different texts are told apart by text_id. Other columns are not read; an empty table gives no row.
     """
     found = materialise(units(docs))
-    firsts = found.groupBy("digest").agg(F.min(F.struct("doc_id", "text_id", "ord")).alias("first"), F.count("*").alias("n"))
-    firsts = materialise(firsts.filter("n > 1").select("digest", "first"))
+    place = F.struct("doc_id", "text_id", "at")
+    firsts = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    firsts = materialise(firsts.filter("first <> last").select("digest", "first"))
     # few digests repeat; where they are too many to send, a sort-merge join splits the hot ones
     firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
-    marked = found.join(firsts, "digest").filter(F.struct("doc_id", "text_id", "ord") != F.col("first"))
-    marked = marked.dropDuplicates(["doc_id", "text_id", "ord"]).select(*_COLUMNS[:6], F.col("first.doc_id").alias("first_doc_id"))
+    marked = found.join(firsts, "digest").filter(place != F.col("first"))
+    marked = marked.groupBy("doc_id", "text_id", "ord", "start", "end", "n_words", "before").agg(F.min("first.doc_id").alias("first_doc_id"))
     # one document's units are bounded by its text
-    by_text = marked.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "n_words", "first_doc_id"))).alias("u"))
-    island = F.transform("u", lambda x, i: F.struct((x.ord - i).alias("island"), x.alias("x")))
-    spans = by_text.select("doc_id", "text_id", F.explode(island).alias("e")).groupBy("doc_id", "text_id", "e.island")
-    spans = spans.agg(
-        F.min("e.x.start").alias("start"),
-        F.max("e.x.end").alias("end"),
-        F.sum("e.x.n_words").alias("n_words"),
-        F.min_by("e.x.first_doc_id", "e.x.ord").alias("first_doc_id"),
+    of_text = Window.partitionBy("doc_id", "text_id").orderBy("ord")
+    gap = F.col("before") - F.lag(F.col("before") + F.col("n_words"), 1, 0).over(of_text)
+    marked = marked.withColumn("cut", (gap >= LEAST_WORDS).cast("long"))
+    spans = marked.withColumn("island", F.sum("cut").over(of_text)).groupBy("doc_id", "text_id", "island").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        (F.max(F.col("before") + F.col("n_words")) - F.min("before")).alias("n_words"),
+        F.min_by("first_doc_id", "ord").alias("first_doc_id"),
     )
     return spans.filter(F.col("n_words") >= min_words).drop("island")
 

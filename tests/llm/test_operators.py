@@ -267,6 +267,22 @@ def test_copies_leave_the_first_whole(spark):
     assert sorted((r.doc_id, r.start, r.end) for r in found) == [(5, 0, len(text)), (7, 0, len(text))]
 
 
+def test_short_sentences_and_characters_belong_to_the_passage(spark):
+    rnd = random.Random(21)
+    long = [words(rnd, 9, 90_000) + "." for _ in range(4)]
+    passage = " ".join(["Not so.", long[0], "Oh yes.", "It is.", long[1], "Who knows?", long[2], "We do.", "You too.", long[3], "All right."])
+    short = " ".join(f"{words(rnd, 2, 90_000)}." for _ in range(30))
+    han = "".join(chr(0x4E00 + rnd.randrange(9_000)) + ("。" if i % 12 == 11 else "") for i in range(60))
+    for i, part in enumerate([passage, short, han]):
+        own = [words(rnd, 30, 90_000) + "." for _ in range(4)]
+        texts = {1: f"{own[0]}\n{part}\n{own[1]}", 2: f"{own[2]}\n{part}\n{own[3]}"}
+        found = substring_dedup.repeated_spans(docs(spark, texts)).collect()
+        assert [(r.doc_id, texts[2][r.start : r.end].strip(), r.first_doc_id) for r in found] == [(2, part, 1)], i
+    # own short units between repeated sentences are no part of a passage
+    apart = {1: " ".join(long[:2]), 2: f"{long[0]} {short} {long[1]}"}
+    assert not substring_dedup.repeated_spans(docs(spark, apart)).collect()
+
+
 # 10: line dedup
 
 
