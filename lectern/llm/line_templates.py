@@ -126,12 +126,13 @@ def unlike_docs(rows: DataFrame, min_docs: int) -> DataFrame:
             kept = [s + i for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True) for i in unlike(sigs[s:e], min_docs)]
             yield part.iloc[kept][["key", "sig"]]
 
+    size = max(BLOCK, 4 * min_docs)  # a full block leaves min_docs rows at most
     while True:
-        sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {BLOCK}"))
+        sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {size}"))
         large = sizes.count()
         if large:
             big = F.broadcast(sizes) if large <= BROADCAST_ROWS else sizes
-            blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("long")
+            blocks = F.coalesce(F.ceil(F.col("n") / size), F.lit(1)).cast("long")
             blocked = rows.join(big, "key", "left").withColumn("block", F.pmod(F.xxhash64("sig", "key"), blocks).cast("int"))
         else:
             blocked = rows.withColumn("block", F.lit(0))

@@ -342,6 +342,16 @@ def test_templates_of_large_leaves_and_long_lines_recur(spark):
         assert out[i] == ([1] if agree >= 10 else [])
 
 
+def test_lines_meet_across_the_blocks_of_a_key(spark, monkeypatch):
+    rnd = random.Random(23)
+    line = {i: ["Go", "to", "the"] + [f"{rnd.choice('abcd')}q" for _ in range(5)] for i in range(150)}
+    texts = {i: f"{words(rnd, 40, 90_000)}\n{' '.join(t)}\n{words(rnd, 40, 90_000)}" for i, t in line.items()}
+    monkeypatch.setattr(line_templates, "BLOCK", 8)
+    out = {r.doc_id: r.dropped for r in line_templates.drop_recurring_lines(docs(spark, texts)).collect()}
+    agree = {i: sum(sum(a == b for a, b in zip(line[i], t)) >= 6 for t in line.values()) for i in line}
+    assert {len(x) for x in out.values()} == {0, 1} and all(out[i] == ([1] if agree[i] >= 10 else []) for i in line)
+
+
 # 1: decontamination
 
 
