@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import tempfile
 import uuid
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ASCII_BREAKS = re.compile("[\x20\x09-\x0d]")
+#: Bytes, as estimated from the rows, up to which a side is sent to all executors.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,18 +31,51 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that driver and executors share, as the session names it. A local master is one machine, so a temporary
+    folder is set where none is named; a cluster must name one, since executors see no folder of the driver's."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.conf.set("spark.checkpoint.dir", named := tempfile.mkdtemp(prefix="spark-lectern-"))
+    return named
 
 
-@functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-lectern-")
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lectern-{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder and read them again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern/{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what materialise has written for this application. DataFrames that the operators returned still read it:
+    write them first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def sized(df: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """df written out, and to be broadcast if its rows are measured to be small enough; else joins shuffle it.
+    row_bytes: the bytes of a row, or a column that tells them."""
+    df = materialise(df)
+    width = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    total = df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")

@@ -1,12 +1,15 @@
-"""Substring dedup by line and sentence hashing.
-
-Lines are cut further at the ends of their sentences, so that a passage is found inside a line too. Each unit is
-normalised to its words in lower case and digested; the earliest occurrence of a digest in the order of doc_id and
-position stays, all later ones are marked. A unit of a few words is digested together with those behind it, and with
-those before it, until there are words enough, and marked if either recurs. Neighbouring marked units make a span (a
-few words between them belong to it); spans of at least min_words words from start to end are removed. A character of
-Chinese or Japanese is a word. Offsets are those of the original text. What a repeated passage has of a sentence that
-it does not contain whole is not found.
+"""Substring dedup by hashing the units of lines.
+
+A line is normalised to its words in lower case and cut into units: a unit ends at the end of the line, or behind a word
+whose hash is divisible by CUT, but never before it has LEAST_WORDS words (a line of fewer goes on into the next). Where
+a unit ends depends on the words around it alone, so a passage that begins and ends in mid-sentence gives the same units
+wherever it stands, but for those at its edges. Digests are grouped over all documents; the units of the document with
+the lowest doc_id stay, all others are marked. Neighbouring marked units make a span (fewer than LEAST_WORDS words
+between them belong to it); spans of at least min_words words from start to end are removed. A character of Chinese or
+Japanese is a word. Offsets are those of the original text.
+
+min_words of 42 finds passages of 50 words: a passage loses the parts of two units at its edges, and a unit has about
+eight words.
 """
 
 from __future__ import annotations
@@ -14,102 +17,130 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialise
 
-_UNIT = re.compile(r"[^.?\n。｡！？]+[.?。｡！？]*")
 _CJK = "\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_WORDS = re.compile(rf"[^\W_{_CJK}]+|[{_CJK}]")
-#: Units of fewer words are too common to say anything by themselves.
+_WORDS = re.compile(rf"([^\W_{_CJK}]+|[{_CJK}])")
+_MARKS = re.compile(r"\S*")
 LEAST_WORDS = 4
-BROADCAST_ROWS = 1_000_000
-
-
-def windows(sizes: list[int], i: int) -> list[tuple[int, int]]:
-    """First and last of the units around i that are digested for it: itself, or with those behind and those before."""
-    if sizes[i] >= LEAST_WORDS:
-        return [(i, i)]
-    out, n, j = [], sizes[i], i
-    while n < LEAST_WORDS and j + 1 < len(sizes):
-        j += 1
-        n += sizes[j]
-    if n >= LEAST_WORDS:
-        out.append((i, j))
-    n, j = sizes[i], i
-    while n < LEAST_WORDS and j > 0:
-        j -= 1
-        n += sizes[j]
-    return [*out, (j, i)] if n >= LEAST_WORDS else out
+CUT = 4
+_CACHE = 100_000
+_ODD = 0x9E3779B97F4A7C15
+#: Units that a task holds before it hands them on.
+_PACK = 65_536
+_COLUMNS = ("start", "end", "n_words", "before", "digest")
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, text_id (hash of the text), ord, start, end, n_words, before (words of the text before it) of every unit
-    with words; digest of each of its windows and at, the window's first unit."""
+class Units:
+    """start, end (code points), n_words, before (words of the text before it) and digest of every unit of a text. A rest
+    that is too short for a unit belongs to the last one; a text of fewer words has no unit."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def __init__(self) -> None:
         from xxhash import xxh3_64_intdigest
 
-        half, full = 1 << 63, 1 << 64
-        for batch in batches:
-            rows = []
-            for doc, text_id, text in zip(batch["doc_id"], batch["text_id"], batch["text"], strict=True):
-                found = [(u.start(), u.end(), words) for u in _UNIT.finditer(text) if (words := _WORDS.findall(u[0].lower()))]
-                sizes, before = [len(words) for _, _, words in found], 0
-                for n, (start, end, words) in enumerate(found):
-                    for first, last in windows(sizes, n):
-                        joined = " ".join(words if first == last else [w for u in found[first : last + 1] for w in u[2]])
-                        h = xxh3_64_intdigest(joined.encode("utf-8"))
-                        rows.append((doc, text_id, n, start, end, len(words), before, first, h - full if h >= half else h))
-                    before += len(words)
-                if len(rows) > 200_000:
-                    yield pd.DataFrame(rows, columns=_COLUMNS)
-                    rows = []
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+        self.hash, self.known = xxh3_64_intdigest, {}
+
+    def _word(self, word: str) -> int:
+        value = self.known[word] = self.hash(word.lower().encode("utf-8"))
+        return value
+
+    def __call__(self, text: str) -> np.ndarray:
+        parts = _WORDS.split(text)  # what stands between words at even places, words at odd ones
+        words = parts[1::2]
+        if len(words) < LEAST_WORDS:
+            return np.zeros((0, len(_COLUMNS)), np.int64)
+        if len(self.known) > _CACHE:
+            self.known.clear()
+        get = self.known.get
+        hashes = np.array([h if (h := get(w)) is not None else self._word(w) for w in words], np.uint64)
+        at = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        ends_line = np.fromiter(("\n" in x for x in parts[2::2]), bool, len(words))
+        ends_line[-1] = True
+        cuts, last = [], -1
+        for i in np.flatnonzero(ends_line | (hashes % np.uint64(CUT) == 0)).tolist():
+            if i - last >= LEAST_WORDS:
+                cuts.append(i)
+                last = i
+        cuts[-1:] = [len(words) - 1]
+        stop = np.array(cuts, np.int64)
+        first = np.r_[0, stop[:-1] + 1]
+        size = stop - first + 1
+        place = np.arange(len(words)) - np.repeat(first, size)
+        marks = [_MARKS.match(parts[2 * i + 2]).end() for i in cuts]  # a unit ends behind the marks at its last word
+        powers = np.full(int(size.max()), _ODD, np.uint64)
+        powers[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        digest = np.add.reduceat(hashes * powers[place], first) ^ (size.astype(np.uint64) << np.uint64(1))
+        return np.stack([at[2 * first], at[2 * stop + 1] + marks, size, first, digest.view(np.int64)], axis=1)
 
-    ready = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
-    return ready.mapInPandas(run, ", ".join(f"{c} long" for c in _COLUMNS))
 
+def units(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id (hash of the text) and the columns of Units for every unit of every text."""
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "text_id", *_COLUMNS))
+
+    def pack(batch: pa.RecordBatch, rows: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+        take = pa.array(np.repeat(rows, [len(f) for f in found]))
+        columns = np.concatenate(found) if found else np.zeros((0, len(_COLUMNS)), np.int64)
+        own = [batch.column(i).take(take) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*own, *map(pa.array, columns.T.copy())], ["doc_id", "text_id", *_COLUMNS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Units()
+        for batch in batches:
+            rows, found, n = [], [], 0
+            for i, text in enumerate(batch.column(2)):
+                if len(own := cut(text.as_py())):
+                    rows.append(i)
+                    found.append(own)
+                    n += len(own)
+                if n > _PACK:
+                    yield pack(batch, rows, found)
+                    rows, found, n = [], [], 0
+            if rows:
+                yield pack(batch, rows, found)
 
-_COLUMNS = ["doc_id", "text_id", "ord", "start", "end", "n_words", "before", "at", "digest"]
+    ready = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    return ready.mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 40) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = 42, within: bool = False) -> DataFrame:
     """doc_id, text_id, start, end, n_words, first_doc_id: the spans to remove, several per document at most.
 
-    first_doc_id holds the earliest occurrence of the span's first unit. The earliest occurrence of a unit is never
-    marked, so of exact copies the one of the lowest doc_id stays whole. Null ids or texts, empty texts and texts
-    without words have no spans. Rows that repeat doc_id and text count as one document; rows of one doc_id with
-    different texts are told apart by text_id. Other columns are not read; an empty table gives no row.
+    first_doc_id holds the earliest occurrence of the span's first unit, which is never marked: of exact copies the one
+    of the lowest doc_id stays whole. A document's repeats of its own text are left alone, unless `within` asks for
+    them: then the earliest place counts instead of the earliest document. Null ids or texts, empty texts and texts
+    without words have no spans; texts of any length are read whole. Rows that repeat doc_id and text count as one
+    document; rows of one doc_id with different texts are told apart by text_id, and repeat nothing of each other unless
+    `within`. Other columns are not read; an empty table gives no row.
     """
     found = materialise(units(docs))
-    place = F.struct("doc_id", "text_id", "at")
-    firsts = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = materialise(firsts.filter("first <> last").select("digest", "first"))
-    # few digests repeat; where they are too many to send, a sort-merge join splits the hot ones
-    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
-    marked = found.join(firsts, "digest").filter(place != F.col("first"))
-    marked = marked.groupBy("doc_id", "text_id", "ord", "start", "end", "n_words", "before").agg(F.min("first.doc_id").alias("first_doc_id"))
+    rank = F.struct("doc_id", "text_id", "start") if within else F.col("doc_id")
+    # a digest of many rows is summed up before the shuffle here, and split by the join below
+    firsts = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
+    marked = found.join(firsts.filter("first <> last").select("digest", "first"), "digest").filter(rank != F.col("first"))
+    first_doc = F.col("first.doc_id") if within else F.col("first")
     # one document's units are bounded by its text
-    of_text = Window.partitionBy("doc_id", "text_id").orderBy("ord")
+    of_text = Window.partitionBy("doc_id", "text_id").orderBy("start")
     gap = F.col("before") - F.lag(F.col("before") + F.col("n_words"), 1, 0).over(of_text)
-    marked = marked.withColumn("cut", (gap >= LEAST_WORDS).cast("long"))
+    marked = marked.withColumn("first_doc_id", first_doc).withColumn("cut", (gap >= LEAST_WORDS).cast("long"))
     spans = marked.withColumn("island", F.sum("cut").over(of_text)).groupBy("doc_id", "text_id", "island").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         (F.max(F.col("before") + F.col("n_words")) - F.min("before")).alias("n_words"),
-        F.min_by("first_doc_id", "ord").alias("first_doc_id"),
+        F.min_by("first_doc_id", "start").alias("first_doc_id"),
     )
     return spans.filter(F.col("n_words") >= min_words).drop("island")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the spans cut out of text; removed lists them with their original offsets. Columns named like the
-    helper columns are kept: the helper names cannot clash with names of documents' columns but text_id and removed,
-    which are replaced."""
+    """docs with the spans cut out of text; removed lists them with their original offsets (null without any). Columns
+    of docs named text_id or removed are replaced; all others come through, whatever their names."""
     cuts = spans.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     rows = docs.drop("text_id", "removed").withColumn("text_id", F.xxhash64("text"))
     rows = rows.join(cuts, ["doc_id", "text_id"], "left").drop("text_id")
