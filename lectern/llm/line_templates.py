@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise, quoted, sized
 from .neardup import Shingler, _groups
 
 LEADING = 3
@@ -37,8 +38,9 @@ BROADCAST_TEMPLATES = 1_000_000
 SYMBOLS, ALIKE = 64, 0.6
 #: Rows of one key that a task compares at a time.
 BLOCK = 512
-BROADCAST_ROWS = 500_000
-_BOUNDS = np.arange(SYMBOLS + 1, dtype=np.float64) * 2.0 ** 64 / SYMBOLS
+#: Lines that a task holds before it hands them on.
+_PACK = 20_000
+_NONE = np.uint64((1 << 64) - 1)
 _DIGIT = re.compile(r"\d")
 
 
@@ -63,12 +65,16 @@ class LineHasher:
         return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    """A byte for the least shingle in each of SYMBOLS equal ranges of hashes, 0 for an empty range; sorted, not empty."""
-    at = np.searchsorted(shingles, _BOUNDS[:-1].astype(np.uint64))
-    own = shingles[np.minimum(at, len(shingles) - 1)]
-    filled = (at < len(shingles)) & (own >> np.uint64(58) == np.arange(SYMBOLS, dtype=np.uint64))
-    return np.where(filled, own % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The least shingle in each of SYMBOLS equal ranges of hashes, the largest number for an empty range."""
+    least = np.full(SYMBOLS, _NONE, np.uint64)
+    np.minimum.at(least, (shingles >> np.uint64(58)).astype(np.intp), shingles)
+    return least
+
+
+def symbols(least: np.ndarray) -> bytes:
+    """A byte for each of a signature's numbers, 0 for an empty range."""
+    return np.where(least == _NONE, np.uint64(0), least % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
 
 
 def unlike(sigs: np.ndarray, most: int) -> list[int]:
@@ -84,34 +90,39 @@ def unlike(sigs: np.ndarray, most: int) -> list[int]:
 
 
 def masked_lines(docs: DataFrame) -> DataFrame:
-    """leaf (0 for lines too short to differ), template (hash of the masked line), doc (digest of the shingles), line:
-    once for each document; sig, its signature, in the first row only."""
+    """leaf (0 for lines too short to differ), template (hash of the masked line), doc (hash of the signature: documents
+    of the same shingles have the same), line: once for each document; sig, its symbols, in the first row only."""
+    kinds = [("leaf", pa.int64()), ("template", pa.int64()), ("doc", pa.int64()), ("line", pa.string()), ("sig", pa.binary())]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         hashed, shingle = LineHasher(), Shingler(5)
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                own = {m for m in map(mask_line, text.split("\n")) if m}
+            columns: list[list] = [[], [], [], [], []]
+            leaves, templates, docs_, lines, sigs = columns
+            for text in batch.column(0):
+                text = text.as_py()
+                own = list({m for m in map(mask_line, text.split("\n")) if m})
                 if not own:
                     continue
-                shingles = shingle(text)
-                doc, sig = xxh3_64_intdigest(shingles.tobytes()) >> 1, signature(shingles)
+                least = signature(shingle.rolled(text))
                 for masked in own:
-                    tokens = masked.split(" ")
-                    leaf = hashed(" ".join(tokens[:LEADING]), len(tokens)) if len(tokens) > LEADING else 0
-                    rows.append((leaf, hashed(masked), doc, masked, sig))
-                    sig = None
-            yield pd.DataFrame(rows, columns=["leaf", "template", "doc", "line", "sig"])
-
-    return docs.filter("text is not null").select("text").mapInPandas(run, "leaf long, template long, doc long, line string, sig binary")
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    df = materialise(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+                    tokens = masked.split(" ", LEADING)
+                    n = masked.count(" ") + 1
+                    leaves.append(hashed(" ".join(tokens[:LEADING]), n) if n > LEADING else 0)
+                    templates.append(hashed(masked))
+                docs_ += [xxh3_64_intdigest(least.tobytes()) >> 1] * len(own)
+                lines += own
+                sigs += [symbols(least), *[None] * (len(own) - 1)]
+                if len(lines) > _PACK:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [k for k, _ in kinds])
+                    for c in columns:
+                        c.clear()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [k for k, _ in kinds])
+
+    return docs.filter("text is not null").select("text").mapInArrow(run, "leaf long, template long, doc long, line string, sig binary")
 
 
 def unlike_docs(rows: DataFrame, min_docs: int) -> DataFrame:
@@ -128,10 +139,9 @@ def unlike_docs(rows: DataFrame, min_docs: int) -> DataFrame:
 
     size = max(BLOCK, 4 * min_docs)  # a full block leaves min_docs rows at most
     while True:
-        sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {size}"))
-        large = sizes.count()
+        big = sized(rows.groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {size}"), 24)
+        large = big.limit(1).count()
         if large:
-            big = F.broadcast(sizes) if large <= BROADCAST_ROWS else sizes
             blocks = F.coalesce(F.ceil(F.col("n") / size), F.lit(1)).cast("long")
             blocked = rows.join(big, "key", "left").withColumn("block", F.pmod(F.xxhash64("sig", "key"), blocks).cast("int"))
         else:
@@ -195,7 +205,7 @@ def merged_templates(lines: DataFrame, min_docs: int) -> DataFrame:
     alone = F.size("sigs") >= min_docs
     keyed = materialise(lines.select("template", alone.alias("alone"), F.explode(part_keys(F.col("tokens"), F.col("leaf"))).alias("key")))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("alone").alias("done")).filter("n > 1 and not done")
-    members = materialise(keyed.join(_sized(sizes.select("key", "n")), "key"))
+    members = materialise(keyed.join(sized(sizes.select("key", "n"), 24), "key"))
     members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("template", "key"), F.col("blocks").cast("long")).cast("int").alias("block")
     lines = materialise(lines.drop("leaf"))
@@ -203,10 +213,10 @@ def merged_templates(lines: DataFrame, min_docs: int) -> DataFrame:
     seen = materialise(_meet(own, lines, min_docs))
     large = members.filter("blocks > 1")
     if large.limit(1).count():
-        done = _sized(seen.filter("sig is null").select("template"))
+        done = sized(seen.filter("sig is null").select("template"), 16)
         guests = materialise(large.filter("not alone").join(done, "template", "left_anti"))
         asked = guests.groupBy("key").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("slices"))
-        asked = _sized(asked)
+        asked = sized(asked, 24)
         slices = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
         hosts = large.join(asked, "key").select("key", block, slices, "template", F.lit(True).alias("home"), F.lit(False).alias("ask"))
         all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
@@ -214,79 +224,92 @@ def merged_templates(lines: DataFrame, min_docs: int) -> DataFrame:
         guests = guests.join(asked, "key").select("key", all_blocks, slice_, "template", F.lit(False).alias("home"), F.lit(True).alias("ask"))
         seen = materialise(seen.unionByName(_meet(hosts.unionByName(guests), lines, min_docs)))
     done = seen.filter("sig is null").select("template").distinct()
-    rest = seen.filter("sig is not null").distinct().join(_sized(done), "template", "left_anti")
+    rest = seen.filter("sig is not null").distinct().join(sized(done, 16), "template", "left_anti")
     return done.unionByName(_enough(unlike_docs(rest.withColumnRenamed("template", "key"), min_docs), min_docs))
 
 
 def recurring_templates(docs: DataFrame, min_docs: int = 10) -> DataFrame:
-    """template: hashes of the masked lines whose template recurs in min_docs unlike documents or more."""
+    """template, head: hashes of the masked lines whose template recurs in min_docs unlike documents or more, and the
+    first tokens of these lines."""
     seen = materialise(masked_lines(docs))
-    sigs = _sized(seen.filter("sig is not null").groupBy("doc").agg(F.min("sig").alias("sig")))
+    sigs = sized(seen.filter("sig is not null").groupBy("doc").agg(F.min("sig").alias("sig")), 16 + SYMBOLS)
     by_doc = materialise(seen.select("leaf", "template", "doc").distinct())
     counts = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("n"))
     leaves = counts.filter("leaf <> 0").groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("n"))
-    leaves = _sized(leaves.filter((F.col("lines") > 1) & (F.col("n") >= min_docs)).select("leaf"))
-    often = _sized(counts.filter(F.col("n") >= min_docs).select("template"))
+    leaves = sized(leaves.filter((F.col("lines") > 1) & (F.col("n") >= min_docs)).select("leaf"), 16)
+    often = sized(counts.filter(F.col("n") >= min_docs).select("template"), 16)
     asked = by_doc.join(leaves, "leaf").unionByName(by_doc.join(leaves, "leaf", "left_anti").join(often, "template").select(*by_doc.columns))
     own = unlike_docs(asked.join(sigs, "doc").select(F.col("template").alias("key"), "sig"), min_docs)
     alone = _enough(own, min_docs)
-    texts = seen.join(leaves, "leaf").groupBy("leaf", "template").agg(F.first("line").alias("line"))
+    # grouped by template, not by leaf, so that the many lines of one leaf are summed up before they are dealt out
+    texts = seen.join(leaves, "leaf").groupBy("template").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"))
     packed = own.groupBy(F.col("key").alias("template")).agg(F.collect_list("sig").alias("sigs"))
     lines = materialise(texts.join(packed, "template"))
     # a leaf of fewer unlike documents has no line that recurs
     by_leaf = unlike_docs(lines.select(F.col("leaf").alias("key"), F.explode("sigs").alias("sig")), min_docs)
-    lines = lines.join(_sized(_enough(by_leaf, min_docs).withColumnRenamed("template", "leaf")), "leaf")
+    lines = lines.join(sized(_enough(by_leaf, min_docs).withColumnRenamed("template", "leaf"), 16), "leaf")
     lines = lines.withColumn("tokens", F.transform(F.split("line", " "), lambda t: F.xxhash64(t)))
     lines = lines.select("leaf", "template", F.size("tokens").alias("width"), "tokens", "sigs")
-    return materialise(alone.unionByName(merged_templates(lines, min_docs)).distinct())
+    found = sized(alone.unionByName(merged_templates(lines, min_docs)).distinct(), 16)
+    heads = seen.select("template", F.substring_index("line", " ", 1).alias("head")).join(found, "template")
+    return materialise(heads.groupBy("template").agg(F.first("head").alias("head")))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """The rows of docs with recurring lines dropped from text, and n_lines and dropped (line numbers from 0) added.
 
     Lines are what stands between line feeds; blank lines never recur. A text may end up empty, its row stays. A null
-    text stays null, with 0 lines and none dropped. Repeated rows are treated alike; columns of docs named n_lines or
+    text stays null, with 0 lines and none dropped; texts of any length are read whole. Of lines that tie none comes
+    first: all or none of a template's lines go. Repeated rows are treated alike; columns of docs named n_lines or
     dropped are replaced, all others come through, whatever their names. An empty table gives no row.
     """
     recurring = recurring_templates(docs, min_docs)
     rows = docs.drop("n_lines", "dropped")
-    schema = ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, ("n_lines", "int"), ("dropped", "array<int>")])
+    split = F.split("text", "\n", -1)
+    rows = rows.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)))
     if recurring.count() > BROADCAST_TEMPLATES:
         return _drop_by_join(rows, recurring)
-    known = np.sort(np.array([r[0] for r in recurring.collect()], np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    found = recurring.collect()
+    known, heads = frozenset(r.template for r in found), frozenset(r.head for r in found)
+    shared = docs.sparkSession.sparkContext.broadcast((known, heads))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, known = LineHasher(), frozenset(shared.value.tolist())
-        for batch in batches:
-            texts, counts, dropped = [], [], []
-            for text in batch["text"]:
-                lines = text.split("\n") if text is not None else []
-                out = [i for i, line in enumerate(lines) if (m := mask_line(line)) and hashed(m) in known]
-                gone = set(out)
-                texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if out else text)
-                counts.append(len(lines))
-                dropped.append(out)
-            yield batch.assign(text=texts, n_lines=counts, dropped=dropped)
+    def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        (known, heads), hashed = shared.value, LineHasher()
+        for texts in batches:
+            out = []
+            for text in texts:
+                own = []
+                for i, line in enumerate(text.split("\n") if text is not None else ()):
+                    first = line.split(None, 1)[:1]
+                    # most lines are told apart from all that recur by their first token
+                    if first and (first[0] in heads or _DIGIT.search(first[0])) and hashed(mask_line(line)) in known:
+                        own.append(i)
+                out.append(own)
+            yield pd.Series(out)
 
-    return rows.mapInPandas(run, schema)
+    rows = rows.withColumn("dropped", F.pandas_udf(numbers, "array<int>")("text"))
+    return rows.withColumn("text", _without("text", "dropped")).select(*map(quoted, docs.drop("n_lines", "dropped").columns), "n_lines", "dropped")
+
+
+def _without(text: str, dropped: str) -> Column:
+    """text without the lines of these numbers."""
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(dropped, i))
+    return F.when(F.size(dropped) > 0, F.array_join(kept, "\n")).otherwise(F.col(text))
 
 
 def _drop_by_join(rows: DataFrame, recurring: DataFrame) -> DataFrame:
-    """The same by a shuffle, for more templates than a broadcast may hold."""
+    """dropped, and text without these lines, by a shuffle, for more templates than a broadcast may hold."""
 
     def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashed = LineHasher()
         for texts in batches:
-            yield texts.map(lambda t: [hashed(m) if (m := mask_line(x)) else None for x in t.split("\n")] if t is not None else [])
+            yield texts.map(lambda t: [hashed(m) if (m := mask_line(x)) else None for x in t.split("\n")])
 
     of = F.pandas_udf(hashes, "array<long>")
-    texts = rows.filter("text is not null").select("text").distinct().withColumn("text_key", F.sha2("text", 256))
-    lines = texts.select("text_key", F.posexplode(of("text")).alias("line_no", "template")).filter("template is not null")
-    gone = lines.join(recurring, "template").groupBy("text_key").agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
-    out = rows.withColumn("text_key", F.sha2("text", 256)).join(gone, "text_key", "left").drop("text_key")
-    split = F.split("text", "\n", -1)
-    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    kept = F.filter(split, lambda x, i: ~F.array_contains(dropped, i))
-    out = out.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)), "dropped": dropped, "text": F.array_join(kept, "\n")})
-    return out.select(*rows.columns, "n_lines", "dropped")
+    key = free_name(rows, "text_key")
+    texts = rows.filter("text is not null").select("text").distinct().withColumn(key, F.sha2("text", 256))
+    lines = texts.select(key, F.posexplode(of("text")).alias("line_no", "template")).filter("template is not null")
+    gone = lines.join(recurring.select("template"), "template").groupBy(key).agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
+    out = rows.withColumn(key, F.sha2("text", 256)).join(gone, key, "left").drop(key)
+    out = out.withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    return out.withColumn("text", _without("text", "dropped"))

@@ -18,6 +18,7 @@ lost. Keys with many members are cut into blocks; a block meets only the members
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,10 +47,15 @@ def fine_radius(percent: int) -> int:
 BLOCK = 512
 #: Ids up to this number are sent to all executors (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_CACHE = 150_000
+#: Bytes of a text that are hashed at a time.
+_TEXT_BLOCK = 1 << 18
+_BREAK = re.compile(b"[\x20\x09-\x0d]")
+_SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
+_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BYTE = np.random.default_rng(19).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 _FINE_ODD = np.random.default_rng(21).integers(1, 1 << 31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -59,42 +65,65 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of the word shingles of texts."""
+    """Sorted distinct 64-bit hashes of the word shingles of texts.
 
-    def __init__(self, width: int) -> None:
-        from xxhash import xxh3_64_intdigest
+    A word's hash is a polynomial in its bytes, taken from running sums over the whole text, so that numpy does all the
+    work; long texts go through it in blocks that end between words.
+    """
 
-        self.width, self.hash, self.known = width, xxh3_64_intdigest, {}
+    def __init__(self, width: int) -> None:
+        self.width, self.powers, self.inverse = width, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        n = 1 << max(16, n.bit_length())
+        self.powers, self.inverse = np.full(n, _BASE, np.uint64), np.full(n, pow(int(_BASE), -1, 1 << 64), np.uint64)
+        self.powers[0] = self.inverse[0] = 1
+        np.multiply.accumulate(self.powers, out=self.powers)
+        np.multiply.accumulate(self.inverse, out=self.inverse)
+
+    def _block(self, raw: bytes) -> np.ndarray:
+        codes = np.frombuffer(raw, np.uint8)
+        if len(codes) > len(self.powers):
+            self._grow(len(codes))
+        space = np.ones(len(codes) + 2, bool)
+        space[1:-1] = _SPACE[codes]
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(_BYTE[codes] * self.powers[: len(codes)], out=sums[1:])
+        return _scramble((sums[edges[1::2]] - sums[edges[::2]]) * self.inverse[edges[::2]])
+
+    def words(self, text: str) -> np.ndarray:
+        """Hashes of the words in order: runs of anything but the six ASCII spaces, A-Z as a-z."""
+        raw, found, at = text.encode("utf-8"), [], 0
+        while at < len(raw):
+            end = _BREAK.search(raw, at + _TEXT_BLOCK)
+            end = end.start() if end else len(raw)
+            found.append(self._block(raw[at:end]))
+            at = end
+        return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, np.uint64), *found])
+
+    def rolled(self, text: str | None) -> np.ndarray:
+        """Hashes of the shingles in order."""
+        h = self.words(text) if text else np.zeros(0, np.uint64)
+        if not len(h):
+            return h
+        width = min(self.width, len(h))
+        n = len(h) - width + 1
+        total = h[:n].copy()
+        for k in range(1, width):
+            total = total * _STEP + h[k : k + n]
+        return _scramble(total + np.uint64(width))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8").lower().split() if text else []  # bytes: A-Z and the six ASCII spaces only
-        if not words:
-            return np.zeros(0, np.uint64)
-        known, make = self.known, self.hash
-        if len(known) > _CACHE:
-            known.clear()
-        values = []
-        for w in words:
-            v = known.get(w)
-            if v is None:
-                v = known[w] = make(w)
-            values.append(v)
-        h = np.array(values, np.uint64)
-        if len(h) < self.width:
-            return np.array([make(b" ".join(words), seed=len(h))], np.uint64)
-        n = len(h) - self.width + 1
-        total = np.zeros(n, np.uint64)
-        for k in range(self.width):
-            total = _scramble(total * _MIX[k % 3] + h[k : k + n])
-        return np.unique(total)
+        return np.unique(self.rolled(text))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """SYMBOLS values of 16 bits; shingles are not empty."""
-    out = np.empty(SYMBOLS, np.int64)
-    for i, odd in enumerate(_ODD):
-        out[i] = int((shingles * odd).min() >> np.uint64(24)) & 0xFFFF
-    return out
+    least = np.full(SYMBOLS, (1 << 64) - 1, np.uint64)
+    for start in range(0, len(shingles), 2048):
+        np.minimum(least, (shingles[start : start + 2048, None] * _ODD[None, :]).min(axis=0), out=least)
+    return (least >> np.uint64(24) & np.uint64(0xFFFF)).astype(np.int64)
 
 
 def fine_signature(shingles: np.ndarray) -> bytes:
