@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces kept in a worker's memory before it starts anew; bounds memory, never results.
@@ -53,6 +54,7 @@ class BytePairEncoder:
             self.shorter[rank] = next((x for x in prefixes if x in self.size), -1)
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
+        self.width = max(self.tokens, default=0) + 1
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -73,7 +75,7 @@ class BytePairEncoder:
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges keep the seam between the two tokens: undo their merges from the last one backwards; at
         no time may the tokens at the seam join at a lower rank than the merge that was undone."""
-        key = left << 20 | right
+        key = left * self.width + right
         known = self.fits.get(key)
         if known is not None:
             return known
@@ -165,11 +167,11 @@ def load_encoder(path: str, pattern: str) -> BytePairEncoder:
 def encode_documents(docs: DataFrame, path: str, pattern: str, emit_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs, and the ids themselves with emit_ids.
 
-    A null text counts as empty: no token, digests of nothing. Repeated rows are encoded each for itself, columns
-    other than doc_id and text are not read, and an empty table gives none. Decoding goes back from the ids.
+    A null text counts as empty: no token, digests of nothing. Texts of any length are encoded whole. Repeated rows are
+    encoded each for itself, null ids too; columns other than doc_id and text are not read, and an empty table gives
+    none. Decoding goes back from the ids.
     """
     fields = [
-        T.StructField("doc_id", T.LongType()),
         T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType()),
@@ -177,30 +179,29 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, emit_ids: bool =
     if emit_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = load_encoder(path, pattern)
         as_text = coder.id_text
-        for batch in batches:
+        for texts in batches:
             rows = []
-            for text in batch["text"]:
+            for text in texts:
                 ids = coder.encode(text) if text else []
                 listed = ",".join([as_text[i] for i in ids])
                 row = [len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()]
                 rows.append([*row, ids] if emit_ids else row)
-            out = pd.DataFrame(rows, columns=[f.name for f in fields[1:]])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            yield pd.DataFrame(rows, columns=[f.name for f in fields])
 
-    return docs.select("doc_id", "text").mapInPandas(encode, T.StructType(fields))
+    # ids stay in the JVM: pandas would turn a column with a null into floating point
+    coded = F.pandas_udf(encode, T.StructType(fields))("text")
+    return docs.select("doc_id", coded.alias("coded")).select("doc_id", "coded.*")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, text of rows with doc_id, ids. Null ids give an empty text; bytes that are no UTF-8 are replaced."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = load_encoder(path, pattern)
-        for batch in batches:
-            texts = [coder.decode([] if ids is None else list(ids)).decode("utf-8", "replace") for ids in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts})
+        for ids in batches:
+            yield pd.Series([coder.decode([] if x is None else list(x)).decode("utf-8", "replace") for x in ids], dtype=object)
 
-    return encoded.select("doc_id", "ids").mapInPandas(decode, "doc_id long, text string")
+    return encoded.select("doc_id", F.pandas_udf(decode, "string")("ids").alias("text"))

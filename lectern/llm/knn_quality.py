@@ -10,7 +10,7 @@ document with every labelled text, and the nearest vote with their similarity.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -89,8 +89,13 @@ def labelled_sample(labels: DataFrame, label: Column, per_class: int) -> DataFra
     return each[0].unionByName(each[1]).select("doc_id", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int, rank: int, seed_order: str = "doc_id") -> dict:
-    """Latent directions, labelled vectors and their labels, from the bounded sample."""
+def text_key(text: str | None) -> int:
+    return zlib.crc32(text.encode("utf-8")) << 31 | len(text) if text else 0
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int, rank: int) -> dict:
+    """Latent directions; of each labelled text, in order of the ids, its vector, the weight that it votes with (the
+    classes weigh the same), its label and its key."""
     sample = labelled_sample(labels, F.col("quality"), sample_per_class)
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,12 +104,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int, rank: int, se
             rows = [vectors.row(t) for t in batch["text"]]
             at = [np.flatnonzero(r) for r in rows]
             values = [r[i].tolist() for r, i in zip(rows, at, strict=True)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "at": [i.tolist() for i in at], "value": values})
-
-    # the sample's ids are bounded by 2 * sample_per_class, so they are the side to broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = texts.mapInPandas(sparse, "doc_id long, y int, at array<int>, value array<float>")
-    rows = found.dropDuplicates(["doc_id"]).toPandas().sort_values(seed_order)
+            keys = [text_key(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "key": keys, "at": [i.tolist() for i in at], "value": values})
+
+    # the sample's ids are bounded by 2 * sample_per_class, so they are the side to broadcast; of several texts of a
+    # doc_id the first in the alphabet counts
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    found = texts.mapInPandas(sparse, "doc_id long, y int, key long, at array<int>, value array<float>")
+    rows = found.toPandas().sort_values("doc_id")
+    rows = rows[rows["at"].map(len) > 0]
     x = np.zeros((len(rows), WIDTH), np.float32)
     for i, (at, value) in enumerate(zip(rows["at"], rows["value"], strict=True)):
         x[i, np.asarray(at, int)] = value
@@ -112,7 +120,39 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int, rank: int, se
     spread = x.T @ x  # WIDTH x WIDTH, whatever the sample
     values, directions = np.linalg.eigh(spread)
     directions = np.ascontiguousarray(directions[:, ::-1][:, :rank])
-    return {"directions": directions, "vectors": _unit(x @ directions), "y": y}
+    good = max(1.0, float(y.sum())), max(1.0, float((1 - y).sum()))
+    weight = np.where(y > 0, 1 / good[0], 1 / good[1]) * len(y) / 2
+    by_key: dict[int, list[int]] = {}
+    for i, key in enumerate(rows["key"].tolist()):
+        by_key.setdefault(key, []).append(i)
+    return {"directions": directions, "vectors": _unit(x @ directions), "y": y, "weight": weight.astype(np.float32), "by_key": by_key}
+
+
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest numbers of each row, ties to the lower column."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+    for i in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k):
+        near[i] = np.argsort(-cosine[i], kind="stable")[:k]
+    return near
+
+
+def vote(model: dict, texts: Sequence[str | None], vectors: TextVectors, neighbours: int) -> np.ndarray:
+    """The scores of a block of texts."""
+    y = model["y"]
+    z = _unit(np.stack([vectors.row(t) for t in texts]) @ model["directions"])
+    out = np.full(len(texts), 0.5)
+    if len(y):
+        cosine = z @ model["vectors"].T
+        for i, text in enumerate(texts):  # no labelled text votes on itself or a copy
+            cosine[i, model["by_key"].get(text_key(text), [])] = -1
+        near = nearest(cosine, min(neighbours, len(y)))
+        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 8 * model["weight"][near]
+        total = weight.sum(axis=1)
+        votes = (weight * y[near]).sum(axis=1)
+        out = np.where(total > 0, votes / np.where(total > 0, total, 1), 0.5)
+    out[[not (t and t.split()) for t in texts]] = 0.0
+    return np.clip(out, 0.0, 1.0)
 
 
 def with_scores(
@@ -124,31 +164,23 @@ def with_scores(
 ) -> DataFrame:
     """The rows of docs, all columns, with score (which replaces a column of that name).
 
-    score is the similarity-weighted share of good ones among the nearest labelled texts, from balanced classes. A
-    text without words has no direction and gets the share of good ones in the sample; so has every text if nothing is
-    labelled (0.5 then). Ties in similarity go to the labelled text of lower id. Repeated rows are scored each for
-    itself. Columns other than doc_id and text are not looked at; an empty table gives no row.
+    score is the share of good ones among the nearest labelled texts, weighted by similarity and so that both classes of
+    the sample weigh the same. A labelled text has no vote on itself or on its exact copies. A text without words (null,
+    empty, blank) scores 0: it is of no use, whatever its neighbours; a text that resembles nothing labelled, and every
+    text if nothing is labelled, 0.5. Ties in similarity go to the labelled text of lower id; of several texts of a
+    labelled doc_id the first in the alphabet is learned from. Texts of any length are read whole. Repeated rows are
+    scored each for itself, null ids too. Columns other than doc_id and text are not looked at; an empty table gives no
+    row.
     """
     model = fit(docs, labels, sample_per_class, rank)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m, vectors = shared.value, TextVectors()
-        y = m["y"]
-        prior = float(y.mean()) if len(y) else 0.5
-        k = min(neighbours, len(y))
+        vectors = TextVectors()
         for texts in batches:
-            out = np.full(len(texts), prior)
-            for start in range(0, len(texts) if k else 0, 512):
-                block = texts.iloc[start : start + 512]
-                z = _unit(np.stack([vectors.row(t) for t in block]) @ m["directions"])
-                cosine = z @ m["vectors"].T
-                near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-                weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 8
-                total = weight.sum(axis=1)
-                votes = (weight * y[near]).sum(axis=1)
-                out[start : start + len(block)] = np.where(total > 0, votes / np.where(total > 0, total, 1), prior)
-            yield pd.Series(np.clip(out, 0.0, 1.0))
+            own = texts.tolist()
+            parts = [vote(shared.value, own[i : i + 512], vectors, neighbours) for i in range(0, len(own), 512)]
+            yield pd.Series(np.concatenate([np.zeros(0), *parts]))
 
     return docs.withColumn("score", F.pandas_udf(score, "double")("text"))
 

@@ -232,7 +232,7 @@ def recurring_templates(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """template, head: hashes of the masked lines whose template recurs in min_docs unlike documents or more, and the
     first tokens of these lines."""
     seen = materialise(masked_lines(docs))
-    sigs = sized(seen.filter("sig is not null").groupBy("doc").agg(F.min("sig").alias("sig")), 16 + SYMBOLS)
+    sigs = materialise(seen.filter("sig is not null").groupBy("doc").agg(F.min("sig").alias("sig")))
     by_doc = materialise(seen.select("leaf", "template", "doc").distinct())
     counts = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("n"))
     leaves = counts.filter("leaf <> 0").groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("n"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, sized
 
 SYMBOLS, CHUNKS = 32, 8
 PER_CHUNK = SYMBOLS // CHUNKS
@@ -137,23 +137,20 @@ def fine_signature(shingles: np.ndarray) -> bytes:
 def sketch(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null without shingles), sig, fine."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_hexdigest
 
         shingle = Shingler(width)
-        for batch in batches:
-            sets = [shingle(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n_shingles": [len(s) for s in sets],
-                    "digest": [xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets],
-                    "sig": [signature(s).tolist() if len(s) else None for s in sets],
-                    "fine": [fine_signature(s) if len(s) else None for s in sets],
-                }
-            )
+        for texts in batches:
+            rows = []
+            for text in texts:
+                own = shingle(text)
+                rows.append((len(own), xxh3_128_hexdigest(own.tobytes()), signature(own).tolist(), fine_signature(own)) if len(own) else (0, None, None, None))
+            yield pd.DataFrame(rows, columns=["n_shingles", "digest", "sig", "fine"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, digest string, sig array<int>, fine binary")
+    # ids stay in the JVM: pandas would turn a column with a null into floating point
+    made = F.pandas_udf(run, "n_shingles long, digest string, sig array<int>, fine binary")("text")
+    return docs.select("doc_id", made.alias("made")).select("doc_id", "made.*")
 
 
 def chunk_keys(sig: str = "sig") -> F.Column:
@@ -354,9 +351,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Words are runs of anything but ASCII white space, A-Z lower-cased; shingles are `width` words, a shorter text is
     one shingle. Documents are linked if their sets share at least `percent` per cent of their union; component_id is
     the smallest doc_id reachable, kept says whether it is the document's own. Null or empty texts have no shingles
-    and no links; rows without doc_id have neither component nor links and are not kept. Repeated rows are copies of
-    each other; rows of one doc_id with different texts count as one document with several texts, linked if any is.
-    An empty table gives no row; other columns are not read.
+    and no links; rows without doc_id have neither component nor links and are not kept. Texts of any length are read
+    whole. Repeated rows are copies of each other; rows of one doc_id with different texts are one document with several
+    texts: they have one component, which holds all that is linked to any of the texts. An empty table gives no row;
+    other columns are not read.
     """
     sketches = materialise(sketch(docs, width))
     known = sketches.filter("doc_id is not null and digest is not null")
@@ -368,15 +366,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sigs, radius = reps.select("rep", "fine"), fine_radius(percent)
     blocks = F.ceil(F.col("n") / BLOCK)
     blocked = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).join(sigs, "rep")
-    linked = materialise(confirm(docs, materialise(nearest_pairs(blocked, radius)), width, percent).filter("linked"))
+    linked = confirm(docs, materialise(nearest_pairs(blocked, radius)), width, percent).filter("linked").select("a", "b")
+    # documents of several texts, the empty one included, join the representatives of all of them
+    several = sketches.filter("doc_id is not null").groupBy("doc_id")
+    several = several.agg(F.min(F.coalesce("digest", F.lit(""))).alias("least"), F.max(F.coalesce("digest", F.lit(""))).alias("most"))
+    several = sized(several.filter("least <> most").select("doc_id"), 16)
+    texts = known.join(several, "doc_id").select("doc_id", "digest").distinct().join(reps.select("digest", "rep"), "digest")
+    own = texts.filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    linked = materialise(linked.unionByName(own).distinct())
     found = components(linked)
     more = materialise(crossing_links(docs, members, found, reps.select("rep", "sig", "fine"), width, percent))
     if more.limit(1).count():
-        found = components(linked.select("a", "b").unionByName(more))
+        found = components(linked.unionByName(more))
     named = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("digest", F.coalesce("comp", "rep").alias("class_id"))
-    # one doc_id with several texts: all its rows take the smallest component
     out = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("component_id")
     out = out.select("doc_id", "n_shingles", component)
+    if several.limit(1).count():  # their empty rows
+        least = out.join(several, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

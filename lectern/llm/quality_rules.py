@@ -1,12 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects documents whose metric exceeds a cutoff. The cutoffs are not guessed: on labelled good documents the
-false rejections of every cutoff of a grid are counted, for each stratum by itself. From the loosest cutoff on, the
-exact (Clopper-Pearson) upper bound of the false rejection rate is tested against the rule's share of the allowed
-risk; the strictest cutoff before the first failure is taken. Going through a fixed sequence needs no correction along
-the grid; over strata and rules the level is divided (Bonferroni). With probability 1 - delta every stratum then loses
-at most max_risk of its good documents, provided the labelled ones are drawn like the others. A rule whose loosest
-cutoff fails, for example for want of labelled documents, rejects nothing in that stratum.
+Each rule rejects documents whose metric exceeds a cutoff. The cutoffs are not guessed. A ladder of settings, fixed
+beforehand, goes from loose to strict: on each step all rules tighten together along their grids. On labelled good
+documents the false rejections of a step are counted, of all its rules together, and the exact (Clopper-Pearson) upper
+bound of their rate is tested against the allowed risk; the last step before the first failure is taken. Going through
+a fixed sequence needs no correction along it.
+
+Two families of tests share the error level. Half of it is divided over the strata (Bonferroni): a stratum that passes
+steps by itself has the guarantee that, with probability 1 - delta for all strata together, its share of rejected good
+documents is max_risk at most. The other half goes to one ladder over all documents: a stratum with too few labels for
+a step of its own takes the cutoffs found there, for which the guarantee holds over all documents together. Where that
+fails too, for want of labels, the rules reject nothing. All this provided that the labelled documents are drawn like
+the others; exact copies among them count as one trial.
 """
 
 from __future__ import annotations
@@ -14,7 +19,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,16 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, quoted
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: Metric (higher is worse) and its cutoffs from the loosest to the strictest.
+#: Metric (higher is worse) and its cutoffs from the loosest to the strictest; the ladder's steps are their numbers.
 RULES: dict[str, Sequence[float]] = {
-    "symbols_per_word": tuple(x / 100 for x in range(200, 0, -5)),
-    "dup_line_share": tuple(x / 100 for x in range(95, 0, -5)),
-    "repeat_share": tuple(x / 100 for x in range(50, 0, -2)),
-    "upper_share": tuple(x / 100 for x in range(95, 0, -5)),
+    "symbols_per_word": tuple(x / 100 for x in range(200, 4, -5)),
+    "dup_line_share": tuple(x / 100 for x in range(98, 19, -2)),
+    "repeat_share": tuple(x / 100 for x in range(49, 9, -1)),
+    "upper_share": tuple(x / 100 for x in range(98, 19, -2)),
 }
+#: Values that a stratum may have: each has a row of counts on the driver.
+MOST_STRATA = 1_000
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
 
@@ -78,16 +86,14 @@ def _repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def count_texts(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys and the counts for every row of docs."""
-    fields = [docs.schema[k] for k in keys] + [T.StructField(c, T.LongType()) for c in _COUNTS]
+def count_texts() -> Callable[[str], Column]:
+    """A function from the name of a text column to the struct of its counts."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts = pd.DataFrame(map(text_counts, batch["text"]), columns=_COUNTS, dtype="int64")
-            yield pd.concat([batch[list(keys)].reset_index(drop=True), counts], axis=1)
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame(map(text_counts, texts), columns=_COUNTS, dtype="int64")
 
-    return docs.select(*keys, "text").mapInPandas(count, T.StructType(fields))
+    return F.pandas_udf(count, T.StructType([T.StructField(c, T.LongType()) for c in _COUNTS]))
 
 
 def metrics() -> dict[str, Column]:
@@ -119,54 +125,64 @@ def binomial_upper(errors: int, n: int, level: float) -> float:
     return high
 
 
-def choose_cutoffs(
-    counts: pd.DataFrame, rules: Mapping[str, Sequence[float]], max_risk: float, delta: float
-) -> dict[tuple[str, str], float]:
-    """(stratum, rule) to cutoff. counts: stratum, n, and one column rule|index with the false rejections there."""
-    level = delta / max(1, len(counts) * len(rules))
-    chosen = {}
-    for row in counts.to_dict("records"):
-        for rule, grid in rules.items():
-            for i, cutoff in enumerate(grid):
-                errors = int(row[f"{rule}|{i}"])
-                if row["n"] < 1 or errors / row["n"] >= max_risk / len(rules):
-                    break
-                if binomial_upper(errors, int(row["n"]), level) > max_risk / len(rules):
-                    break
-                chosen[row["stratum"], rule] = cutoff
-    return chosen
+def last_step(n: int, errors: Sequence[int], max_risk: float, level: float) -> int:
+    """The number of steps that pass before the first failure: errors[i] of n good documents are rejected on step i."""
+    for i, wrong in enumerate(errors):
+        if n < 1 or wrong >= max_risk * n or binomial_upper(wrong, n, level) > max_risk:
+            return i
+    return len(errors)
+
+
+def choose_steps(counts: Mapping[str | None, tuple[int, Sequence[int]]], max_risk: float, delta: float) -> dict[str | None, int]:
+    """Steps that each stratum may take, and under None those found over all documents.
+
+    counts: stratum to its good documents and their false rejections on each step; None for all documents.
+    """
+    strata = [s for s in counts if s is not None]
+    chosen = {s: last_step(*counts[s], max_risk, delta / 2 / len(strata)) for s in strata}
+    overall = last_step(*counts[None], max_risk, delta / 2) if None in counts else 0
+    return {s: k or overall for s, k in chosen.items()} | {None: overall}
 
 
 def quality_rules(
     docs: DataFrame,
     labels: DataFrame,
     stratum: str = "lang",
-    max_risk: float = 0.05,
+    max_risk: float = 0.02,
     delta: float = 0.05,
     rules: Mapping[str, Sequence[float]] = RULES,
 ) -> DataFrame:
     """doc_id, the counts, base_failed, failed_rule (first rule that rejects, else null), kept: one row per row of docs.
 
-    stratum names a column with few values (its distinct values make one row each on the driver); null is a stratum of
-    its own. Good documents are those with labels.quality = 1 that pass the base; a doc_id labelled twice counts once,
-    as good if any of its labels is. Null or empty texts have zero counts and fail the base. Repeated rows are judged
-    each for itself. Empty docs give no row; empty labels leave the base alone. Other columns are not read.
+    stratum names a column with few values (at most MOST_STRATA, else an error: they make one row each on the driver);
+    null is a stratum of its own, and one without labels takes the cutoffs found over all documents. Good documents are
+    those with labels.quality = 1 that pass the base; a doc_id labelled twice counts once, as good if any of its labels
+    is. Null or empty texts have zero counts and fail the base; texts of any length are counted whole; a metric equal to
+    its cutoff passes. Repeated rows are judged each for itself, null ids too. Empty docs give no row; empty labels leave
+    the base alone. Other columns are not read. The rules' grids must have the same number of cutoffs.
     """
-    counted = docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias(stratum))
-    counted = materialise(count_texts(counted, ["doc_id", stratum]))  # read twice; a few numbers for each document
+    (steps,) = {len(grid) for grid in rules.values()} or {0}
+    counted = docs.select("doc_id", F.coalesce(quoted(stratum).cast("string"), F.lit("")).alias("stratum"), "text")
+    counted = counted.withColumn("counts", count_texts()("text")).withColumn("copy", F.xxhash64("text"))
+    counted = materialise(counted.select("doc_id", "stratum", "copy", "counts.*"))  # read twice; a few numbers for each document
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    tries = []
-    for rule, grid in rules.items():
-        for i, cutoff in enumerate(grid):
-            tries.append(F.count_if(metrics()[rule] > cutoff).alias(f"{rule}|{i}"))
-    passed = counted.filter(~base_failed()).join(good, "doc_id", "left_semi")
-    seen = passed.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *tries)
-    chosen = choose_cutoffs(seen.toPandas(), rules, max_risk, delta)
+    passed = counted.filter(~base_failed()).join(good, "doc_id", "left_semi").dropDuplicates(["stratum", "copy"])
+
+    def rejected(step: int) -> Column:
+        return reduce(Column.__or__, (metrics()[rule] > grid[step] for rule, grid in rules.items()))
+
+    seen = passed.rollup("stratum").agg(F.count("*").alias("n"), *(F.count_if(rejected(i)).alias(f"e{i}") for i in range(steps)))
+    found = seen.limit(MOST_STRATA + 2).collect()
+    if len(found) > MOST_STRATA + 1:
+        raise ValueError(f"{stratum} has more than {MOST_STRATA} values")
+    chosen = choose_steps({r["stratum"]: (r["n"], [r[f"e{i}"] for i in range(steps)]) for r in found}, max_risk, delta)
+    overall = chosen.pop(None)
+    taken = F.lit(overall)
+    for value, k in sorted(chosen.items()):
+        taken = F.when(F.col("stratum") == value, k).otherwise(taken)
     failed = F.lit(None).cast("string")
     for rule in reversed(list(rules)):
-        for (value, name), cutoff in sorted(chosen.items()):
-            if name == rule:
-                failed = F.when((F.col(stratum) == value) & (metrics()[rule] > cutoff), rule).otherwise(failed)
-    return counted.select("doc_id", *_COUNTS, base_failed().alias("base_failed"), failed.alias("failed_rule")).withColumn(
-        "kept", ~F.col("base_failed") & F.col("failed_rule").isNull()
-    )
+        cutoff = F.element_at(F.array(F.lit(float("inf")), *map(F.lit, rules[rule])), F.col("taken") + 1)
+        failed = F.when(metrics()[rule] > cutoff, rule).otherwise(failed)
+    judged = counted.withColumn("taken", taken).select("doc_id", *_COUNTS, base_failed().alias("base_failed"), failed.alias("failed_rule"))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())

@@ -106,9 +106,12 @@ def _url_sql() -> str:
 
 
 def _chat_sql() -> str:
-    broken = "replace(text, '\\', '\\\\')"
-    for mark in chat_format.CONTROL:
-        broken = f"replace({broken}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+    def broken(column: str) -> str:
+        out = f"replace({column}, '\\', '\\\\')"
+        for mark in chat_format.CONTROL:
+            out = f"replace({out}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+        return out
+
     frame = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in chat_format._MARKS.items())
     return f"""
     WITH turns AS (
@@ -119,7 +122,8 @@ def _chat_sql() -> str:
            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
            coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-           sum(length({broken}) + CASE role {frame} ELSE length(role) + 15 END)::BIGINT AS formatted_chars
+           sum(length({broken('text')}) + CASE role {frame}
+               ELSE length(replace({broken('role')}, chr(10), '\\n')) + 15 END)::BIGINT AS formatted_chars
     FROM turns GROUP BY conv_id"""
 
 

@@ -133,16 +133,13 @@ class ToxicFeatures:
 
 def features(docs: DataFrame, keep: Sequence[str], learned: Sequence[str], insults: Sequence[str] = INSULTS) -> DataFrame:
     """keep and the features as an array column x, for every row."""
-    fields = ", ".join(f"{c} {t}" for c, t in docs.select(*keep).dtypes) + ", x array<double>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = ToxicFeatures(insults, learned)
-        for batch in batches:
-            out = batch[list(keep)].copy()
-            out["x"] = [[float(v) for v in of.row(t)] for t in batch["text"]]
-            yield out
+        for texts in batches:
+            yield pd.Series([[float(v) for v in of.row(t)] for t in texts])
 
-    return docs.select(*keep, "text").mapInPandas(run, fields)
+    return docs.select(*keep, F.pandas_udf(run, "array<double>")("text").alias("x"))
 
 
 def learn_lexicon(texts: DataFrame, size: int, least: int = 5) -> list[str]:

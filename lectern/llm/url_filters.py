@@ -127,28 +127,23 @@ def filter_urls(
     none; other columns are not read. URLs are matched whole, however long.
     """
     ranked = sorted(host_rules, key=lambda r: -len(r[0]))
-    schema = T.StructType(
-        [T.StructField(n, T.LongType()) for n in ("page_id",)]
-        + [T.StructField(n, T.StringType()) for n in ("url", "host", "path", "rule", "verdict")]
-        + [T.StructField("globs", T.ArrayType(T.StringType()))]
+    judged_type = T.StructType(
+        [T.StructField(n, T.StringType()) for n in ("rule", "verdict")] + [T.StructField("globs", T.ArrayType(T.StringType()))]
     )
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         automaton = GlobAutomaton([f"*.{rule}**" for rule, _ in ranked] + list(block_globs))
         names = np.array([rule for rule, _ in ranked] + [None], object)
         said = np.array([verdict for _, verdict in ranked] + [None], object)
         globs = np.array(block_globs, object)
-        for batch in batches:
-            urls = ("." + batch["host"] + batch["path"]).str.encode("utf-8").tolist()
-            hits = automaton.match(urls)
+        for host, path in batches:
+            hits = automaton.match(("." + host + path).str.encode("utf-8").tolist())
             by_rule, by_glob = hits[:, : len(ranked)], hits[:, len(ranked) :]
             first = np.where(by_rule.any(axis=1), by_rule.argmax(axis=1) if len(ranked) else 0, len(ranked))
             blocked = np.where(by_glob.any(axis=1), "block", "allow")
-            yield batch.assign(
-                rule=names[first],
-                verdict=np.where(first < len(ranked), said[first], blocked),
-                globs=[globs[row].tolist() for row in by_glob],
-            )
+            verdict = np.where(first < len(ranked), said[first], blocked)
+            yield pd.DataFrame({"rule": names[first], "verdict": verdict, "globs": [globs[row].tolist() for row in by_glob]})
 
     ready = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    return ready.mapInPandas(judge, schema)
+    judged = ready.withColumn("judged", F.pandas_udf(judge, judged_type)("host", "path"))
+    return judged.select("page_id", "url", "host", "path", "judged.*")

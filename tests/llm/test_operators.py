@@ -1,8 +1,11 @@
 import hashlib
 import random
+import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import (
     bpe,
@@ -106,14 +109,71 @@ def test_chat_round_trip_and_control_strings(spark):
     assert len(text) == out[1].formatted_chars and text.count("</s>") == 1
 
 
+def _conversation(spark, n, conv=1):
+    rows = [(conv, k, "user" if k % 2 == 0 else "assistant", f"think{k}|say{k}") for k in range(n)]
+    return [r[2:] for r in rows], spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+
+def _rebuilt(rows):
+    """The outputs after each turn, from the rows' starts and pieces alone."""
+    text, out = "", []
+    for r in rows:
+        text = text[: r.start] + r.piece
+        assert len(text) == r.end
+        out.append(text)
+    return out
+
+
 def test_rewriting_templates_are_found(spark):
     def render(turns):  # shows reasoning in the last turn only
         return "".join(f"<{r}>{t if i == len(turns) - 1 else t.split('|')[-1]};" for i, (r, t) in enumerate(turns))
 
-    template = chat_format.Template(render, lambda s: ("", "", s, ""), reach=2)
-    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"think{k}|say{k}") for k in range(4)]
-    out = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template).orderBy("ord").collect()
-    assert [r.rewrites_history for r in out] == [False, True, True, True]
+    turns, table = _conversation(spark, 4)
+    for reach in (None, 0, 2):  # a wrong declaration is noticed
+        out = chat_format.format_turns(table, chat_format.Template(render, reach)).orderBy("ord").collect()
+        assert [r.rewrites_history for r in out] == [False, True, True, True]
+        assert _rebuilt(out) == [render(turns[: k + 1]) for k in range(4)]
+        assert [o[r.loss_start : r.loss_end] for r, o in zip(out, _rebuilt(out)) if r.role == "assistant"] == [turns[1][1], turns[3][1]]
+        assert all((r.loss_start is None) == (r.role == "user") for r in out)
+
+
+def test_a_late_rewrite_and_a_template_that_counts(spark):
+    def late(turns):  # hides the first turn once there are more than 20
+        return "".join("gone;" if i == 0 and len(turns) > 20 else f"{r}:{t};" for i, (r, t) in enumerate(turns))
+
+    def counting(turns):
+        return "".join(f"#{i} {r}:{t};" for i, (r, t) in enumerate(turns))
+
+    turns, table = _conversation(spark, 24)
+    out = chat_format.format_turns(table, chat_format.Template(late)).orderBy("ord").collect()
+    assert [r.ord for r in out if r.rewrites_history] == [20] and _rebuilt(out)[-1] == late(turns)
+    for reach in (None, 1):
+        out = chat_format.format_turns(table, chat_format.Template(counting, reach)).orderBy("ord").collect()
+        assert not any(r.rewrites_history for r in out) and _rebuilt(out)[-1] == counting(turns)
+        assert all(counting(turns)[r.loss_start : r.loss_end] == turns[r.ord][1] for r in out if r.role == "assistant")
+
+
+def test_templates_that_look_back_a_turn(spark):
+    def render(turns):  # names the role before
+        return "".join(f"({turns[i - 1][0] if i else ''}>{r}) {t};" for i, (r, t) in enumerate(turns))
+
+    turns, table = _conversation(spark, 60)
+    out = chat_format.format_turns(table, chat_format.Template(render, reach=1)).orderBy("ord").collect()
+    assert _rebuilt(out)[-1] == render(turns) and all(render(turns)[r.loss_start : r.loss_end] == turns[r.ord][1] for r in out if r.role == "assistant")
+
+
+def test_texts_that_a_template_does_not_show_have_no_span(spark):
+    _, table = _conversation(spark, 2)
+    out = chat_format.format_turns(table, chat_format.Template(lambda turns: "".join(f"{r} says {len(t)};" for r, t in turns))).collect()
+    assert all(r.loss_start is None and r.loss_end is None for r in out)
+
+
+def test_roles_with_line_breaks_come_back(spark):
+    roles = ["a\nb", "\\n", "x\\\ny", "[TURN", "user"]
+    rows = [(1, k, r, f"t{k}") for k, r in enumerate(roles)]
+    turns = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    (out,) = chat_format.conversation_digests(turns).collect()
+    assert out.turns_sha256 == hashlib.sha256("".join(f"{r}\nt{k}\n" for k, r in enumerate(roles)).encode()).hexdigest()
 
 
 def test_long_conversations_take_the_same_spans(spark):
@@ -159,6 +219,45 @@ def test_rules_keep_good_and_drop_bad(spark):
     assert out[2000].base_failed and not out[2001].kept
 
 
+def test_rules_work_on_few_labels_and_copies_are_one_trial(spark):
+    rnd = random.Random(3)
+    good = {i: words(rnd, 80, 5000) for i in range(250)}
+    bad = {1000 + i: " ".join(w + "###" for w in words(rnd, 80, 5000).split()) for i in range(20)}
+    labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+    out = quality_rules.quality_rules(docs(spark, {**good, **bad}), labels).collect()
+    assert all(r.kept == (r.doc_id in good) for r in out)
+    copies = docs(spark, {**{i: good[0] for i in range(250)}, **bad})
+    assert all(r.kept for r in quality_rules.quality_rules(copies, labels).collect())
+
+
+def test_strata_are_bounded(spark, monkeypatch):
+    rnd = random.Random(4)
+    monkeypatch.setattr(quality_rules, "MOST_STRATA", 5)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    with pytest.raises(ValueError):
+        quality_rules.quality_rules(docs(spark, [words(rnd, 60, 5000) for _ in range(9)]), labels, stratum="doc_id")
+
+
+def test_cutoffs_equal_a_search_by_the_binomial_law(spark):
+    import math
+
+    def bound_holds(wrong, n, risk, level):  # the chance of so few errors, were the risk at its limit
+        return sum(math.comb(n, k) * risk**k * (1 - risk) ** (n - k) for k in range(wrong + 1)) <= level
+
+    rnd = random.Random(5)
+    for _ in range(60):
+        counts = {}
+        for s in [None, "a", "b", "c"][: rnd.randint(2, 4)]:
+            n = rnd.randint(1, 900)
+            counts[s] = (n, sorted(min(n, rnd.choice([0, 0, 1, 3, 9, 40])) for _ in range(6)))
+        strata = [s for s in counts if s is not None]
+        got = quality_rules.choose_steps(counts, 0.02, 0.05)
+        for s, (n, errors) in counts.items():
+            level = 0.025 if s is None else 0.025 / len(strata)
+            expected = next((i for i, e in enumerate(errors) if e >= 0.02 * n or not bound_holds(e, n, 0.02, level)), len(errors))
+            assert got[s] == (expected or got[None])
+
+
 # 4 and 7: classifiers
 
 
@@ -188,6 +287,59 @@ def test_quality_on_held_out(spark, labelled):
     assert {r.score for r in knn_quality.quality_scores(table.limit(3), labels.limit(0)).collect()} == {0.5}
 
 
+def test_scores_equal_a_plain_vote(spark, labelled):
+    table, labels = labelled
+    model = knn_quality.fit(table, labels, 1500, 48)
+    out = {r.doc_id: r.score for r in knn_quality.quality_scores(table, labels).collect()}
+    texts = {r.doc_id: r.text for r in table.collect()}
+    sample = sorted((r.doc_id, r.quality) for r in labels.collect() if not (zlib.crc32(str(r.doc_id).encode()) % 3 == 1))
+    vectors = knn_quality.TextVectors()
+    n = [sum(q == y for _, q in sample) for y in (0, 1)]
+    latent = {i: vectors.row(texts[i]) @ model["directions"] for i in texts}
+    for i in [*range(0, 500, 25), 9003]:
+        def cosine(j):
+            return float(latent[i] @ latent[j] / (np.linalg.norm(latent[i]) * np.linalg.norm(latent[j])))
+
+        near = sorted(((-cosine(j), j, y) for j, y in sample if texts[j] != texts[i]))[:15]
+        votes = [(max(-c, 0) ** 8 / n[y], y) for c, _, y in near]
+        assert abs(out[i] - sum(w for w, y in votes if y) / sum(w for w, _ in votes)) < 1e-3, i
+    assert out[9001] == out[9002] == 0.0
+
+
+def test_ties_go_to_the_lower_column():
+    rnd = np.random.default_rng(2)
+    cosine = rnd.integers(0, 5, (50, 30)).astype(np.float32)
+    got = knn_quality.nearest(cosine, 7)
+    for row, near in zip(cosine, got, strict=True):
+        assert set(near.tolist()) == set(sorted(range(30), key=lambda c: (-row[c], c))[:7])
+
+
+def test_toxic_features_against_the_definition():
+    rnd = random.Random(31)
+    of = toxicity.ToxicFeatures(["idiot", "moron"], ["blick", "idiom*"])
+    names = toxicity.FEATURES
+    for _ in range(200):
+        own = [rnd.choice(["idiot", "Moron!", "you", "the", "BLICK", "1d1ot", "fine", "OK!!", "x2", "a", "idiomatic"]) for _ in range(rnd.randint(1, 30))]
+        row = dict(zip(names, of.row(" ".join(own)), strict=True))
+        core = [w.strip("!").lower() for w in own]
+        hits = [i for i, w in enumerate(core) if w in ("idiot", "moron", "blick", "1d1ot")]
+        persons = [i for i, w in enumerate(core) if w == "you"]
+        n = len(own)
+        expected = {
+            "insults": 100 * sum(w in ("idiot", "moron") for w in core) / n,
+            "learned": 100 * core.count("blick") / n,
+            "obfuscated": 100 * core.count("1d1ot") / n,
+            "second_person": 100 * len(persons) / n,
+            "near_second_person": np.log1p(sum(any(abs(h - p) <= 5 for p in persons) for h in hits)),
+            "capitals": sum(w in ("BLICK", "OK!!") for w in own) / n,
+            "exclamations": sum(w.count("!") for w in own) / n,
+            "punctuation": sum(w.count("!") for w in own) / n,
+            "mixed_digits": sum(w in ("1d1ot", "x2") for w in own) / n,
+            "stems": 100 * core.count("idiomatic") / n,
+        }
+        assert all(abs(row[k] - v) < 1e-5 for k, v in expected.items()), own
+
+
 def test_toxicity_on_held_out(spark, labelled):
     table, labels = labelled
     out = toxicity.toxicity_scores(table, labels, trees=4)
@@ -245,6 +397,15 @@ def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     assert sorted((str(r.component_id), r.kept) for r in neardup.near_duplicates(rows).collect()) == [("1", True), ("1", True), ("None", False)]
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    a, b, c = (f"{x} b c d e f g h i j {x}" for x in ("one", "two", "three"))
+    rows = [(3, a), (5, a), (5, b), (7, b), (5, ""), (9, c), (9, c), (11, None), (2**53 + 1, c), (2**53, "own text here"), (None, a)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in out if r.doc_id is not None)
+    big = 2**53
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True), (9, 9, True), (11, 11, True), (big, big, True), (big + 1, 9, False)]
+
+
 # 9: substring dedup
 
 
@@ -409,20 +570,118 @@ def test_lines_meet_across_the_blocks_of_a_key(spark, monkeypatch):
     assert {len(x) for x in out.values()} == {0, 1} and all(out[i] == ([1] if agree[i] >= 10 else []) for i in line)
 
 
+def test_dropped_lines_equal_a_search_of_all_templates(spark):
+    rnd = random.Random(52)
+    vocabulary = ["ba", "be", "bi", "bo"]
+    texts = {}
+    for i in range(160):
+        own = [words(rnd, 40, 90_000)]
+        for _ in range(rnd.randint(0, 3)):
+            lead = rnd.choice(["Go to the", "See all of"])
+            own.append(" ".join([lead, *(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 7)))]))
+        if rnd.random() < 0.3:
+            own.append(f"Page {rnd.randrange(99)} of ours")
+        texts[i] = "\n".join([*own, words(rnd, 40, 90_000)])
+    masked = {i: [line_templates.mask_line(x) for x in t.split("\n")] for i, t in texts.items()}
+    stands = {}
+    for i, lines in masked.items():
+        for x in lines:
+            stands.setdefault(x, set()).add(i)
+
+    def together(a, b):
+        x, y = a.split(" "), b.split(" ")
+        return a == b or len(x) == len(y) > 3 and x[:3] == y[:3] and sum(map(str.__eq__, x, y)) >= 0.75 * len(x)
+
+    recurs = {a: len(set().union(*(s for b, s in stands.items() if together(a, b)))) >= 10 for a in stands}
+    assert {True, False} == {v for a, v in recurs.items() if a.startswith("Go")}
+    out = {r.doc_id: r.dropped for r in line_templates.drop_recurring_lines(docs(spark, texts)).collect()}
+    assert all(out[i] == [k for k, x in enumerate(lines) if recurs[x]] for i, lines in masked.items())
+
+
 # 1: decontamination
 
 
 def test_leaks_exact_upper_case_and_with_other_parameters(spark):
     item = "if Anna buys 12 apples for 3 euros and later sells half of the apples how many euros does Anna get back"
     other = item.replace("Anna", "Bert").replace("12", "50")
-    wrong = item.replace("does Anna", "does Carl")
     rnd = random.Random(1)
-    texts = {0: words(rnd, 30) + " " + item + ". " + words(rnd, 30), 1: words(rnd, 9) + " " + other, 2: wrong, 3: words(rnd, 200), 4: None, 5: "", 6: "how many euros does", 7: "two words"}
-    benchmark = spark.createDataFrame([(1, item), (2, "two words"), (3, None), (4, ""), (None, item)], "item_id long, text string")
+    coins = "so we give 7 coins and then 7 more coins to him"
+    texts = {0: words(rnd, 30) + " " + item + ". " + words(rnd, 30), 1: words(rnd, 9) + " " + other, 2: coins.replace("then 7", "then 8"), 3: words(rnd, 200), 4: None, 5: "", 6: "how many euros does", 7: "two words"}
+    texts |= {8: "two words more", 9: f"x {coins.replace('7', '9')} y"}
+    benchmark = spark.createDataFrame([(1, item), (2, "two words"), (3, None), (4, ""), (None, item), (5, coins), (5, coins)], "item_id long, text string")
     out = {(r.doc_id, r.item_id): r for r in decontamination.find_leaks(docs(spark, texts), benchmark).collect()}
-    assert set(out) == {(0, 1), (1, 1), (7, 2)} and out[0, 1].exact and not out[1, 1].exact
+    assert set(out) == {(0, 1), (1, 1), (7, 2), (9, 5)} and out[0, 1].exact and not out[1, 1].exact
     kept = decontamination.decontaminate(docs(spark, texts), benchmark)
-    assert {r.doc_id for r in kept.collect()} == {2, 3, 4, 5, 6} and kept.columns == docs(spark, texts).columns
+    assert {r.doc_id for r in kept.collect()} == {2, 3, 4, 5, 6, 8} and kept.columns == docs(spark, texts).columns
+
+
+def _brute_leaks(spark, texts, items):
+    """Every alignment, every run in it, by the words of the definition."""
+    d = decontamination
+
+    def tokens(rows):
+        table = spark.createDataFrame(list(rows.items()), "id long, text string").withColumn("raw", d.raw_tokens(F.col("text")))
+        return {r.id: (r.raw, r.tokens) for r in table.select("id", "raw", d.template_tokens(F.col("raw")).alias("tokens")).collect()}
+
+    slots = {d.NUMBER, d.NAME, d.UNIT}
+    out = set()
+    for i, (item_raw, item) in tokens(items).items():
+        need, words_ = min(13, len(item)), max(1, min(5, sum(t not in slots for t in item)))
+        for j, (raw, own) in tokens(texts).items():
+            for shift in range(-len(item) + 1, len(own)):
+                if len(item) < 3 and (len(own) != len(item) or shift):
+                    continue
+                for first in range(len(item)):
+                    one, other, n_words = {}, {}, 0
+                    for at in range(first, len(item)):
+                        k = at + shift
+                        if not 0 <= k < len(own) or own[k] != item[at]:
+                            break
+                        if item[at] in slots:
+                            if one.setdefault(item_raw[at], raw[k]) != raw[k] or other.setdefault(raw[k], item_raw[at]) != item_raw[at]:
+                                break
+                        else:
+                            n_words += 1
+                        if at - first + 1 >= need and n_words >= words_:
+                            out.add((j, i))
+    return out
+
+
+def test_leaks_equal_a_search_of_all_runs_with_slots(spark):
+    rnd = random.Random(41)
+    items = {}
+    for n in [*range(1, 16), 20, 25, 30]:
+        items[n] = " ".join(rnd.choice([f"w{rnd.randrange(90)}x".replace("w", "abcdefgh"[rnd.randrange(8)]), str(rnd.randrange(4)), "of"]) for _ in range(n))
+        items[n] = items[n].translate(str.maketrans("0123456789", "0123456789")) if n % 2 else "".join(c for c in items[n])
+    texts = {}
+    for offset in range(13):
+        for n, item in items.items():
+            own = item.split()
+            if rnd.random() < 0.6:  # other parameters, consistent or not
+                by = {str(k): str(rnd.randrange(4, 7)) for k in range(4)}
+                own = [by.get(t, t) if rnd.random() < 0.95 else t for t in own]
+            if rnd.random() < 0.3:
+                own = own[: rnd.randint(1, len(own))]
+            pad = lambda k: " ".join(f"pad{rnd.choice('abcdef')}" if rnd.random() < 0.8 else str(rnd.randrange(5)) for _ in range(k))
+            texts[len(texts)] = f"{pad(offset)} {' '.join(own)} {pad(rnd.randint(0, 6))}".strip()
+    expected = _brute_leaks(spark, texts, items)
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs(spark, texts), benchmark).collect()}
+    assert got == expected and len({i for _, i in got}) >= 12
+
+
+def test_a_number_behind_the_leak_does_not_hide_it(spark):
+    item = "if Anna buys 12 apples for 3 euros and later sells half of the apples how many does Anna get 12 times"
+    leak = " ".join(item.split()[:-2]) + " 77 more"  # its last slot contradicts an earlier one
+    both = item.replace("12", "3")  # two values of the item became one
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = {r.doc_id for r in decontamination.find_leaks(docs(spark, {0: leak, 1: item, 2: "x " * 20_000 + item}), benchmark).collect()}
+    assert out == {0, 1, 2} == out | _ids(_brute_leaks(spark, {0: leak}, {1: item}))
+    assert _ids(_brute_leaks(spark, {5: both}, {1: item})) == {r.doc_id for r in decontamination.find_leaks(docs(spark, {5: both}), benchmark).collect()}
+
+
+def _ids(pairs):
+    return {d for d, _ in pairs}
 
 
 def test_leaks_equal_a_search_for_runs(spark):
