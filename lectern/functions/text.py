@@ -12,6 +12,7 @@ from . import params as P
 CJK = "\\u4e00-\\u9fff"
 _RUNS = f"([A-Za-z0-9_]+|[{CJK}]+)"
 _STRINGS = "array<string>"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,7 +60,11 @@ def tokenize_lexical(c: Column) -> Column:
         rest = F.when(F.length(r) == 1, F.array(r)).otherwise(F.concat(ngrams(r, 2), ngrams(r, 3)))
         return F.when(r.rlike("^[A-Za-z0-9_]"), F.array(F.lower(r))).otherwise(F.concat(whole, rest))
 
-    return F.flatten(F.transform(F.regexp_extract_all(text_or_empty(c), F.lit(_RUNS), F.lit(1)), run))
+    text = text_or_empty(c)
+    # most texts have Latin runs only, which need no work on each token
+    latin = F.regexp_extract_all(F.translate(text, _UPPER, _UPPER.lower()), F.lit("[a-z0-9_]+"), F.lit(0))
+    mixed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_RUNS), F.lit(1)), run))
+    return F.when(text.rlike(f"[{CJK}]"), mixed).otherwise(latin)
 
 
 def tokenize_embedding(c: Column) -> Column:

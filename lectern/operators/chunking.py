@@ -103,14 +103,7 @@ def build_chunks(pages: DataFrame) -> DataFrame:
 
 
 def neighbor_context(chunks: DataFrame) -> DataFrame:
-    """chunks with context_text: the chunk before, the chunk, the chunk after, of the same file and page only."""
-    w = Window.partitionBy("course_id").orderBy("chunk_index")
-    here = F.struct("file_id", "page", "text")
-    near = {"before": F.lag(here).over(w), "after": F.lead(here).over(w)}
-
-    def same(side: str) -> Column:
-        fits = (F.col(f"{side}.file_id") == F.col("file_id")) & F.col(f"{side}.page").eqNullSafe(F.col("page"))
-        return F.when(fits, F.col(f"{side}.text"))
-
-    joined = F.concat_ws("\n", same("before"), F.col("text"), same("after"))
-    return chunks.withColumns(near).withColumn("context_text", joined).drop("before", "after")
+    """chunks with context_text: the chunk before, the chunk, the chunk after, of the same file and page only. The chunks
+    of a page follow each other, so a window holds one page, not a course."""
+    w = Window.partitionBy("course_id", "file_id", "page").orderBy("chunk_index")
+    return chunks.withColumn("context_text", F.concat_ws("\n", F.lag("text").over(w), F.col("text"), F.lead("text").over(w)))

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import params as P
 from lectern.functions import text as X
+from lectern.sources.scratch import materialise
 
 #: Rows of the question side up to which it is sent to all executors.
 BROADCAST_ROWS = 200_000
@@ -40,23 +41,34 @@ def prepare_queries(queries: DataFrame, expand: bool = True, synonyms: Mapping[s
     return out.withColumn("tokens", tokens).withColumn("phrases", X.query_phrases(F.col("normalized")))
 
 
+def search_tokens(chunks: DataFrame) -> Column:
+    """The lexical tokens of the search text. A chunk table has those of title and text already; name and path are put
+    before them."""
+    if "tokens" not in chunks.columns:
+        return X.tokenize_lexical(search_text())
+    return F.concat(X.tokenize_lexical(F.concat_ws("\n", "file_name", "path")), F.col("tokens"))
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """course_id, n_chunks, avg_tokens over the search texts."""
-    n = F.size(X.tokenize_lexical(search_text()))
+    n = F.size(search_tokens(chunks))
     return chunks.groupBy("course_id").agg(F.count("*").alias("n_chunks"), F.avg(n).alias("avg_tokens"))
 
 
 def document_frequency(chunks: DataFrame) -> DataFrame:
     """course_id, token, df."""
-    tokens = chunks.select("course_id", F.explode(F.array_distinct(X.tokenize_lexical(search_text()))).alias("token"))
+    tokens = chunks.select("course_id", F.explode(F.array_distinct(search_tokens(chunks))).alias("token"))
     return tokens.groupBy("course_id", "token").agg(F.count("*").alias("df"))
 
 
+def _occurrences(chunks: DataFrame) -> DataFrame:
+    tokens = chunks.select("course_id", "chunk_index", search_tokens(chunks).alias("tokens"))
+    return tokens.select("course_id", "chunk_index", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+
+
 def build_postings(chunks: DataFrame) -> DataFrame:
     """course_id, token, chunk_index, tf, dl."""
-    tokens = chunks.select("course_id", "chunk_index", X.tokenize_lexical(search_text()).alias("tokens"))
-    rows = tokens.select("course_id", "chunk_index", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-    return rows.groupBy("course_id", "token", "chunk_index").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return _occurrences(chunks).groupBy("course_id", "token", "chunk_index").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def _ranked(scored: DataFrame, limit: int) -> DataFrame:
@@ -83,9 +95,7 @@ def bm25_scores(queries: DataFrame, postings: DataFrame, stats: DataFrame) -> Da
 def bm25_rank(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     """query_id, course_id, chunk_index, score, rank. Only the tokens that are asked for are counted per chunk."""
     asked = queries.select("course_id", F.explode("tokens").alias("token")).distinct()
-    tokens = chunks.select("course_id", "chunk_index", X.tokenize_lexical(search_text()).alias("tokens"))
-    rows = tokens.select("course_id", "chunk_index", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-    rows = rows.join(sized(asked), ["course_id", "token"], "left_semi")
+    rows = _occurrences(chunks).join(sized(asked), ["course_id", "token"], "left_semi")
     postings = rows.groupBy("course_id", "token", "chunk_index").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     return _ranked(bm25_scores(queries, postings, corpus_stats(chunks)), limit)
 
@@ -96,36 +106,29 @@ def phrase_score(text: Column, phrases: Column) -> Column:
     return F.aggregate(taken, F.lit(0), lambda a, b: a + b)
 
 
-def metadata_score(tokens: Column) -> Column:
+def _name_tokens() -> Column:
+    return X.tokenize_lexical(F.concat_ws(" ", *[X.text_or_empty(F.col(c)) for c in ("file_name", "path", "section_title", "material_type")]))
+
+
+def metadata_score(tokens: Column, own: Column | None = None) -> Column:
     """How often the distinct tokens stand in name, path, title and kind."""
-    own = X.tokenize_lexical(F.concat_ws(" ", *[X.text_or_empty(F.col(c)) for c in ("file_name", "path", "section_title", "material_type")]))
-    return F.size(F.filter(own, lambda t: F.array_contains(tokens, t)))
+    return F.size(F.filter(_name_tokens() if own is None else own, lambda t: F.array_contains(tokens, t)))
 
 
-def semantic_score(query: Column, tokens: Column, text: Column, aliases: Mapping[str, Sequence[str]] = P.ALIASES) -> Column:
-    """Related terms of fired aliases in the text, and the cosine of the two feature sets."""
+def semantic_score(query: Column, tokens: Column, text: Column, own: Column | None = None, aliases: Mapping[str, Sequence[str]] = P.ALIASES) -> Column:
+    """Related terms of fired aliases in the text, and the cosine of the two feature sets (own: the text's)."""
     bonus = F.lit(0.0)
     for trigger, related in aliases.items():
         fires = query.contains(trigger) | F.arrays_overlap(tokens, X.tokenize_lexical(F.lit(trigger)))
         hits = sum((text.contains(term.lower()).cast("double") for term in related), F.lit(0.0))
         bonus = bonus + F.when(fires, hits).otherwise(0.0)
-    asked, own = X.semantic_features(query), X.semantic_features(text)
+    asked, own = X.semantic_features(query), X.semantic_features(text) if own is None else own
     both = F.size(F.array_intersect(asked, own)) / F.sqrt(F.size(asked) * F.size(own).cast("double"))
     return bonus + F.when((F.size(asked) > 0) & (F.size(own) > 0), both).otherwise(0.0)
 
 
-def candidate_pairs(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Each question with the chunks that share a lexical token or a feature with it, on whichever ground a leg may
-    score them. The join is on (course, feature); no chunk meets a question it shares nothing with."""
-    features = F.array_union(X.tokenize_lexical(search_text()), X.semantic_features(F.lower(search_text())))
-    asked = queries.select("query_id", "course_id", F.explode(F.array_union("tokens", X.semantic_features(F.col("normalized")))).alias("f"))
-    rows = chunks.select("course_id", "chunk_index", F.explode(features).alias("f"))
-    pairs = rows.join(sized(asked), ["course_id", "f"]).select("query_id", "course_id", "chunk_index").distinct()
-    return pairs.join(chunks.drop("tokens"), ["course_id", "chunk_index"]).join(sized(queries), ["query_id", "course_id"])
-
-
 def leg_scores(pairs: DataFrame) -> DataFrame:
-    """pairs with phrase, metadata and semantic scores."""
+    """pairs (query and chunk columns) with phrase, metadata and semantic scores."""
     text = F.lower(search_text())
     return pairs.withColumns(
         {
@@ -136,6 +139,27 @@ def leg_scores(pairs: DataFrame) -> DataFrame:
     )
 
 
+def course_scores(queries: DataFrame, chunks: DataFrame, legs: Sequence[str] = ("phrase", "metadata", "semantic")) -> DataFrame:
+    """query_id, course_id, chunk_index and the scores of the legs, of every question with every chunk of its course.
+
+    A phrase counts wherever its characters stand, and a chunk of a few shingles in common scores too, so no index tells
+    beforehand which chunks score nothing: the questions, a stated set, meet all chunks of their courses, as they stand,
+    without a shuffle of texts. What a chunk brings is computed once for all questions; only ids and scores go on.
+    """
+    text = F.lower(search_text())
+    own = {"leg_text": text}
+    own |= {"leg_names": _name_tokens()} if "metadata" in legs else {}
+    own |= {"leg_features": X.semantic_features(text)} if "semantic" in legs else {}
+    rows = chunks.withColumns(own).select("course_id", "chunk_index", *own)
+    pairs = rows.join(sized(queries.select("query_id", "course_id", "tokens", "phrases", "normalized")), "course_id")
+    scores = {
+        "phrase": lambda: phrase_score(F.col("leg_text"), F.col("phrases")),
+        "metadata": lambda: metadata_score(F.col("tokens"), F.col("leg_names")),
+        "semantic": lambda: semantic_score(F.col("normalized"), F.col("tokens"), F.col("leg_text"), F.col("leg_features")),
+    }
+    return pairs.select("query_id", "course_id", "chunk_index", *(scores[n]().cast("double").alias(f"{n}_score") for n in legs))
+
+
 def rank_leg(scored: DataFrame, column: str, limit: int) -> DataFrame:
     return _ranked(scored.select("query_id", "course_id", "chunk_index", F.col(column).cast("double").alias("score")), limit)
 
@@ -253,14 +277,15 @@ def retrieval_quality(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def fused_candidates(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """The four legs cut and fused, with chunk and question columns, leg scores, rerank_score and ordinal."""
+    """The four legs cut and fused, with chunk and question columns, leg scores, rerank_score and ordinal. Texts are
+    fetched for the cut only."""
     cut = max(6 * limit, 18)
-    pairs = leg_scores(candidate_pairs(queries, chunks))
+    scores = materialise(course_scores(queries, chunks))  # read by three legs
     legs = [bm25_rank(queries, chunks, cut)]
-    legs += [rank_leg(pairs, c, cut) for c in ("phrase_score", "metadata_score", "semantic_score")]
+    legs += [rank_leg(scores, c, cut) for c in ("phrase_score", "metadata_score", "semantic_score")]
     fused = reciprocal_rank_fusion(legs, cut).drop("rank")
-    rows = fused.join(pairs, ["query_id", "course_id", "chunk_index"])
-    rows = rows.withColumn("rerank_score", local_rerank_score())
+    rows = chunks.drop("tokens").join(sized(fused), ["course_id", "chunk_index"]).join(sized(queries), ["query_id", "course_id"])
+    rows = leg_scores(rows).withColumn("rerank_score", local_rerank_score())
     w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), F.round("rrf_score", 12).desc(), "chunk_index")
     return rows.withColumn("ordinal", F.row_number().over(w) - 1)
 

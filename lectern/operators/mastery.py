@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,33 +35,63 @@ def review_days(score: Column, correct: Column) -> Column:
     return F.when(correct, by_score).otherwise(1)
 
 
+def fold_delta(correct: bool, difficulty: str | None, confidence: float | None, score: int, streak: int) -> int:
+    """score_delta for one answer; round() goes half to even as rint does."""
+    weight = {"easy": 0.75, "hard": 1.25}.get(difficulty, 1.0)
+    known = confidence is not None and confidence == confidence
+    sure = 0.75 + 0.5 * min(max(confidence, 0.0), 1.0) if known else 1.0
+    if correct:
+        return max(1, round((8 + min(max(streak, 0), 3)) * weight * sure * max(0.35, (100 - score) / 100.0)))
+    return -max(4, round(12 * weight * sure * max(0.5, score / 100.0)))
+
+
+_STATE = ("score", "attempts", "correct_count", "wrong_count", "streak")
+
+
 def fold_answers(events: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """course_id, point_id, score, level, attempts, correct_count, wrong_count, streak, last_result, last_answered_at,
     review_interval_days, next_review_at. events: course_id, point_id, event_id, ts, correct, difficulty, confidence;
-    initial: course_id, point_id, score, attempts, correct_count, wrong_count, streak to go on from."""
-    fields = F.struct("ts", "event_id", "correct", "difficulty", "confidence")
-    logs = events.groupBy("course_id", "point_id").agg(F.array_sort(F.collect_list(fields)).alias("log"))
-    names = ("score", "attempts", "correct_count", "wrong_count", "streak")
+    initial: course_id, point_id, score, attempts, correct_count, wrong_count, streak to go on from.
+
+    Each answer depends on the score before it, so the answers of a point are read in order; they stream through a task
+    sorted, and only the state of the point at hand is held, however long its log is.
+    """
+    kinds = dict(events.dtypes)
+    key = ["course_id", "point_id"]
+    rows = events.select(*key, "ts", "event_id", F.coalesce("correct", F.lit(False)).alias("correct"), "difficulty", F.col("confidence").cast("double").alias("confidence"))
+    begin = F.array(*(F.lit(START if n == "score" else 0) for n in _STATE))
     if initial is not None:
-        logs = logs.join(initial.select("course_id", "point_id", F.struct(*[F.col(n).cast("int").alias(n) for n in names]).alias("begin")), ["course_id", "point_id"], "left")
-    zero = F.struct(*[F.lit(START if n == "score" else 0).alias(n) for n in names])
-    begin = zero if initial is None else F.coalesce("begin", zero)
-
-    def step(s: Column, e: Column) -> Column:
-        delta = score_delta(e.correct, e.difficulty, e.confidence, s.score, s.streak)
-        right = e.correct.cast("int")
-        return F.struct(
-            F.least(F.greatest(s.score + delta, F.lit(0)), F.lit(100)).alias("score"), (s.attempts + 1).alias("attempts"),
-            (s.correct_count + right).alias("correct_count"), (s.wrong_count + 1 - right).alias("wrong_count"),
-            F.when(e.correct, s.streak + 1).otherwise(0).alias("streak"),
-        )
-
-    rows = logs.withColumns({"s": F.aggregate("log", begin, step), "last": F.element_at("log", -1)})
-    days = review_days(F.col("s.score"), F.col("last.correct"))
-    return rows.select(
-        "course_id", "point_id", *[F.col(f"s.{n}").alias(n) for n in names], mastery_level(F.col("s.score")).alias("level"),
-        F.when(F.col("last.correct"), "correct").otherwise("wrong").alias("last_result"), F.col("last.ts").alias("last_answered_at"),
-        days.alias("review_interval_days"), (F.col("last.ts") + F.make_interval(days=days)).alias("next_review_at"),
+        own = initial.select(*key, F.array(*(F.col(n).cast("int") for n in _STATE)).alias("begin"))
+        rows = rows.join(own, key, "left").withColumn("begin", F.coalesce("begin", begin))
+    else:
+        rows = rows.withColumn("begin", begin)
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, "ts", "event_id")
+    # ids as text and times as numbers: pandas would change what has a null beside it
+    plain = ordered.select(*(F.col(c).cast("string").alias(c) for c in key), F.unix_micros("ts").cast("string").alias("at"), "correct", "difficulty", "confidence", "begin")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            done = []
+            for course, point, at, correct, difficulty, confidence, begin in batch.itertuples(index=False, name=None):
+                if current != (course, point):
+                    if current is not None:
+                        done.append((*current, *state))
+                    current, state = (course, point), [*map(int, begin), None, None]
+                score, attempts, right, wrong, streak = state[:5]
+                score = min(max(score + fold_delta(correct, difficulty, confidence, score, streak), 0), 100)
+                state = [score, attempts + 1, right + correct, wrong + (not correct), streak + 1 if correct else 0, bool(correct), at]
+            yield pd.DataFrame(done, columns=[*key, *_STATE, "right", "at"])
+        if current is not None:
+            yield pd.DataFrame([(*current, *state)], columns=[*key, *_STATE, "right", "at"])
+
+    folded = plain.mapInPandas(run, "course_id string, point_id string, " + ", ".join(f"{n} int" for n in _STATE) + ", right boolean, at string")
+    last = F.timestamp_micros(F.col("at").cast("long"))
+    days = review_days(F.col("score"), F.col("right"))
+    return folded.select(
+        *(F.col(c).cast(kinds[c]).alias(c) for c in key), *_STATE, mastery_level(F.col("score")).alias("level"),
+        F.when(F.col("right"), "correct").otherwise("wrong").alias("last_result"), last.alias("last_answered_at"),
+        days.alias("review_interval_days"), (last + F.make_interval(days=days)).alias("next_review_at"),
     )
 
 

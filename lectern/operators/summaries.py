@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as X
+from lectern.operators.lexical import sized
 
 
 def representative_chunks(chunks: DataFrame, limit: int = 6) -> DataFrame:
     """The chunks of each course that say most and differ: the first of a file or keyword in the order of distinct
     tokens and length, then the others in that order. chunks: course_id, chunk_index, file_id, tokens, text."""
-    rows = chunks.withColumns({"variety": F.size(F.array_distinct(F.filter("tokens", lambda t: F.length(t) > 1))), "keyword": X.pick_keyword(F.col("text"))})
-    order = [F.desc("variety"), F.desc(F.length("text")), F.col("chunk_index")]
+    variety = F.size(F.array_distinct(F.filter("tokens", lambda t: F.length(t) > 1))).alias("variety")
+    # ids and sizes only are sorted; the texts of the few that are chosen are fetched at the end
+    rows = chunks.select("course_id", "chunk_index", "file_id", variety, F.length("text").alias("n_chars"), X.pick_keyword(F.col("text")).alias("keyword"))
+    order = [F.desc("variety"), F.desc("n_chars"), F.col("chunk_index")]
     first = lambda *by: F.row_number().over(Window.partitionBy("course_id", *by).orderBy(*order)) == 1
     rows = rows.withColumn("fresh", first("file_id") | first("keyword"))
     w = Window.partitionBy("course_id").orderBy(F.desc("fresh"), *order)
-    return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
+    chosen = rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
+    return chunks.join(sized(chosen.select("course_id", "chunk_index", "variety", "keyword", "position")), ["course_id", "chunk_index"])
 
 
 def summary_evidence(chunks: DataFrame, max_chars: int = 900) -> DataFrame:

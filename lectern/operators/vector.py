@@ -115,24 +115,26 @@ def upsert_vectors(index: DataFrame, new: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("ord").alias("ord"), F.max("version").alias("version"), F.max_by("vector", "version").alias("vector"))
 
 
-def vector_search(queries: DataFrame, index: DataFrame, limit: int = 5, min_score: float | None = None, max_queries: int = 4096) -> DataFrame:
+def vector_search(queries: DataFrame, index: DataFrame, limit: int = 5, min_score: float | None = None, block: int = 4096) -> DataFrame:
     """query_id, doc_id, ord, score, rank: exact cosines of every query with every vector of its course.
 
-    queries: query_id, course_id, vector; index: doc_id, course_id, ord, vector. Queries are taken max_queries at a
-    time: each block is sent to all tasks, which keep its best `limit` of their rows; the partial winners are merged.
+    queries: query_id, course_id, vector; index: doc_id, course_id, ord, vector. Both sides of a course are cut into
+    blocks of about `block` rows by a hash of their ids, however large the course is; each pair of blocks is one matrix
+    product in a task, which keeps the best `limit` of its rows for each query, and the partial winners are merged. The
+    queries are a stated set; nothing passes through the driver.
     """
-    if limit <= 0:
-        return queries.limit(0).select("query_id", F.lit("").alias("doc_id"), F.lit(0).alias("ord"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    total = queries.count()
-    blocks = max(1, -(-total // max_queries))
-    kinds = dict(index.dtypes)
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {kinds['doc_id']}, ord {kinds['ord']}, score double"
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        rows = numbered.filter(F.col("block") == b).select("query_id", "course_id", "vector").toPandas()
-        part = index.mapInPandas(_best_of(rows, limit, min_score), schema)
-        found = part if found is None else found.unionByName(part)
+    kinds = {**dict(index.dtypes), **{"query_id": dict(queries.dtypes)["query_id"]}}
+    text = lambda c: F.col(c).cast("string").alias(c)  # noqa: E731  ids keep their digits in pandas
+    near, asked = index.select(text("doc_id"), "course_id", text("ord"), "vector"), queries.select(text("query_id"), "course_id", "vector")
+    blocks = lambda rows, name: rows.groupBy("course_id").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = sized(blocks(asked, "query_blocks").join(blocks(near, "index_blocks"), "course_id"))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(sizes, "course_id").select("course_id", own("query_id", "query_blocks").alias("qb"), each("index_blocks").alias("ib"), "query_id", "vector")
+    right = near.join(sizes, "course_id").select("course_id", each("query_blocks").alias("qb"), own("doc_id", "index_blocks").alias("ib"), "doc_id", "ord", "vector")
+    pairs = left.groupBy("course_id", "qb", "ib").cogroup(right.groupBy("course_id", "qb", "ib"))
+    found = pairs.applyInPandas(_best_of(limit, min_score), "query_id string, doc_id string, ord string, score double")
+    found = found.select(*(F.col(c).cast(kinds[c]).alias(c) for c in ("query_id", "doc_id", "ord")), "score")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "ord")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
@@ -143,25 +145,18 @@ def _unit_rows(vectors: Sequence) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def _best_of(queries: pd.DataFrame, limit: int, min_score: float | None) -> Callable:
-    asked = {c: (g["query_id"].tolist(), _unit_rows(g["vector"])) for c, g in queries.groupby("course_id")}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}
-        for batch in batches:
-            for course, rows in batch.groupby("course_id", sort=False):
-                if course not in asked:
-                    continue
-                ids, matrix = asked[course]
-                scores = matrix @ _unit_rows(rows["vector"]).T
-                docs, ords = rows["doc_id"].to_numpy(), rows["ord"].to_numpy()
-                for q, row in zip(ids, scores, strict=True):
-                    good = np.flatnonzero(row >= min_score) if min_score is not None else np.arange(len(row))
-                    top = good[np.lexsort((ords[good], -np.round(row[good], 9)))[:limit]]
-                    kept = best.get(q, []) + [(float(row[i]), ords[i], docs[i]) for i in top]
-                    best[q] = sorted(kept, key=lambda x: (-round(x[0], 9), x[1]))[:limit]
-        rows = [(q, doc, o, s) for q, kept in best.items() for s, o, doc in kept]
-        yield pd.DataFrame(rows, columns=["query_id", "doc_id", "ord", "score"])
+def _best_of(limit: int, min_score: float | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(rows) and limit > 0:
+            # all rows as good as the last winner go on: the merge orders ties, and it alone knows how
+            scores = np.round(_unit_rows(asked["vector"]) @ _unit_rows(rows["vector"]).T, 12)
+            docs, ords, most = rows["doc_id"].to_numpy(), rows["ord"].to_numpy(), min(limit, len(rows))
+            for q, row in zip(asked["query_id"], scores, strict=True):
+                least = np.round(np.partition(row, -most)[-most], 9) - 1e-9
+                good = row >= (least if min_score is None else max(least, min_score))
+                out += [(q, docs[i], ords[i], row[i]) for i in np.flatnonzero(good)]
+        return pd.DataFrame(out, columns=["query_id", "doc_id", "ord", "score"])
 
     return run
 

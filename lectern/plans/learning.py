@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions import text as X
 from lectern.operators import answers as A
@@ -164,7 +165,7 @@ def contextual_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def follow_up_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.concat(F.lit("第 "), F.col("conv_id") % 9, F.lit(" 题 这个 "), F.substr("content", F.lit(1), F.lit(10)))
+    words = F.concat(F.lit("第 "), F.col("conv_id") % 9, F.lit(" 题 这个 "), F.col("content"))
     return I.messages(spark, sf_dir).select("conv_id", "turn", F.array_join(C.follow_up_signals(words), ",").alias("signals"))
 
 
@@ -235,7 +236,7 @@ def citation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotate_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = _claims(spark, sf_dir)
-    rows = claims.groupBy("answer_id").agg(F.array_join(F.collect_list("sentence"), " ").alias("answer"))
+    rows = claims.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_ord", "sentence"))), lambda s: s.sentence), " ").alias("answer"))
     return A.annotate_unsupported(rows, claims, "(?)").select("answer_id", F.col("answer").endswith("(?)").alias("marked"))
 
 
@@ -376,12 +377,12 @@ def summarize_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)
-    snippet = F.substr(F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "\\s+", " ")), F.lit(1), F.lit(500))
+    snippet = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "\\s+", " "))
     return I.read(spark, sf_dir, "pages").select((F.col("page_id") % 25).alias("query_id"), F.lit("the what of").alias("query"), F.col("page_id").alias("ord"), "url", title.alias("title"), snippet.alias("snippet"), (F.col("page_id") % 10 / 10.0).alias("score"))
 
 
 _WEB = """cand AS (SELECT page_id % 25 AS query_id, page_id AS ord, url, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title0,
-        substr(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 500) AS snippet, page_id % 10 / 10.0 AS score FROM pages),
+        trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS snippet, page_id % 10 / 10.0 AS score FROM pages),
     named AS (SELECT *, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, CASE WHEN title0 = '' THEN regexp_extract(url, '^https?://([^/?#]*)', 1) ELSE title0 END AS title FROM cand),
     scored AS (SELECT *, CASE WHEN starts_with(url, 'https://') THEN 0.25 ELSE 0 END + CASE WHEN length(snippet) >= 80 THEN 0.5 ELSE 0 END
             + CASE WHEN regexp_matches(title, '(?i)documentation|reference|specification') THEN 0.5 ELSE 0 END
@@ -405,10 +406,10 @@ def normalize_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _candidates(spark, sf_dir)
-    block = F.concat(F.lit("Title: t"), F.col("ord"), F.lit("\nURL: "), F.col("url"), F.lit("\nHighlights: "), F.substr("snippet", F.lit(1), F.lit(40)))
+    block = F.concat(F.lit("Title: t"), F.col("ord"), F.lit("\nURL: "), F.col("url"), F.lit("\nHighlights: "), F.col("snippet"))
     body = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), block.alias("text"))).alias("content")))
     out = E.parse_search_results(rows.select(F.col("ord").alias("query_id"), body.alias("result")))
-    return out.select("query_id", "ord", "url", "title")
+    return out.select("query_id", "ord", "url", "title", F.md5("snippet").alias("snippet"))
 
 
 # vectors
@@ -459,7 +460,9 @@ def build_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir).select((F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").cast("string").alias("id"), (F.floor(F.col("doc_id") / 10) + 1).alias("rank"), F.get("vector", F.lit(0)).alias("score"))
-    out = V.hybrid_merge(v.filter("rank % 2 = 0"), v.filter("rank % 3 = 0"), 12)
+    # both lists rank all vectors: one by number, one by the first coordinate
+    by_value = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    out = V.hybrid_merge(v, v.withColumn("rank", by_value.cast("long")), 12)
     return out.select("query_id", "id", "rank", "retrieval_method", F.round("hybrid_rrf_score", 6).alias("score"))
 
 
@@ -619,7 +622,7 @@ ORACLES = {
     "normalize_sources": f"""WITH {_WEB}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY ord) AS k FROM scored), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_quality DESC, score DESC, length(substr(snippet, 1, 360)) DESC, ord) AS position
             FROM f WHERE k = 1 AND relevance >= 0.34)
         SELECT query_id, position, 'web-' || substr(sha1(url), 1, 16) AS file_id, url, round(score, 3)::DOUBLE AS score, source_quality::DOUBLE AS source_quality, md5(substr(snippet, 1, 360)) AS digest FROM r WHERE position <= 10""",
-    "parse_search_results": "SELECT page_id AS query_id, 0 AS ord, url, 't' || page_id AS title FROM pages",
+    "parse_search_results": f"WITH {_WEB} SELECT ord AS query_id, 0 AS ord, url, 't' || ord AS title, md5(snippet) AS snippet FROM cand",
     "cosine_similarity": "SELECT a.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "unit_vector": "SELECT vec_id AS doc_id, 1.0::DOUBLE AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS first FROM embeddings",
     "vector_search": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0),
@@ -628,8 +631,8 @@ ORACLES = {
     "embed_with": "SELECT doc_id, 1.0::DOUBLE AS norm FROM documents",
     "build_vector_index": f"WITH {I.CHUNKS_SQL} SELECT file_id || '-text-' || chunk_index AS doc_id, length(text) AS n_chars, course_id FROM chunks",
     "hybrid_merge": """WITH v AS (SELECT vec_id % 10 AS query_id, vec_id::VARCHAR AS id, vec_id // 10 + 1 AS rank, embedding[1]::DOUBLE AS score FROM embeddings),
-        b AS (SELECT query_id, id, score, rank, rank % 2 = 0 AS l, rank % 3 = 0 AS v FROM v WHERE rank % 2 = 0 OR rank % 3 = 0),
-        f AS (SELECT *, CASE WHEN l THEN 1.0 / (60 + rank) ELSE 0 END + CASE WHEN v THEN 1.0 / (60 + rank) ELSE 0 END AS s FROM b),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, NOT l, CASE WHEN v THEN round(score, 9) ELSE 0 END DESC, CASE WHEN l THEN round(score, 9) ELSE 0 END DESC, id) AS k FROM f)
-        SELECT query_id, id, k AS rank, CASE WHEN l AND v THEN 'hybrid' WHEN l THEN 'lexical' ELSE 'vector' END AS retrieval_method, round(s, 6)::DOUBLE AS score FROM r WHERE k <= 12""",
+        b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS by_value FROM v),
+        f AS (SELECT *, 1.0::DOUBLE / (60 + rank) + 1.0::DOUBLE / (60 + by_value) AS s FROM b),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, round(score, 9) DESC, id) AS k FROM f)
+        SELECT query_id, id, k AS rank, 'hybrid' AS retrieval_method, round(s, 6)::DOUBLE AS score FROM r WHERE k <= 12""",
 }

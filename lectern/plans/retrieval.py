@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators import chunking, lexical, quality
 from lectern.plans import inputs as I
+from lectern.sources.scratch import materialise
 
 LIMIT = 5
 CUT = max(6 * LIMIT, 18)
@@ -18,8 +19,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk table for queries that read it several times: kept, as a search over a stored index would find it."""
-    return chunks(spark, sf_dir).persist()
+    """The chunk table for queries that read it several times, written out as a stored index is."""
+    return materialise(chunks(spark, sf_dir))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +84,8 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _leg(column: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pairs = lexical.leg_scores(lexical.candidate_pairs(asked(spark, sf_dir), index(spark, sf_dir)))
-        out = lexical.rank_leg(pairs, column, LIMIT)
+        scores = lexical.course_scores(asked(spark, sf_dir), chunks(spark, sf_dir), [column.removesuffix("_score")])
+        out = lexical.rank_leg(scores, column, LIMIT)
         return out.select("query_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
     return query
@@ -92,8 +93,7 @@ def _leg(column: str):
 
 def reciprocal_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, c = asked(spark, sf_dir), index(spark, sf_dir)
-    pairs = lexical.candidate_pairs(a, c).withColumn("metadata_score", lexical.metadata_score(F.col("tokens")))
-    lists = [lexical.bm25_rank(a, c, CUT), lexical.rank_leg(pairs, "metadata_score", CUT)]
+    lists = [lexical.bm25_rank(a, c, CUT), lexical.rank_leg(lexical.course_scores(a, c, ["phrase"]), "phrase_score", CUT)]
     out = lexical.reciprocal_rank_fusion(lists, CUT)
     return out.select("query_id", "chunk_index", F.round("rrf_score", 6).alias("rrf_score"), "rank")
 
@@ -241,8 +241,8 @@ ORACLES = {
     "phrase_rank": f"WITH {I.CHUNKS_SQL}, {I.ASKED_SQL}, {_PHRASE} SELECT query_id, chunk_index, score::DOUBLE AS score, rank FROM ph_ranked WHERE rank <= {LIMIT}",
     "metadata_rank": f"WITH {I.CHUNKS_SQL}, {I.ASKED_SQL}, {_METADATA} SELECT query_id, chunk_index, score::DOUBLE AS score, rank FROM meta_ranked WHERE rank <= {LIMIT}",
     "semantic_rank": f"WITH {I.CHUNKS_SQL}, {I.ASKED_SQL}, {_SEMANTIC} SELECT query_id, chunk_index, round(score, 6) AS score, rank FROM sem_ranked WHERE rank <= {LIMIT}",
-    "reciprocal_rank_fusion": f"""WITH {_BM25}, {_METADATA},
-        lists AS (SELECT query_id, chunk_index, rank, 0 AS l FROM ranked WHERE rank <= {CUT} UNION ALL SELECT query_id, chunk_index, rank, 1 FROM meta_ranked WHERE rank <= {CUT}),
+    "reciprocal_rank_fusion": f"""WITH {_BM25}, {_PHRASE},
+        lists AS (SELECT query_id, chunk_index, rank, 0 AS l FROM ranked WHERE rank <= {CUT} UNION ALL SELECT query_id, chunk_index, rank, 1 FROM ph_ranked WHERE rank <= {CUT}),
         fused AS (SELECT query_id, chunk_index, sum(1.0 / (60 + rank)) AS rrf, min(l * 1000 + rank) AS first FROM lists GROUP BY 1, 2),
         cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, first) AS rank FROM fused)
         SELECT query_id, chunk_index, round(rrf, 6)::DOUBLE AS rrf_score, rank FROM cut WHERE rank <= {CUT}""",

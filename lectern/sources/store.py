@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from lectern.functions import params as P
 from lectern.functions import text as X
 from lectern.operators import chunking
+from lectern.sources.scratch import materialise
 
 
 def _plain(uri: Column) -> Column:
@@ -166,7 +167,8 @@ def merge_chunks(index: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def upsert_chunks(spark: SparkSession, path: str, pages: DataFrame) -> None:
-    """Bring pages into a stored index; only the courses of the pages are written again."""
+    """Bring pages into a stored index; only the courses of the pages are written again, and the folder of a course that
+    is left without chunks goes."""
     try:
         index = spark.read.parquet(path)
     except Exception as error:  # noqa: BLE001  the first batch finds no index
@@ -174,8 +176,16 @@ def upsert_chunks(spark: SparkSession, path: str, pages: DataFrame) -> None:
             raise
         return write_chunk_index(chunking.build_chunks(pages), path)
     index = index.drop("schema_version", "tokenizer_version").withColumn("course_id", F.col("course_id").cast("string"))
-    touched = index.join(F.broadcast(pages.select("course_id").distinct()), "course_id", "left_semi")
-    return write_chunk_index(merge_chunks(touched, pages), path)
+    touched = index.join(pages.select("course_id").distinct(), "course_id", "left_semi")
+    merged = materialise(merge_chunks(touched, pages))
+    emptied = touched.select("course_id").distinct().join(merged.select("course_id").distinct(), "course_id", "left_anti")
+    files = spark.read.parquet(path).select(F.col("course_id").cast("string").alias("course_id"), F.col("_metadata.file_path").alias("file"))
+    folders = files.join(emptied, "course_id").select(F.regexp_replace("file", "/[^/]*$", "").alias("folder")).distinct().collect()
+    write_chunk_index(merged, path)
+    for row in folders:  # an overwrite by partition leaves partitions without new rows as they are
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row.folder))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return None
 
 
 def fingerprint(provider: Column, base_url: Column, model: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from lectern.operators import conversations
+from lectern.operators.mastery import fold_delta
 from lectern.sources import store
 
 
@@ -82,14 +83,6 @@ class MasteryFold(StatefulProcessor):
 _MASTERY_COLUMNS = ["course_id", "point_id", "score", "attempts", "correct_count", "wrong_count", "streak", "late"]
 
 
-def fold_delta(correct: bool, difficulty: str, confidence: float, score: int, streak: int) -> int:
-    weight = {"easy": 0.75, "hard": 1.25}.get(difficulty, 1.0)
-    sure = 0.75 + 0.5 * min(max(confidence, 0.0), 1.0) if confidence == confidence else 1.0
-    if correct:
-        return max(1, round((8 + min(max(streak, 0), 3)) * weight * sure * max(0.35, (100 - score) / 100)))
-    return -max(4, round(12 * weight * sure * max(0.5, score / 100)))
-
-
 def stream_mastery(answers: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The state of a point each time that rows of it are folded; the batch twin is fold_answers. answers: a stream of
     course_id, point_id, event_id, ts, correct, difficulty, confidence."""
