@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Pieces kept in a worker's memory before it starts anew; bounds memory, never results.
 CACHE_PIECES = 120_000
 #: A space that is not a boundary between two runs of other characters: such texts are cut by the pattern as a whole.
@@ -193,7 +195,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, emit_ids: bool =
 
     # ids stay in the JVM: pandas would turn a column with a null into floating point
     coded = F.pandas_udf(encode, T.StructType(fields))("text")
-    return docs.select("doc_id", coded.alias("coded")).select("doc_id", "coded.*")
+    return small_batches(docs).select("doc_id", coded.alias("coded")).select("doc_id", "coded.*")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -204,4 +206,4 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for ids in batches:
             yield pd.Series([coder.decode([] if x is None else list(x)).decode("utf-8", "replace") for x in ids], dtype=object)
 
-    return encoded.select("doc_id", F.pandas_udf(decode, "string")("ids").alias("text"))
+    return small_batches(encoded).select("doc_id", F.pandas_udf(decode, "string")("ids").alias("text"))

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.scratch import materialise
+
 #: ASCII white space, as the word rules of the operators define it.
 WORD = "[^\\x20\\x09-\\x0D]+"
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ASCII_BREAKS = re.compile("[\x20\x09-\x0d]")
 #: Bytes, as estimated from the rows, up to which a side is sent to all executors.
 BROADCAST_BYTES = 32 << 20
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,33 +32,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it. A local master is one machine, so a temporary
-    folder is set where none is named; a cluster must name one, since executors see no folder of the driver's."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.conf.set("spark.checkpoint.dir", named := tempfile.mkdtemp(prefix="spark-lectern-"))
-    return named
-
-
-def _own_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/lectern-{spark.sparkContext.applicationId}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet to the shared folder and read them again."""
-    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what materialise has written for this application. DataFrames that the operators returned still read it:
-    write them first."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, to be passed to Python. Ten thousand texts, Spark's default for a batch, can be many times a worker's memory;
+    where the session has not chosen another number, batches have BATCH_ROWS rows from here on."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
 
 
 def sized(df: DataFrame, row_bytes: Column | int) -> DataFrame:

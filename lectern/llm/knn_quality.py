@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 WORDS, SHAPES, EXTRAS = 1024, 512, 4
 WIDTH = WORDS + SHAPES + EXTRAS
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int, rank: int) ->
 
     # the sample's ids are bounded by 2 * sample_per_class, so they are the side to broadcast; of several texts of a
     # doc_id the first in the alphabet counts
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     found = texts.mapInPandas(sparse, "doc_id long, y int, key long, at array<int>, value array<float>")
     rows = found.toPandas().sort_values("doc_id")
     rows = rows[rows["at"].map(len) > 0]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, quoted, sized
+from .common import free_name, materialise, quoted, sized, small_batches
 from .neardup import Shingler, _groups
 
 LEADING = 3
@@ -122,7 +122,7 @@ def masked_lines(docs: DataFrame) -> DataFrame:
             if lines:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [k for k, _ in kinds])
 
-    return docs.filter("text is not null").select("text").mapInArrow(run, "leaf long, template long, doc long, line string, sig binary")
+    return small_batches(docs).filter("text is not null").select("text").mapInArrow(run, "leaf long, template long, doc long, line string, sig binary")
 
 
 def unlike_docs(rows: DataFrame, min_docs: int) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise, sized
+from .common import materialise, sized, small_batches
 
 SYMBOLS, CHUNKS = 32, 8
 PER_CHUNK = SYMBOLS // CHUNKS
@@ -150,7 +150,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
     # ids stay in the JVM: pandas would turn a column with a null into floating point
     made = F.pandas_udf(run, "n_shingles long, digest string, sig array<int>, fine binary")("text")
-    return docs.select("doc_id", made.alias("made")).select("doc_id", "made.*")
+    return small_batches(docs).select("doc_id", made.alias("made")).select("doc_id", "made.*")
 
 
 def chunk_keys(sig: str = "sig") -> F.Column:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, quoted
+from .common import materialise, quoted, small_batches
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Metric (higher is worse) and its cutoffs from the loosest to the strictest; the ladder's steps are their numbers.
@@ -162,7 +162,7 @@ def quality_rules(
     the base alone. Other columns are not read. The rules' grids must have the same number of cutoffs.
     """
     (steps,) = {len(grid) for grid in rules.values()} or {0}
-    counted = docs.select("doc_id", F.coalesce(quoted(stratum).cast("string"), F.lit("")).alias("stratum"), "text")
+    counted = small_batches(docs).select("doc_id", F.coalesce(quoted(stratum).cast("string"), F.lit("")).alias("stratum"), "text")
     counted = counted.withColumn("counts", count_texts()("text")).withColumn("copy", F.xxhash64("text"))
     counted = materialise(counted.select("doc_id", "stratum", "copy", "counts.*"))  # read twice; a few numbers for each document
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()

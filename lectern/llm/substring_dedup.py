@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, small_batches
 
 _CJK = "\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORDS = re.compile(rf"([^\W_{_CJK}]+|[{_CJK}])")
@@ -105,7 +105,7 @@ def units(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pack(batch, rows, found)
 
-    ready = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    ready = small_batches(docs).filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_id"), "text")
     return ready.mapInArrow(run, schema)
 
 

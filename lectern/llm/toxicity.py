@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise
+from .common import held_out, materialise, small_batches
 
 INSULTS = (
     "idiot moron stupid dumb loser scum trash pathetic worthless disgusting clown imbecile fool jerk bastard bitch "
@@ -139,7 +139,7 @@ def features(docs: DataFrame, keep: Sequence[str], learned: Sequence[str], insul
         for texts in batches:
             yield pd.Series([[float(v) for v in of.row(t)] for t in texts])
 
-    return docs.select(*keep, F.pandas_udf(run, "array<double>")("text").alias("x"))
+    return small_batches(docs).select(*keep, F.pandas_udf(run, "array<double>")("text").alias("x"))
 
 
 def learn_lexicon(texts: DataFrame, size: int, least: int = 5) -> list[str]:

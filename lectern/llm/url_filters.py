@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: (rule, verdict): host, `/` and the start of the path. The longest rule that fits decides.
 HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Globs that block a page for which no host rule speaks.
@@ -144,6 +146,6 @@ def filter_urls(
             verdict = np.where(first < len(ranked), said[first], blocked)
             yield pd.DataFrame({"rule": names[first], "verdict": verdict, "globs": [globs[row].tolist() for row in by_glob]})
 
-    ready = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    ready = small_batches(pages).select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     judged = ready.withColumn("judged", F.pandas_udf(judge, judged_type)("host", "path"))
     return judged.select("page_id", "url", "host", "path", "judged.*")

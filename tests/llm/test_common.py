@@ -1,13 +1,14 @@
 import pytest
 
 from lectern.llm import common
+from lectern.sources import scratch
 
 
 def test_tables_are_released_and_clusters_must_name_a_folder(spark):
     rows = common.materialise(spark.range(5))
     assert rows.count() == 5 and common.sized(rows, 8).count() == 5
-    folder = common._own_folder(spark)
-    common.release(spark)
+    folder = scratch.own_folder(spark)
+    scratch.release(spark)
     with pytest.raises(Exception):
         spark.read.parquet(folder)
 
