@@ -18,7 +18,7 @@ WEIGHTS = {"easy": 0.75, "normal": 1.0, "hard": 1.25}
 def score_delta(correct: Column, difficulty: Column, confidence: Column, score: Column, streak: Column) -> Column:
     """Change of the score by one answer, rounded half to even."""
     weight = F.when(difficulty == "easy", 0.75).when(difficulty == "hard", 1.25).otherwise(1.0)
-    sure = F.coalesce(0.75 + 0.5 * F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
+    sure = F.when(confidence.isNull(), 1.0).otherwise(0.75 + 0.5 * F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)))
     room = F.greatest(F.lit(0.35), (100 - score) / 100.0)
     gain = F.greatest(F.lit(1.0), F.rint((8 + F.least(F.greatest(streak, F.lit(0)), F.lit(3))) * weight * sure * room))
     loss = F.greatest(F.lit(4.0), F.rint(12 * weight * sure * F.greatest(F.lit(0.5), score / 100.0)))
@@ -45,7 +45,7 @@ def fold_delta(correct: bool, difficulty: str | None, confidence: float | None,
     return -max(4, round(12 * weight * sure * max(0.5, score / 100.0)))
 
 
-_STATE = ("score", "attempts", "correct_count", "wrong_count", "streak")
+_FOLDED = ("score", "attempts", "correct_count", "wrong_count", "streak")
 
 
 def fold_answers(events: DataFrame, initial: DataFrame | None = None) -> DataFrame:
@@ -59,15 +59,17 @@ def fold_answers(events: DataFrame, initial: DataFrame | None = None) -> DataFra
     kinds = dict(events.dtypes)
     key = ["course_id", "point_id"]
     rows = events.select(*key, "ts", "event_id", F.coalesce("correct", F.lit(False)).alias("correct"), "difficulty", F.col("confidence").cast("double").alias("confidence"))
-    begin = F.array(*(F.lit(START if n == "score" else 0) for n in _STATE))
+    begin = F.array(*(F.lit(START if n == "score" else 0) for n in _FOLDED))
     if initial is not None:
-        own = initial.select(*key, F.array(*(F.col(n).cast("int") for n in _STATE)).alias("begin"))
+        own = initial.select(*key, F.array(*(F.col(n).cast("int") for n in _FOLDED)).alias("begin"))
         rows = rows.join(own, key, "left").withColumn("begin", F.coalesce("begin", begin))
     else:
         rows = rows.withColumn("begin", begin)
     ordered = rows.repartition(*key).sortWithinPartitions(*key, "ts", "event_id")
-    # ids as text and times as numbers: pandas would change what has a null beside it
-    plain = ordered.select(*(F.col(c).cast("string").alias(c) for c in key), F.unix_micros("ts").cast("string").alias("at"), "correct", "difficulty", "confidence", "begin")
+    instant = kinds["ts"] == "timestamp"
+    at = (F.unix_micros("ts") if instant else F.col("ts")).cast("string")
+    # ids and times as text: pandas would change what has a null beside it
+    plain = ordered.select(*(F.col(c).cast("string").alias(c) for c in key), at.alias("at"), "correct", "difficulty", "confidence", "begin")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -81,15 +83,15 @@ def fold_answers(events: DataFrame, initial: DataFrame | None = None) -> DataFra
                 score, attempts, right, wrong, streak = state[:5]
                 score = min(max(score + fold_delta(correct, difficulty, confidence, score, streak), 0), 100)
                 state = [score, attempts + 1, right + correct, wrong + (not correct), streak + 1 if correct else 0, bool(correct), at]
-            yield pd.DataFrame(done, columns=[*key, *_STATE, "right", "at"])
+            yield pd.DataFrame(done, columns=[*key, *_FOLDED, "right", "at"])
         if current is not None:
-            yield pd.DataFrame([(*current, *state)], columns=[*key, *_STATE, "right", "at"])
+            yield pd.DataFrame([(*current, *state)], columns=[*key, *_FOLDED, "right", "at"])
 
-    folded = plain.mapInPandas(run, "course_id string, point_id string, " + ", ".join(f"{n} int" for n in _STATE) + ", right boolean, at string")
-    last = F.timestamp_micros(F.col("at").cast("long"))
+    folded = plain.mapInPandas(run, "course_id string, point_id string, " + ", ".join(f"{n} int" for n in _FOLDED) + ", right boolean, at string")
+    last = F.timestamp_micros(F.col("at").cast("long")) if instant else F.col("at").cast(kinds["ts"])
     days = review_days(F.col("score"), F.col("right"))
     return folded.select(
-        *(F.col(c).cast(kinds[c]).alias(c) for c in key), *_STATE, mastery_level(F.col("score")).alias("level"),
+        *(F.col(c).cast(kinds[c]).alias(c) for c in key), *_FOLDED, mastery_level(F.col("score")).alias("level"),
         F.when(F.col("right"), "correct").otherwise("wrong").alias("last_result"), last.alias("last_answered_at"),
         days.alias("review_interval_days"), (last + F.make_interval(days=days)).alias("next_review_at"),
     )

@@ -130,9 +130,10 @@ def vector_search(queries: DataFrame, index: DataFrame, limit: int = 5, min_scor
     sizes = sized(blocks(asked, "query_blocks").join(blocks(near, "index_blocks"), "course_id"))
     own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(sizes, "course_id").select("course_id", own("query_id", "query_blocks").alias("qb"), each("index_blocks").alias("ib"), "query_id", "vector")
+    # other names than the index has: the queries may be some of its rows
+    left = asked.join(sizes, "course_id").select(F.col("course_id").alias("asked_course"), own("query_id", "query_blocks").alias("asked_qb"), each("index_blocks").alias("asked_ib"), "query_id", F.col("vector").alias("asked"))
     right = near.join(sizes, "course_id").select("course_id", each("query_blocks").alias("qb"), own("doc_id", "index_blocks").alias("ib"), "doc_id", "ord", "vector")
-    pairs = left.groupBy("course_id", "qb", "ib").cogroup(right.groupBy("course_id", "qb", "ib"))
+    pairs = left.groupBy("asked_course", "asked_qb", "asked_ib").cogroup(right.groupBy("course_id", "qb", "ib"))
     found = pairs.applyInPandas(_best_of(limit, min_score), "query_id string, doc_id string, ord string, score double")
     found = found.select(*(F.col(c).cast(kinds[c]).alias(c) for c in ("query_id", "doc_id", "ord")), "score")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "ord")
@@ -150,7 +151,7 @@ def _best_of(limit: int, min_score: float | None) -> Callable[[pd.DataFrame, pd.
         out = []
         if len(asked) and len(rows) and limit > 0:
             # all rows as good as the last winner go on: the merge orders ties, and it alone knows how
-            scores = np.round(_unit_rows(asked["vector"]) @ _unit_rows(rows["vector"]).T, 12)
+            scores = np.round(_unit_rows(asked["asked"]) @ _unit_rows(rows["vector"]).T, 12)
             docs, ords, most = rows["doc_id"].to_numpy(), rows["ord"].to_numpy(), min(limit, len(rows))
             for q, row in zip(asked["query_id"], scores, strict=True):
                 least = np.round(np.partition(row, -most)[-most], 9) - 1e-9
