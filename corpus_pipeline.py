@@ -11,8 +11,8 @@ from lectern.llm.common import materialise, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier takes for good (score 0.5 or more); several rows of a doc_id all go only
-    if none of them is good. Null ids are scored by their text like the others."""
+    """Documents that the quality classifier takes for good (score 0.5 or more). Each row is judged by its own text, so of
+    several rows of a doc_id those with bad texts go; null ids are scored like the others, and texts without words go."""
     scored = knn_quality.with_scores(docs, table(spark, sf_dir, "labels"))
     return scored.filter("score >= 0.5").select(*docs.columns)
 
@@ -24,7 +24,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the lowest id of each group of near copies, and all documents without shingles or id."""
+    """The document of the lowest id of each group of near copies, with all its rows, and all documents without shingles
+    or id. A doc_id with several texts is one document: it stays or goes as a whole, and one of its group always stays."""
     found = neardup.near_duplicates(docs)
     gone = materialise(found.filter("doc_id is not null and not kept").select("doc_id").distinct())
     gone = F.broadcast(gone) if gone.count() <= neardup.BROADCAST_IDS else gone
