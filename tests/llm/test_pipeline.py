@@ -1,5 +1,5 @@
 import corpus_pipeline
-from lectern.llm import bpe, decontamination, knn_quality, neardup
+from lectern.llm import bpe, decontamination, knn_quality, line_templates, neardup
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,8 +15,23 @@ def test_stages_follow_each_other(spark):
         if name == "quality classifier":
             scores = knn_quality.quality_scores(before, spark.read.parquet(f"{SF}/labels.parquet"))
             assert ids == {r.doc_id for r in scores.filter("predicted = 1").collect()}
+        if name == "line dedup":
+            cleaned = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
+            shown = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(before).collect()}
+            assert cleaned == {i: (t, len(t)) for i, t in shown.items()} and set(shown) == {r.doc_id for r in before.collect()}
         if name == "near-duplicates":
             assert ids == {r.doc_id for r in neardup.near_duplicates(before).filter("kept").collect()}
+            # and against every pair of word sets, compared one by one
+            sets = {}
+            for r in before.collect():
+                own = r.text.encode().lower().split()
+                sets[r.doc_id] = {tuple(own[k : k + 5]) for k in range(len(own) - 4)} if len(own) > 4 else {tuple(own)} - {()}
+            links = [(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+            group = {i: i for i in sets}
+            for _ in range(len(sets)):
+                for a, b in links:
+                    group[a] = group[b] = min(group[a], group[b])
+            assert ids == {i for i, g in group.items() if i == g}
         if name == "decontamination":
             leaks = decontamination.find_leaks(before, spark.read.parquet(f"{SF}/benchmark.parquet"))
             assert ids == {r.doc_id for r in before.select("doc_id").collect()} - {r.doc_id for r in leaks.collect()}
@@ -25,3 +40,11 @@ def test_stages_follow_each_other(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     coder = bpe.load_encoder(corpus_pipeline.public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), corpus_pipeline.public_tokenizers.PATTERN)
     assert all(r.n_tokens == len(coder.encode(texts[r.doc_id] or "")) for r in out)
+
+
+def test_ids_with_several_texts_go_or_stay_as_a_whole(spark):
+    a, b = ("one two three four five six seven eight nine " + x for x in ("ten", "eleven twelve"))
+    rows = [(3, a), (5, a), (5, b), (7, b), (None, a), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, a), (3, a), (8, "")] and out.columns == docs.columns
