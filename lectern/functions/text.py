@@ -12,6 +12,9 @@ from . import params as P
 CJK = "\\u4e00-\\u9fff"
 _RUNS = f"([A-Za-z0-9_]+|[{CJK}]+)"
 _STRINGS = "array<string>"
+#: White space of Unicode but for the space itself, as a class and as characters.
+_SPACES = r"\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACES_AS_TEXT = "".join(map(chr, [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -26,12 +29,12 @@ def text_or_empty(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """All white space runs to one space, none at the ends."""
-    return F.trim(F.regexp_replace(text_or_empty(c), r"(?U)\s+", " "))
+    """All white space runs to one space, none at the ends. Single spaces, the most of them, need no replacing."""
+    return F.trim(F.regexp_replace(text_or_empty(c), f"[ {_SPACES}]{{2,}}|[{_SPACES}]", " "))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(text_or_empty(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(text_or_empty(c), F.lit(" " + _SPACES_AS_TEXT))
 
 
 def empty_strings() -> Column:

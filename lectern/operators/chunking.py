@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import params as P
 from lectern.functions import text as X
+from lectern.sources.scratch import materialise
 
 _HEADING = r"(?U)^\s{0,3}#{1,6}\s+(.+?)\s*$"
 _BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
@@ -82,7 +83,7 @@ def build_chunks(pages: DataFrame) -> DataFrame:
         )
     )
     key = ["course_id", "file_ord", "page_seq"]
-    cut = pages.withColumn("parts", parts).drop("text")
+    cut = materialise(pages.withColumn("parts", parts).drop("text"))  # read twice: for the counts and for the texts
     counts = cut.select(*key, F.size("parts").alias("n"))
     before = F.sum("n").over(Window.partitionBy("course_id").orderBy("file_ord", "page_seq").rowsBetween(Window.unboundedPreceding, -1))
     firsts = counts.select(*key, F.coalesce(before, F.lit(0)).alias("first"))

@@ -90,3 +90,16 @@ def test_claims_have_four_reasons(spark):
     rows = [(1, "stack push pop order lifo! [L1] alpha beta gamma delta! [L1] stack push pop order! [W9] stack push pop order! ok?")]
     out = answers.check_claims(spark.createDataFrame(rows, "answer_id int, answer string"), labels).orderBy("claim_ord").collect()
     assert [r.reason for r in out] == ["ok", "low_overlap", "unknown_citation", "missing_citation", "non_assertive"]
+
+
+def test_white_space_of_any_kind(spark):
+    import random
+    import re
+
+    rnd = random.Random(3)
+    spaces = " \t\n\r\x0b\x0c\x85\xa0     　"
+    values = ["".join(rnd.choice(spaces + "   ab\x1c​栈") for _ in range(rnd.randint(0, 16))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+    out = {r.i: (r.c, r.s) for r in rows.select("i", X.collapse(F.col("t")).alias("c"), X.strip(F.col("t")).alias("s")).collect()}
+    run = f"[{spaces}]+"
+    assert out == {i: (re.sub(run, " ", v).strip(" "), re.sub(f"^{run}|{run}$", "", v)) for i, v in enumerate(values)}
