@@ -142,7 +142,7 @@ def features(docs: DataFrame, keep: Sequence[str], learned: Sequence[str], insul
     return small_batches(docs).select(*keep, F.pandas_udf(run, "array<double>")("text").alias("x"))
 
 
-def learn_lexicon(texts: DataFrame, size: int, least: int = 5) -> list[str]:
+def learn_lexicon(texts: DataFrame, size: int, least: int = 3) -> list[str]:
     """The words, and beginnings of words (with a star), whose texts are toxic far more often than others: at most size
     of each. texts: text, y."""
     total = texts.agg(F.avg("y")).first()[0] or 0.0
@@ -171,13 +171,16 @@ def toxicity_scores(
 
     score is the calibrated probability of toxic = 1. At most `sample` labelled rows that are not held out, in order
     of a hash of their id, are learned from; where they lack a class every score is the share of toxic ones among
-    them (0 without any). A null or empty text has all features zero and is scored like any other. Repeated rows are
-    scored each for itself. Other columns are not read.
+    them (0 without any). Where the calibration's sixth lacks a class, the score is the trees' own probability. A null or
+    empty text has all features zero and is scored like any other; texts of any length are read whole. Texts of the same
+    features tie in score. Of several texts of a labelled doc_id the first in the alphabet is learned from, and the
+    document is toxic if any of its labels is. Repeated rows are scored each for itself, null ids too. Other columns are
+    not read; an empty table gives no row.
     """
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     rows = rows.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     texts = materialise(texts.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(6))))
     learned = learn_lexicon(texts.filter("part < 3"), lexicon_size)
     known = materialise(features(texts.filter("part > 2").coalesce(8), ["y", "part"], learned))
