@@ -86,7 +86,7 @@ def bm25_scores(queries: DataFrame, postings: DataFrame, stats: DataFrame) -> Da
     df = wanted.groupBy("course_id", "token").agg(F.count("*").alias("df"))
     weights = asked.join(df, ["course_id", "token"]).join(stats, "course_id")
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = weights.select("query_id", "course_id", "token", (F.col("qtf") * idf).alias("w"), "avg_tokens")
+    weights = materialise(weights.select("query_id", "course_id", "token", (F.col("qtf") * idf).alias("w"), "avg_tokens"))
     length = 1 - P.B + P.B * F.col("dl") / F.greatest("avg_tokens", F.lit(1.0))
     part = F.col("w") * F.col("tf") * (P.K1 + 1) / (F.col("tf") + P.K1 * length)
     return wanted.join(sized(weights), ["course_id", "token"]).groupBy("query_id", "course_id", "chunk_index").agg(F.sum(part).alias("score"))
@@ -96,7 +96,8 @@ def bm25_rank(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     """query_id, course_id, chunk_index, score, rank. Only the tokens that are asked for are counted per chunk."""
     asked = queries.select("course_id", F.explode("tokens").alias("token")).distinct()
     rows = _occurrences(chunks).join(sized(asked), ["course_id", "token"], "left_semi")
-    postings = rows.groupBy("course_id", "token", "chunk_index").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # these few postings are read twice: for the document frequencies and for the scores
+    postings = materialise(rows.groupBy("course_id", "token", "chunk_index").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
     return _ranked(bm25_scores(queries, postings, corpus_stats(chunks)), limit)
 
 
