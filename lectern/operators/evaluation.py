@@ -113,9 +113,18 @@ def stage_summary(telemetry: DataFrame) -> DataFrame:
     )
 
 
+def observation_values(observations: DataFrame) -> DataFrame:
+    """stage, name, value, n: a row for each different value, however many there are."""
+    return observations.groupBy("stage", "name", "value").agg(F.count("*").alias("n"))
+
+
 def observation_summary(observations: DataFrame) -> DataFrame:
-    """stage, name, count, min, max, avg, distribution (value, whole numbers without .0, to count, in numeric order)."""
-    each = observations.groupBy("stage", "name", "value").agg(F.count("*").alias("n"))
+    """stage, name, count, min, max, avg, distribution (value, whole numbers without .0, to count, in numeric order).
+
+    The distribution of a name is one map: it is for measurements of few different values, such as counts. For others
+    use observation_values.
+    """
+    each = observation_values(observations)
     text = F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
     pairs = F.transform(F.array_sort(F.collect_list(F.struct("value", text.alias("text"), "n"))), lambda p: F.struct(p.text, p.n))
     return each.groupBy("stage", "name").agg(

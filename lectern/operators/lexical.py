@@ -18,13 +18,15 @@ from lectern.functions import params as P
 from lectern.functions import text as X
 from lectern.sources.scratch import materialise
 
-#: Rows of the question side up to which it is sent to all executors.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (of their JSON) up to which a side is sent to all executors.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The side of a join that is sent to all executors if it is small enough, counted beforehand."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """The side of a join that is sent to all executors if it is measured to be small enough, in rows and in bytes."""
+    width = F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))
+    n, size = df.limit(rows + 1).agg(F.count("*"), width).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
 
 
 def search_text() -> Column:

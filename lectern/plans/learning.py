@@ -111,11 +111,12 @@ def generated_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = plan(spark, sf_dir)
-    notes = p.filter("id % 4 = 0").select("course_id", F.concat(F.lit("note "), F.col("id")).alias("title"), "created_at")
-    messages = p.filter("id % 4 = 1").select("course_id", F.lit("user").alias("role"), F.concat(F.lit("said "), F.col("id")).alias("content"), "created_at")
-    f = files(spark, sf_dir).limit(0).withColumn("course_id", F.lit(0).cast("long"))
-    return D.recent_activity(messages, notes, p, f).select("course_id", "position", "type", "title")
+    p, events = plan(spark, sf_dir), I.read(spark, sf_dir, "events")
+    notes = p.select("course_id", F.concat(F.lit("note "), F.col("id")).alias("title"), "created_at")
+    messages = events.select(F.col("user_id").alias("course_id"), F.col("event_type").alias("role"), F.concat(F.lit("said "), F.col("event_id")).alias("content"), F.col("ts").alias("created_at"))
+    made_at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("file_id").cast("long"))
+    f = files(spark, sf_dir).withColumns({"course_id": F.substr("course_id", F.lit(4)).cast("long"), "modified_at": made_at})
+    return D.recent_activity(messages, notes, p, f, 100).select("course_id", "position", "type", "title")
 
 
 def course_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -552,9 +553,11 @@ ORACLES = {
         coalesce(sum(size) FILTER (WHERE NOT made), 0)::BIGINT AS total_bytes, nullif(count(*) FILTER (WHERE NOT made), 0) AS md_files FROM files GROUP BY 1""",
     "generated_artifacts": f"""WITH {_FILES} SELECT course_id, count(*) AS total, 0 AS summaries, count(*) FILTER (WHERE contains(file_name, 'quiz')) AS quizzes, count(*) FILTER (WHERE NOT contains(file_name, 'quiz')) AS other,
         arg_max(file_name, file_ord) AS latest FROM files WHERE made GROUP BY 1""",
-    "recent_activity": f"""WITH {_PLAN}, u AS (SELECT course_id, 'message:user' AS type, 'said ' || id AS title, created_at FROM plan WHERE id % 4 = 1 UNION ALL SELECT course_id, 'note', 'note ' || id, created_at FROM plan WHERE id % 4 = 0
-            UNION ALL SELECT course_id, 'plan:' || status, title, created_at FROM plan), r AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY created_at DESC, type, title) AS position FROM u)
-        SELECT course_id, position, type, title FROM r WHERE position <= 8""",
+    "recent_activity": f"""WITH {_FILES}, {_PLAN}, u AS (SELECT user_id AS course_id, 'message:' || event_type AS type, 'said ' || event_id AS title, ts AS created_at FROM events UNION ALL SELECT course_id, 'note', 'note ' || id, created_at FROM plan
+            UNION ALL SELECT course_id, 'plan:' || status, title, created_at FROM plan
+            UNION ALL SELECT substr(course_id, 4)::BIGINT, 'generated_artifact', file_name, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(file_ord) FROM files WHERE made),
+            r AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY created_at DESC, type, title) AS position FROM u)
+        SELECT course_id, position, type, title FROM r WHERE position <= 100""",
     "course_dashboard": f"""{_REC}, {_PLAN}, p AS (SELECT course_id, count(*) AS total, count(*) FILTER (WHERE status = 'done') AS done FROM plan GROUP BY 1), m AS (SELECT course_id, count(*) AS points, CAST(round_even(avg(score), 0) AS INTEGER) AS average_score FROM folded GROUP BY 1)
         SELECT c_custkey AS course_id, coalesce(total, 0) AS total, coalesce(done, 0) AS done, coalesce(CAST(round_even(100 * done / total, 0) AS INTEGER), 0) AS progress_percent, coalesce(points, 0) AS points, coalesce(average_score, 0) AS average_score
         FROM customer LEFT JOIN p ON p.course_id = c_custkey LEFT JOIN m ON m.course_id = c_custkey""",
