@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -70,6 +71,18 @@ def tokenize_lexical(c: Column) -> Column:
     return F.when(text.rlike(f"[{CJK}]"), mixed).otherwise(latin)
 
 
+def constant_tokens(text: str) -> Column:
+    """tokenize_lexical of a text that is known beforehand, as a literal: plans stay small."""
+    out = []
+    for run in re.findall("[A-Za-z0-9_]+|[\u4e00-\u9fff]+", text):
+        if run[0] < "\u4e00":
+            out.append(run.lower())
+        else:
+            out += [run] if len(run) <= 8 else []
+            out += [run] if len(run) == 1 else [run[i : i + n] for n in (2, 3) for i in range(len(run) - n + 1)]
+    return F.array(*map(F.lit, out)).cast(_STRINGS)
+
+
 def tokenize_embedding(c: Column) -> Column:
     """Latin runs without underscore and single CJK characters, then the pairs of CJK characters that follow each
     other in the list of CJK characters, even across a gap."""
@@ -118,8 +131,8 @@ def expand_query(query: Column, tokens: Column, synonyms: Mapping[str, Sequence[
     def expand(own: Column) -> Column:
         out = own
         for trigger, additions in synonyms.items():
-            fires = F.lower(text_or_empty(query)).contains(trigger) | F.arrays_overlap(own, tokenize_lexical(F.lit(trigger)))
-            added = F.flatten(F.array(*[tokenize_lexical(F.lit(a)) for a in additions]))
+            fires = F.lower(text_or_empty(query)).contains(trigger) | F.arrays_overlap(own, constant_tokens(trigger))
+            added = F.concat(*[constant_tokens(a) for a in additions])
             out = F.concat(out, F.when(fires, added).otherwise(empty_strings()))
         return out
 

@@ -122,7 +122,7 @@ def semantic_score(query: Column, tokens: Column, text: Column, own: Column | No
     """Related terms of fired aliases in the text, and the cosine of the two feature sets (own: the text's)."""
     bonus = F.lit(0.0)
     for trigger, related in aliases.items():
-        fires = query.contains(trigger) | F.arrays_overlap(tokens, X.tokenize_lexical(F.lit(trigger)))
+        fires = query.contains(trigger) | F.arrays_overlap(tokens, X.constant_tokens(trigger))
         hits = sum((text.contains(term.lower()).cast("double") for term in related), F.lit(0.0))
         bonus = bonus + F.when(fires, hits).otherwise(0.0)
     asked, own = X.semantic_features(query), X.semantic_features(text) if own is None else own
@@ -298,7 +298,7 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, limit: int = 5) -> Dat
     from lectern.operators.chunking import exclude_generated, neighbor_context
 
     usable = exclude_generated(chunks)
-    asked = prepare_queries(queries)
+    asked = materialise(prepare_queries(queries))
     candidates = fused_candidates(asked, usable, limit).withColumn("tokens", X.tokenize_lexical(search_text()))
     hits = select_diverse(candidates, limit).withColumnRenamed("picked", "rank")
     context = neighbor_context(usable).select("course_id", "chunk_index", "context_text")

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from lectern.functions import params as P
 from lectern.functions import text as X
 from lectern.operators.lexical import sized
+from lectern.sources.scratch import materialise
 
 BATCH = 32
 
@@ -184,7 +185,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, lim
     vector. Questions without a vector hit get their lexical hits."""
     from lectern.operators import lexical as L
 
-    asked = L.prepare_queries(queries)
+    asked = materialise(L.prepare_queries(queries))
     tokens = X.tokenize_lexical(L.search_text())
     candidates = L.fused_candidates(asked, chunks, 2 * limit).withColumn("tokens", tokens)
     first = L.select_diverse(candidates, 2 * limit)

@@ -24,7 +24,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.prepare_queries(I.questions(spark, sf_dir))
+    return materialise(lexical.prepare_queries(I.questions(spark, sf_dir)))
 
 
 def window_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,11 @@ def test_lexical_tokens_of_mixed_text(spark):
     assert got == ["虚拟内存", "虚拟", "拟内", "内存", "虚拟内", "拟内存", "page", "table", "栈", "栈"]
 
 
+def test_tokens_of_constants_are_the_same(spark):
+    for text in ("", "虚拟内存 Page table 栈", "一二三四五六七八九", "a_B-9 İK", *(w for ws in (X.P.SYNONYMS, X.P.ALIASES) for k, v in ws.items() for w in (k, *v))):
+        assert one(spark, text, X.tokenize_lexical) == one(spark, text, lambda c, t=text: X.constant_tokens(t))
+
+
 def test_long_cjk_runs_give_grams_only(spark):
     got = one(spark, "一二三四五六七八九", X.tokenize_lexical)
     assert "一二三四五六七八九" not in got and len(got) == 8 + 7
