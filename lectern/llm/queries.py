@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.text import let
+
 from . import (
     bpe,
     chat_format,
+    conversation_repair,
     decontamination,
     knn_quality,
+    language_id,
     line_templates,
     neardup,
+    periodic_runs,
     quality_rules,
     substring_dedup,
     toxicity,
@@ -73,6 +78,59 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), "dropped", F.length("text").alias("n_chars"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, in which every tenth document (by a checksum of its id) goes on in periods from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("int")
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.when(n > 0, g % n).otherwise(0)
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
+        whole = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), whole), F.lit(1), n), " ")
+
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    planted = F.when(h % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise("")))
+    return docs.select("doc_id", F.coalesce(planted, "text").alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_periods(table(spark, sf_dir, "documents")))
+    best = periodic_runs.strongest(F.col("runs"))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with faults planted by a checksum of conversation and turn, and every conv_id."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", known("role").alias("role"), known("text").alias("text"))
+    kind = F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(kind == 4, "user").otherwise(F.col("role"))
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    out = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(1), times)).alias("copy"))
+    return out.drop("copy"), conversations.select("conv_id").distinct()
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(*damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.document_languages(table(spark, sf_dir, "documents"))
+
+
 def _glob_regex(glob: str) -> str:
     parts = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
     out, i = [], 0
@@ -138,5 +196,8 @@ QUERIES = {
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_language_id": op13_language_id,
 }
 ORACLES = {"op2_url_filters": _url_sql(), "op3_chat_format": _chat_sql()}
