@@ -67,7 +67,11 @@ PLAN_REVIEW = ("复习", "summary", "总结")
 GENERATED_FOLDER = "AI生成"
 SUMMARY_NAMES = ("摘要", "summary")
 QUIZ_NAMES = ("练习", "习题", "quiz", "自测")
-EXTENSIONS = (".pdf", ".md", ".markdown", ".txt", ".docx", ".pptx", ".png", ".jpg", ".jpeg", ".webp", ".gif")
+
+# Fixed values of file kinds.
+TEXT_EXTENSIONS = (".md", ".markdown", ".txt")
+IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".webp", ".gif", ".bmp")
+EXTENSIONS = (".pdf", ".docx", *TEXT_EXTENSIONS, *IMAGE_EXTENSIONS)
 
 TOKENIZER_VERSION, SCHEMA_VERSION, VECTOR_VERSION = "zh_ngrams_v2", 2, 1
 CHUNK_SIZE, CHUNK_OVERLAP = 520, 80

@@ -121,16 +121,66 @@ def observation_values(observations: DataFrame) -> DataFrame:
 def observation_summary(observations: DataFrame) -> DataFrame:
     """stage, name, count, min, max, avg, distribution (value, whole numbers without .0, to count, in numeric order).
 
-    The distribution of a name is one map: it is for measurements of few different values, such as counts. For others
-    use observation_values.
+    The distribution of a name is one map: it is listed for measurements of at most DISTINCT_VALUES different values,
+    such as counts, and is null for others, whose quantiles observation_sketches has and whose common values
+    frequent_values.
     """
     each = observation_values(observations)
     text = F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
-    pairs = F.transform(F.array_sort(F.collect_list(F.struct("value", text.alias("text"), "n"))), lambda p: F.struct(p.text, p.n))
-    return each.groupBy("stage", "name").agg(
-        F.sum("n").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.sum(F.col("value") * F.col("n")) / F.sum("n"), 3).alias("avg"),
-        F.map_from_entries(pairs).alias("distribution"),
+    figures = each.groupBy("stage", "name").agg(
+        F.sum("n").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.round(F.sum(F.col("value") * F.col("n")) / F.sum("n"), 3).alias("avg"), F.count("*").alias("kinds"),
     )
+    few = figures.filter(F.col("kinds") <= DISTINCT_VALUES).select(F.col("stage").alias("f_stage"), F.col("name").alias("f_name"))
+    same = lambda p: F.col("stage").eqNullSafe(F.col(f"{p}_stage")) & F.col("name").eqNullSafe(F.col(f"{p}_name"))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("value", text.alias("text"), "n"))), lambda p: F.struct(p.text, p.n))
+    listed = each.join(few, same("f"), "left_semi").groupBy("stage", "name").agg(F.map_from_entries(pairs).alias("distribution"))
+    out = figures.join(listed.withColumnsRenamed({"stage": "l_stage", "name": "l_name"}), same("l"), "left")
+    return out.select("stage", "name", "count", "min", "max", "avg", "distribution")
+
+
+#: Parameter of the quantile sketches: the rank of a quantile is off by 1.33 / k^0.9 of all values or so, 1.3 % for 200.
+SKETCH_K = 200
+
+
+def observation_sketches(observations: DataFrame, size: str = "1 day", k: int = SKETCH_K) -> DataFrame:
+    """stage, name, window_start, n, low, high, total, sketch: the measurements of each window of time (observations:
+    stage, name, ts, value) as a quantile sketch of a fixed size, whatever their number. Rows can be stored and merged
+    with those of other windows, runs and clusters. NaN and null values are left out."""
+    known = observations.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
+    value = F.col("value").cast("double")
+    out = known.groupBy("stage", "name", F.window("ts", size).alias("w")).agg(
+        F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.sum(value).alias("total"), F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch")
+    )
+    return out.select("stage", "name", F.col("w.start").alias("window_start"), "n", "low", "high", "total", "sketch")
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str] = ("stage", "name"), k: int = SKETCH_K) -> DataFrame:
+    """Sketch rows brought together by the given columns; the result can be merged again."""
+    return sketches.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch")
+    )
+
+
+def sketch_summary(sketches: DataFrame, quantiles: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Sketch rows with avg and the quantiles (p50, p90, p99): values that were seen, whose rank is that of the quantile
+    within the sketch's error. Count, lowest, highest and mean are exact."""
+    found = {f"p{100 * q:g}": F.kll_sketch_get_quantile_double("sketch", F.lit(q)) for q in quantiles}
+    return sketches.withColumns({"avg": F.round(F.col("total") / F.col("n"), 3), **found}).drop("sketch", "total")
+
+
+def frequent_values(observations: DataFrame, least_share: float = 0.01) -> DataFrame:
+    """stage, name, value, n: the values that make up at least that share of their name's measurements, with their exact
+    counts; at most 1 / least_share rows a name. Rare values never leave the tasks that counted them."""
+    each = observation_values(observations)
+    total = each.groupBy("stage", "name").agg(F.sum("n").alias("all_n"))
+    same = F.col("stage").eqNullSafe(F.col("t_stage")) & F.col("name").eqNullSafe(F.col("t_name"))
+    rows = each.join(total.withColumnsRenamed({"stage": "t_stage", "name": "t_name"}), same)
+    return rows.filter(F.col("n") >= least_share * F.col("all_n")).select("stage", "name", "value", "n")
+
+
+#: Values up to which observation_summary lists a name's distribution.
+DISTINCT_VALUES = 1_000
 
 
 def counters(increments: DataFrame) -> DataFrame:

@@ -23,7 +23,9 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The side of a join that is sent to all executors if it is measured to be small enough, in rows and in bytes."""
+    """The side of a join, written out and sent to all executors if it is measured to be small enough, in rows and in
+    bytes."""
+    df = materialise(df)
     width = F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))
     n, size = df.limit(rows + 1).agg(F.count("*"), width).first()
     return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
@@ -73,7 +75,7 @@ def build_postings(chunks: DataFrame) -> DataFrame:
     return _occurrences(chunks).groupBy("course_id", "token", "chunk_index").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def _ranked(scored: DataFrame, limit: int) -> DataFrame:
+def ranked(scored: DataFrame, limit: int) -> DataFrame:
     """rank by score, then chunk order; scores compared at 9 digits, so the order of a sum does not matter."""
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_index")
     return scored.filter("score > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
@@ -88,10 +90,10 @@ def bm25_scores(queries: DataFrame, postings: DataFrame, stats: DataFrame) -> Da
     df = wanted.groupBy("course_id", "token").agg(F.count("*").alias("df"))
     weights = asked.join(df, ["course_id", "token"]).join(stats, "course_id")
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = materialise(weights.select("query_id", "course_id", "token", (F.col("qtf") * idf).alias("w"), "avg_tokens"))
+    weights = sized(weights.select("query_id", "course_id", "token", (F.col("qtf") * idf).alias("w"), "avg_tokens"))
     length = 1 - P.B + P.B * F.col("dl") / F.greatest("avg_tokens", F.lit(1.0))
     part = F.col("w") * F.col("tf") * (P.K1 + 1) / (F.col("tf") + P.K1 * length)
-    return wanted.join(sized(weights), ["course_id", "token"]).groupBy("query_id", "course_id", "chunk_index").agg(F.sum(part).alias("score"))
+    return wanted.join(weights, ["course_id", "token"]).groupBy("query_id", "course_id", "chunk_index").agg(F.sum(part).alias("score"))
 
 
 def bm25_rank(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
@@ -100,7 +102,7 @@ def bm25_rank(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     rows = _occurrences(chunks).join(sized(asked), ["course_id", "token"], "left_semi")
     # these few postings are read twice: for the document frequencies and for the scores
     postings = materialise(rows.groupBy("course_id", "token", "chunk_index").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
-    return _ranked(bm25_scores(queries, postings, corpus_stats(chunks)), limit)
+    return ranked(bm25_scores(queries, postings, corpus_stats(chunks)), limit)
 
 
 def phrase_score(text: Column, phrases: Column) -> Column:
@@ -109,13 +111,13 @@ def phrase_score(text: Column, phrases: Column) -> Column:
     return F.aggregate(taken, F.lit(0), lambda a, b: a + b)
 
 
-def _name_tokens() -> Column:
+def name_tokens() -> Column:
     return X.tokenize_lexical(F.concat_ws(" ", *[X.text_or_empty(F.col(c)) for c in ("file_name", "path", "section_title", "material_type")]))
 
 
 def metadata_score(tokens: Column, own: Column | None = None) -> Column:
     """How often the distinct tokens stand in name, path, title and kind."""
-    return F.size(F.filter(_name_tokens() if own is None else own, lambda t: F.array_contains(tokens, t)))
+    return F.size(F.filter(name_tokens() if own is None else own, lambda t: F.array_contains(tokens, t)))
 
 
 def semantic_score(query: Column, tokens: Column, text: Column, own: Column | None = None, aliases: Mapping[str, Sequence[str]] = P.ALIASES) -> Column:
@@ -142,29 +144,23 @@ def leg_scores(pairs: DataFrame) -> DataFrame:
     )
 
 
-def course_scores(queries: DataFrame, chunks: DataFrame, legs: Sequence[str] = ("phrase", "metadata", "semantic")) -> DataFrame:
-    """query_id, course_id, chunk_index and the scores of the legs, of every question with every chunk of its course.
+def leg_rank(leg: str, queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """query_id, course_id, chunk_index, score, rank by one leg (phrase, metadata or semantic) from an index of what the
+    questions ask for: a question meets only chunks that share a phrase, a name token or a feature with it."""
+    from lectern.operators import impact as M
 
-    A phrase counts wherever its characters stand, and a chunk of a few shingles in common scores too, so no index tells
-    beforehand which chunks score nothing: the questions, a stated set, meet all chunks of their courses, as they stand,
-    without a shuffle of texts. What a chunk brings is computed once for all questions; only ids and scores go on.
-    """
-    text = F.lower(search_text())
-    own = {"leg_text": text}
-    own |= {"leg_names": _name_tokens()} if "metadata" in legs else {}
-    own |= {"leg_features": X.semantic_features(text)} if "semantic" in legs else {}
-    rows = chunks.withColumns(own).select("course_id", "chunk_index", *own)
-    pairs = rows.join(sized(queries.select("query_id", "course_id", "tokens", "phrases", "normalized")), "course_id")
-    scores = {
-        "phrase": lambda: phrase_score(F.col("leg_text"), F.col("phrases")),
-        "metadata": lambda: metadata_score(F.col("tokens"), F.col("leg_names")),
-        "semantic": lambda: semantic_score(F.col("normalized"), F.col("tokens"), F.col("leg_text"), F.col("leg_features")),
-    }
-    return pairs.select("query_id", "course_id", "chunk_index", *(scores[n]().cast("double").alias(f"{n}_score") for n in legs))
-
-
-def rank_leg(scored: DataFrame, column: str, limit: int) -> DataFrame:
-    return _ranked(scored.select("query_id", "course_id", "chunk_index", F.col(column).cast("double").alias("score")), limit)
+    if leg == "phrase":
+        asked = materialise(M.phrase_questions(queries))
+        postings = M.phrase_postings(chunks, asked.select("course_id", F.col("term").alias("phrase")))
+    elif leg == "metadata":
+        asked = materialise(M.name_questions(queries))
+        postings = M.name_postings(chunks, asked)
+    elif leg == "semantic":
+        asked = materialise(M.feature_questions(queries))
+        postings = M.feature_postings(chunks, asked)
+    else:
+        raise ValueError(leg)
+    return M.top_k(asked, materialise(M.build_blocks(postings)), limit)
 
 
 def reciprocal_rank_fusion(lists: Sequence[DataFrame], limit: int, k: int = P.RRF_K) -> DataFrame:
@@ -281,25 +277,34 @@ def retrieval_quality(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 def fused_candidates(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     """The four legs cut and fused, with chunk and question columns, leg scores, rerank_score and ordinal. Texts are
-    fetched for the cut only."""
+    fetched for the cut only. queries (prepared) and chunks are read several times: keep them."""
     cut = max(6 * limit, 18)
-    scores = materialise(course_scores(queries, chunks))  # read by three legs
     legs = [bm25_rank(queries, chunks, cut)]
-    legs += [rank_leg(scores, c, cut) for c in ("phrase_score", "metadata_score", "semantic_score")]
-    fused = reciprocal_rank_fusion(legs, cut).drop("rank")
-    rows = chunks.drop("tokens").join(sized(fused), ["course_id", "chunk_index"]).join(sized(queries), ["query_id", "course_id"])
+    legs += [leg_rank(leg, queries, chunks, cut) for leg in ("phrase", "metadata", "semantic")]
+    fused = sized(reciprocal_rank_fusion(legs, cut).drop("rank"))
+    rows = chunks.drop("tokens").join(fused, ["course_id", "chunk_index"]).join(sized(queries), ["query_id", "course_id"])
     rows = leg_scores(rows).withColumn("rerank_score", local_rerank_score())
     w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), F.round("rrf_score", 12).desc(), "chunk_index")
     return rows.withColumn("ordinal", F.row_number().over(w) - 1)
 
 
+def with_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """hits (course_id, chunk_index) with context_text; the windows run over the files of the hits only."""
+    from lectern.operators.chunking import neighbor_context
+
+    page = ["course_id", "file_id"]
+    files = sized(hits.select(*page).distinct())
+    context = neighbor_context(chunks.select(*page, "page", "chunk_index", "text").join(files, page, "left_semi"))
+    return hits.join(context.select("course_id", "chunk_index", "context_text"), ["course_id", "chunk_index"])
+
+
 def lexical_search(queries: DataFrame, chunks: DataFrame, limit: int = 5) -> DataFrame:
-    """The hits of every question, ranked: query_id, rank, chunk columns, scores, context_text. queries are raw."""
-    from lectern.operators.chunking import exclude_generated, neighbor_context
+    """The hits of every question, ranked: query_id, rank, chunk columns, scores, context_text. queries are raw; their
+    tokens are searched as they stand, without synonyms."""
+    from lectern.operators.chunking import exclude_generated
 
     usable = exclude_generated(chunks)
-    asked = materialise(prepare_queries(queries))
+    asked = materialise(prepare_queries(queries, expand=False))
     candidates = fused_candidates(asked, usable, limit).withColumn("tokens", X.tokenize_lexical(search_text()))
-    hits = select_diverse(candidates, limit).withColumnRenamed("picked", "rank")
-    context = neighbor_context(usable).select("course_id", "chunk_index", "context_text")
-    return enrich_hits(hits.join(context, ["course_id", "chunk_index"]), "lexical_hybrid_rerank")
+    hits = materialise(select_diverse(candidates, limit).withColumnRenamed("picked", "rank"))
+    return enrich_hits(with_context(hits, usable), "bm25_rrf_mmr")

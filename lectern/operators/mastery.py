@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,64 @@ def fold_delta(correct: bool, difficulty: str | None, confidence: float | None,
 
 
 _FOLDED = ("score", "attempts", "correct_count", "wrong_count", "streak")
+#: What an answer depends on of all before it: the score, and the streak up to 3.
+STATES = 101 * 4
+
+
+class AnswerFunction:
+    """A slice of a point's answers as one function from the state before to the state behind it.
+
+    All states are carried through the slice at once; equal ones are merged as they meet, which a wrong answer does to
+    the streaks and rounding to the scores, so a long slice soon carries a few only."""
+
+    def __init__(self) -> None:
+        self.image = np.arange(STATES)
+        self.kinds = self.image
+
+    def add(self, correct: bool, difficulty: str | None, confidence: float | None) -> None:
+        score, streak = self.kinds // 4, self.kinds % 4
+        weight = {"easy": 0.75, "hard": 1.25}.get(difficulty, 1.0)
+        known = confidence is not None and confidence == confidence
+        sure = 0.75 + 0.5 * min(max(confidence, 0.0), 1.0) if known else 1.0
+        if correct:
+            change = np.maximum(1, np.rint((8 + streak) * weight * sure * np.maximum(0.35, (100 - score) / 100.0)))
+            streak = np.minimum(streak + 1, 3)
+        else:
+            change = -np.maximum(4, np.rint(12 * weight * sure * np.maximum(0.5, score / 100.0)))
+            streak = np.zeros_like(streak)
+        after = np.clip(score + change, 0, 100).astype(np.int64) * 4 + streak
+        self.kinds, merged = np.unique(after, return_inverse=True)
+        self.image = merged[self.image]
+
+    def table(self) -> list[int]:
+        return self.kinds[self.image].tolist()
+
+
+class _Slice:
+    """Answers of a point that follow each other: their numbers, and what becomes of the score and the streak."""
+
+    def __init__(self, begin: list[int] | None) -> None:
+        """begin: the state to go on from; None where an earlier slice may precede."""
+        self.known = begin is not None
+        self.score, self.attempts, self.right, self.wrong, self.streak = begin or [0] * 5
+        self.function = None if self.known else AnswerFunction()
+        self.all_right, self.last, self.at = True, None, None
+
+    def add(self, at: str, correct: bool, difficulty: str | None, confidence: float | None) -> None:
+        if self.known:
+            self.score = min(max(self.score + fold_delta(correct, difficulty, confidence, self.score, self.streak), 0), 100)
+        else:
+            self.function.add(correct, difficulty, confidence)
+        self.attempts, self.right, self.wrong = self.attempts + 1, self.right + correct, self.wrong + (not correct)
+        self.streak = self.streak + 1 if correct else 0
+        self.all_right, self.last, self.at = self.all_right and correct, correct, at
+
+    def row(self) -> tuple:
+        table = [] if self.known else self.function.table()
+        return (self.score, self.attempts, self.right, self.wrong, self.streak, self.all_right, self.last, self.at, table)
+
+
+_SLICE = ", ".join(f"{n} int" for n in _FOLDED) + ", all_right boolean, right boolean, at string, table array<int>"
 
 
 def fold_answers(events: DataFrame, initial: DataFrame | None = None) -> DataFrame:
@@ -53,41 +112,71 @@ def fold_answers(events: DataFrame, initial: DataFrame | None = None) -> DataFra
     review_interval_days, next_review_at. events: course_id, point_id, event_id, ts, correct, difficulty, confidence;
     initial: course_id, point_id, score, attempts, correct_count, wrong_count, streak to go on from.
 
-    Each answer depends on the score before it, so the answers of a point are read in order; they stream through a task
-    sorted, and only the state of the point at hand is held, however long its log is.
+    Each answer depends on the score before it, yet a point with a third of all answers is spread over many tasks: rows
+    are sorted by ranges of point and time, and what a task has of a point that may have begun in an earlier range
+    becomes a function on the STATES that matter. Only these functions, one for each range at most, meet to be applied
+    in order; all other points are folded where they are, holding one state.
     """
     kinds = dict(events.dtypes)
     key = ["course_id", "point_id"]
-    rows = events.select(*key, "ts", "event_id", F.coalesce("correct", F.lit(False)).alias("correct"), "difficulty", F.col("confidence").cast("double").alias("confidence"))
-    begin = F.array(*(F.lit(START if n == "score" else 0) for n in _FOLDED))
-    if initial is not None:
-        own = initial.select(*key, F.array(*(F.col(n).cast("int") for n in _FOLDED)).alias("begin"))
-        rows = rows.join(own, key, "left").withColumn("begin", F.coalesce("begin", begin))
-    else:
-        rows = rows.withColumn("begin", begin)
-    ordered = rows.repartition(*key).sortWithinPartitions(*key, "ts", "event_id")
     instant = kinds["ts"] == "timestamp"
-    at = (F.unix_micros("ts") if instant else F.col("ts")).cast("string")
+    at = (F.unix_micros("ts") if instant else F.col("ts")).cast("string").alias("at")
+    correct = F.coalesce("correct", F.lit(False)).alias("correct")
+    none = F.lit(None).cast("array<int>").alias("begin")
+    rows = events.select(*key, F.lit(1).alias("kind"), "ts", "event_id", at, correct, "difficulty", F.col("confidence").cast("double").alias("confidence"), none)
+    if initial is not None:  # a row before all answers of its point
+        have = {n: F.lit(None).cast(t).alias(n) for n, t in rows.dtypes}
+        have |= {"kind": F.lit(0).alias("kind"), "begin": F.array(*(F.col(n).cast("int") for n in _FOLDED)).alias("begin")}
+        have |= {c: F.col(c).cast(kinds[c]).alias(c) for c in key}
+        rows = rows.unionByName(initial.select(*have.values()))
+    order = [*key, "kind", "ts", "event_id"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     # ids and times as text: pandas would change what has a null beside it
-    plain = ordered.select(*(F.col(c).cast("string").alias(c) for c in key), at.alias("at"), "correct", "difficulty", "confidence", "begin")
+    plain = dealt.select(*(F.col(c).cast("string").alias(c) for c in key), "at", "correct", "difficulty", "confidence", "begin", F.spark_partition_id().alias("part"))
+    default = [START, 0, 0, 0, 0]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, own, part, first = None, None, 0, True
+        columns = [*key, "part", *(c.split()[0] for c in _SLICE.split(", "))]
         for batch in batches:
             done = []
-            for course, point, at, correct, difficulty, confidence, begin in batch.itertuples(index=False, name=None):
+            for course, point, at, correct, difficulty, confidence, begin, part in batch.itertuples(index=False, name=None):
                 if current != (course, point):
                     if current is not None:
+                        done.append((*current, part, *own.row()))
+                    own = _Slice(list(map(int, begin)) if begin is not None else None if first else default)
+                    current, first = (course, point), False
+                if begin is None:
+                    own.add(at, bool(correct), difficulty, confidence)
+            yield pd.DataFrame(done, columns=columns)
+        if current is not None:
+            yield pd.DataFrame([(*current, part, *own.row())], columns=columns)
+
+    slices = plain.mapInPandas(fold, f"course_id string, point_id string, part int, {_SLICE}")
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            done = []
+            for course, point, _, score, attempts, right, wrong, streak, all_right, last, at, table in batch.itertuples(index=False, name=None):
+                if current != (course, point):
+                    if current is not None and state[5] is not None:
                         done.append((*current, *state))
-                    current, state = (course, point), [*map(int, begin), None, None]
-                score, attempts, right, wrong, streak = state[:5]
-                score = min(max(score + fold_delta(correct, difficulty, confidence, score, streak), 0), 100)
-                state = [score, attempts + 1, right + correct, wrong + (not correct), streak + 1 if correct else 0, bool(correct), at]
+                    current, state = (course, point), [*default, None, None]
+                if len(table):
+                    score = int(table[state[0] * 4 + min(max(state[4], 0), 3)]) // 4
+                    counts = [state[1] + attempts, state[2] + right, state[3] + wrong]
+                    streak = state[4] + streak if all_right else streak
+                else:
+                    counts = [attempts, right, wrong]
+                state = [score, *counts, streak, *((last, at) if last is not None else state[5:])]
             yield pd.DataFrame(done, columns=[*key, *_FOLDED, "right", "at"])
-        if current is not None:
+        if current is not None and state[5] is not None:
             yield pd.DataFrame([(*current, *state)], columns=[*key, *_FOLDED, "right", "at"])
 
-    folded = plain.mapInPandas(run, "course_id string, point_id string, " + ", ".join(f"{n} int" for n in _FOLDED) + ", right boolean, at string")
+    # at most one row for each point and range
+    met = slices.repartition(*key).sortWithinPartitions(*key, "part")
+    folded = met.mapInPandas(join, "course_id string, point_id string, " + ", ".join(f"{n} int" for n in _FOLDED) + ", right boolean, at string")
     last = F.timestamp_micros(F.col("at").cast("long")) if instant else F.col("at").cast(kinds["ts"])
     days = review_days(F.col("score"), F.col("right"))
     return folded.select(

@@ -141,6 +141,60 @@ def vector_search(queries: DataFrame, index: DataFrame, limit: int = 5, min_scor
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
+#: Bytes of centroids up to which they are sent to all executors.
+CENTROID_BYTES = 32 << 20
+
+
+def fit_cells(index: DataFrame, cells: int = 64, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """Unit centroids for assign_cells, by spherical k-means over at most `sample` vectors of the index, those of the
+    lowest hash of doc_id. Fewer vectors than cells give as many cells as vectors."""
+    rows = index.select("doc_id", "vector").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample).toPandas()  # bounded by sample
+    x = _unit_rows(rows["vector"]) if len(rows) else np.zeros((0, 1))
+    x = x[np.abs(x).sum(axis=1) > 0]
+    if not len(x):
+        return np.zeros((1, x.shape[1] if x.ndim == 2 else 1))
+    centres = x[np.random.default_rng(seed).permutation(len(x))[:cells]].copy()
+    if centres.nbytes > CENTROID_BYTES:
+        raise ValueError(f"centroids of {centres.nbytes} bytes are over {CENTROID_BYTES}: take fewer cells")
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centres)  # an empty cell stays where it was
+    return centres
+
+
+def assign_cells(rows: DataFrame, centres: np.ndarray, nearest: int = 1) -> DataFrame:
+    """rows (vector, ...) with cells: the numbers of the nearest cells, best first. A null or zero vector is in cell 0."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)  # its size has been checked
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = shared.value
+        for batch in batches:
+            x = _unit_rows([v if v is not None else np.zeros(own.shape[1]) for v in batch]) if len(batch) else np.zeros((0, own.shape[1]))
+            yield pd.Series(np.argsort(-np.round(x @ own.T, 9), axis=1, kind="stable")[:, :nearest].tolist())
+
+    return rows.withColumn("cells", F.pandas_udf(run, "array<int>")("vector"))
+
+
+def cell_index(index: DataFrame, centres: np.ndarray) -> DataFrame:
+    """The inverted file: every row of the index with its cell. To be stored, partitioned or bucketed by course and cell."""
+    return assign_cells(index, centres).withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
+
+
+def approximate_search(queries: DataFrame, cells: DataFrame, centres: np.ndarray, limit: int = 5, probes: int = 32, min_score: float | None = None, block: int = 4096) -> DataFrame:
+    """query_id, doc_id, ord, score, rank of the best in the `probes` nearest cells of each query, scored exactly. cells:
+    cell_index of vector_search's index. The same blocks as there, by course and cell: a cell with a third of all vectors
+    is many blocks. With as many probes as cells the result is vector_search's; with fewer, vectors in other cells are
+    missed: of vectors without any clusters half the 64 cells hold 0.93 of the best five, of clustered ones few cells do.
+    Exact search stays the default of everything else."""
+    place = F.when(F.col("course_id").isNotNull(), F.concat_ws("/", F.col("course_id").cast("string"), "cell")).alias("course_id")
+    asked = assign_cells(queries.select("query_id", "course_id", "vector"), centres, probes)
+    asked = asked.select("query_id", "course_id", F.explode("cells").alias("cell"), "vector").select("query_id", place, "vector")
+    return vector_search(asked, cells.select("doc_id", place, "ord", "vector"), limit, min_score, block)
+
+
 def _unit_rows(vectors: Sequence) -> np.ndarray:
     m = np.array([np.asarray(v, float) for v in vectors], float)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
@@ -181,28 +235,45 @@ def hybrid_merge(lexical: DataFrame, vectors: DataFrame, limit: int = 5, k: int
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int = 5, dims: int = 64) -> DataFrame:
-    """Fused lexical and vector hits: query_id, id, rank, method, scores. vectors: doc_id (chunk id), course_id, ord,
-    vector. Questions without a vector hit get their lexical hits."""
+    """Fused lexical and vector hits of raw queries: query_id, rank, the chunk's columns, hybrid_rrf_score, score,
+    query_coverage, matched_terms, retrieval_method, context_text. vectors: doc_id (chunk id), course_id, ord, vector.
+
+    Tokens are expanded by synonyms for the search, and coverage is of the plain ones. Generated files are left out of
+    both lists. A question without a vector hit keeps its lexical hits; one without a token has none."""
     from lectern.operators import lexical as L
+    from lectern.operators.chunking import exclude_generated
 
+    usable = exclude_generated(chunks)
+    generated = L.sized(chunks.select(F.col("id").alias("doc_id")).join(usable.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"))
     asked = materialise(L.prepare_queries(queries))
-    tokens = X.tokenize_lexical(L.search_text())
-    candidates = L.fused_candidates(asked, chunks, 2 * limit).withColumn("tokens", tokens)
-    first = L.select_diverse(candidates, 2 * limit)
+    candidates = L.fused_candidates(asked, usable, limit).withColumn("tokens", X.tokenize_lexical(L.search_text()))
+    first = materialise(L.select_diverse(candidates, 2 * limit))
     lexical = first.select("query_id", "id", F.col("picked").alias("rank"), (1000 * F.col("rrf_score")).alias("score"))
-    embedded = hash_embed(queries, ["query_id", "course_id"], "question", dims)
-    near = vector_search(embedded, vectors, max(4 * limit, 12), 0.2).withColumnRenamed("doc_id", "id")
+    embedded = hash_embed(asked, ["query_id", "course_id"], "normalized", dims)
+    near = materialise(vector_search(embedded, vectors.join(generated, "doc_id", "left_anti"), max(4 * limit, 12), 0.2).withColumnRenamed("doc_id", "id"))
     merged = hybrid_merge(lexical, near, max(4 * limit, 12))
-    shown = merged.join(chunks.select("id", "file_id", tokens.alias("own")), "id").join(first.select("query_id", "id", "rerank_score"), ["query_id", "id"], "left")
-    ready = shown.select(
+    met = merged.join(near.select("query_id").distinct(), "query_id", "left_semi")
+    known = met.join(first.select("query_id", "id", "tokens", "rerank_score"), ["query_id", "id"], "left")
+    files = usable.select("id", "file_id").join(L.sized(met.select("id").distinct()), "id", "left_semi")
+    ready = known.join(L.sized(files), "id").select(
         "query_id", "id", "file_id", "retrieval_method", "hybrid_rrf_score",
-        F.when(F.col("lexical_rank").isNotNull(), F.col("own")).otherwise(X.empty_strings()).alias("tokens"),
+        F.coalesce("tokens", X.empty_strings()).alias("tokens"),
         F.col("hybrid_rrf_score").alias("rrf_score"),
         F.coalesce("rerank_score", F.least(F.greatest(F.col("vector_score"), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)).alias("rerank_score"),
         (F.col("rank") - 1).alias("ordinal"),
     )
-    fused = L.select_diverse(ready, limit).select("query_id", "id", F.col("picked").alias("rank"), "retrieval_method", "hybrid_rrf_score")
-    plain = lexical.filter(F.col("rank") <= limit).join(near.select("query_id").distinct(), "query_id", "left_anti")
-    plain = plain.select("query_id", "id", "rank", F.lit("lexical").alias("retrieval_method"), (F.col("score") / 1000).alias("hybrid_rrf_score"))
-    has_near = near.select("query_id").distinct()
-    return fused.join(has_near, "query_id", "left_semi").unionByName(plain)
+    shown = ["query_id", "id", F.col("picked").alias("rank"), "retrieval_method", "hybrid_rrf_score", "rrf_score", "tokens"]
+    fused = L.select_diverse(ready, limit).select(*shown)
+    alone = first.filter(F.col("picked") <= limit).join(near.select("query_id").distinct(), "query_id", "left_anti")
+    alone = alone.withColumns({"retrieval_method": F.lit("hybrid_bm25_semantic_rrf_mmr"), "hybrid_rrf_score": F.lit(None).cast("double")})
+    hits = L.sized(fused.unionByName(alone.select(*shown)))
+    rows = usable.drop("tokens").join(hits, "id").join(L.sized(asked.select("query_id", "plain")), "query_id")
+    plain, both = F.array_distinct("plain"), F.array_intersect("plain", "tokens")
+    rows = rows.withColumns(
+        {
+            "score": F.round(1000 * F.col("rrf_score"), 4),
+            "query_coverage": F.round(F.size(both) / F.greatest(F.size(plain), F.lit(1)), 4),
+            "matched_terms": F.slice(F.array_sort(both), 1, 12),
+        }
+    )
+    return L.with_context(rows.drop("plain", "tokens", "rrf_score"), usable)

@@ -470,7 +470,9 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = R.index(spark, sf_dir)
     vectors = V.hash_embed(chunks, ["id", "course_id", "chunk_index"]).withColumnsRenamed({"id": "doc_id", "chunk_index": "ord"})
-    return V.hybrid_search(I.questions(spark, sf_dir), chunks, vectors)
+    hits = V.hybrid_search(I.questions(spark, sf_dir), chunks, vectors)
+    terms = F.array_join("matched_terms", " ").alias("matched_terms")
+    return hits.select("query_id", "rank", "id", "retrieval_method", "score", "query_coverage", terms, F.md5("context_text").alias("context"))
 
 
 _NAMES = """score_delta fold_answers mistakes resolve_mistakes upsert_points learning_progress review_queue mastery_summary

@@ -82,10 +82,9 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "course_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
 
-def _leg(column: str):
+def _leg(leg: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scores = lexical.course_scores(asked(spark, sf_dir), chunks(spark, sf_dir), [column.removesuffix("_score")])
-        out = lexical.rank_leg(scores, column, LIMIT)
+        out = lexical.leg_rank(leg, asked(spark, sf_dir), index(spark, sf_dir), LIMIT)
         return out.select("query_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
     return query
@@ -93,7 +92,7 @@ def _leg(column: str):
 
 def reciprocal_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, c = asked(spark, sf_dir), index(spark, sf_dir)
-    lists = [lexical.bm25_rank(a, c, CUT), lexical.rank_leg(lexical.course_scores(a, c, ["phrase"]), "phrase_score", CUT)]
+    lists = [lexical.bm25_rank(a, c, CUT), lexical.leg_rank("phrase", a, c, CUT)]
     out = lexical.reciprocal_rank_fusion(lists, CUT)
     return out.select("query_id", "chunk_index", F.round("rrf_score", 6).alias("rrf_score"), "rank")
 
@@ -202,9 +201,9 @@ QUERIES = {
     "document_frequency": document_frequency,
     "build_postings": build_postings,
     "bm25_rank": bm25_rank,
-    "phrase_rank": _leg("phrase_score"),
-    "metadata_rank": _leg("metadata_score"),
-    "semantic_rank": _leg("semantic_score"),
+    "phrase_rank": _leg("phrase"),
+    "metadata_rank": _leg("metadata"),
+    "semantic_rank": _leg("semantic"),
     "reciprocal_rank_fusion": reciprocal_rank_fusion,
     "local_rerank_score": local_rerank_score,
     "apply_rerank_scores": apply_rerank_scores,

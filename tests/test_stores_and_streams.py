@@ -58,7 +58,7 @@ def test_a_course_that_is_left_without_chunks_leaves_the_index(spark, tmp_path):
     one = ("a b", "f", "f.md", "a/f.md", "1", None, 0, "old words here")
     store.write_chunk_index(chunking.build_chunks(pages(spark, [one, ("c", "g", "g.md", "c/g.md", "1", None, 0, "stays")])), path)
     store.upsert_chunks(spark, path, pages(spark, [(*one[:7], "  \n ")]))
-    assert [(r.course_id, r.text) for r in spark.read.parquet(path).collect()] == [("c", "stays")]
+    assert [(r.course_id, r.text) for r in store.read_chunk_index(spark, path).collect()] == [("c", "stays")]
 
 
 def test_vector_index_round_trip(spark, tmp_path):
@@ -174,20 +174,6 @@ def test_vector_search_in_blocks_equals_a_search_of_all(spark):
     assert vector.vector_search(queries, index, 0).count() == 0 == vector.vector_search(queries.limit(0), index).count()
 
 
-def test_legs_equal_a_search_of_all_chunks(spark):
-    rnd = random.Random(9)
-    words = ["stack", "heap", "tree", "of", "the", "page", "队列", "栈"]
-    rows = [(f"c{i % 2}", f"f{i}", f"{rnd.choice(words)}{i}.md", f"c/{rnd.choice(words)}.md", f"{i:03}", None, 0, " ".join(rnd.choice(words) for _ in range(30))) for i in range(20)]
-    chunks = chunking.build_chunks(pages(spark, rows)).cache()
-    queries = lexical.prepare_queries(spark.createDataFrame([(i, f"c{i % 2}", " ".join(rnd.choice(words) for _ in range(3))) for i in range(6)], "query_id int, course_id string, question string"))
-    legs = ("phrase_score", "metadata_score", "semantic_score")
-    got = {(r.query_id, r.chunk_index): tuple(round(r[x], 9) for x in legs) for r in lexical.course_scores(queries, chunks).collect()}
-    plain = lexical.leg_scores(chunks.drop("tokens").join(queries, "course_id"))
-    assert got == {(r.query_id, r.chunk_index): tuple(round(float(r[x]), 9) for x in legs) for r in plain.collect()}
-    hits = lexical.fused_candidates(queries, chunks, 2)
-    assert hits.count() == len({(r.query_id, r.chunk_index) for r in hits.collect()}) > 0
-
-
 def test_diverse_choice_equals_the_greedy_rule(spark):
     rnd = random.Random(12)
     rows = [(q, i, rnd.choice(["f", "g", None]), [rnd.choice("abcdef") for _ in range(rnd.randint(0, 4))], rnd.choice([0.5, 0.25, 0.125]), rnd.choice([0.1, 0.2])) for q in range(8) for i in range(rnd.randint(1, 9))]
