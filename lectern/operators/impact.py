@@ -33,6 +33,7 @@ from lectern.sources.scratch import materialise
 #: Chunks of a block.
 BLOCK = 64
 KEY = ["course_id", "term"]
+CHUNK = ["course_id", "block_no", "chunk_index"]
 _EPS = 1e-9
 
 
@@ -43,7 +44,14 @@ def asked_only(rows: DataFrame, asked: DataFrame | None) -> DataFrame:
     return rows if asked is None else rows.join(sized(asked.select(*KEY).distinct()), KEY, "left_semi")
 
 
-# postings: course_id, term, chunk_index, impact
+def in_blocks(chunks: DataFrame) -> DataFrame:
+    """chunks with block_no, a block's chunks in one partition. What is grouped by course, block and anything else stays
+    where it is from here on, so an index costs a shuffle of texts, and none of the many more postings."""
+    block_no = F.floor(F.col("chunk_index") / BLOCK)
+    return chunks.withColumn("block_no", block_no).repartition("course_id", "block_no")
+
+
+# postings: course_id, term, block_no, chunk_index, impact
 
 
 def token_postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
@@ -51,19 +59,19 @@ def token_postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFra
     are averaged over each course."""
     from lectern.operators import lexical as L
 
-    own = chunks.select("course_id", "chunk_index", L.search_tokens(chunks).alias("own"))
-    rows = own.select("course_id", "chunk_index", F.size("own").alias("dl"), F.explode("own").alias("term"))
-    counted = asked_only(rows, asked).groupBy(*KEY, "chunk_index").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    own = in_blocks(chunks).select(*CHUNK, L.search_tokens(chunks).alias("own"))
+    rows = own.select(*CHUNK, F.size("own").alias("dl"), F.explode("own").alias("term"))
+    counted = asked_only(rows, asked).groupBy(*CHUNK, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     counted = counted.join(L.sized(L.corpus_stats(chunks).select("course_id", "avg_tokens")), "course_id")
     length = 1 - P.B + P.B * F.col("dl") / F.greatest("avg_tokens", F.lit(1.0))
-    return counted.select(*KEY, "chunk_index", (F.col("tf") * (P.K1 + 1) / (F.col("tf") + P.K1 * length)).alias("impact"))
+    return counted.select(*CHUNK, "term", (F.col("tf") * (P.K1 + 1) / (F.col("tf") + P.K1 * length)).alias("impact"))
 
 
 def name_postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     from lectern.operators import lexical as L
 
-    rows = chunks.select("course_id", "chunk_index", F.explode(L.name_tokens()).alias("term"))
-    return asked_only(rows, asked).groupBy(*KEY, "chunk_index").agg(F.count("*").cast("double").alias("impact"))
+    rows = in_blocks(chunks).select(*CHUNK, F.explode(L.name_tokens()).alias("term"))
+    return asked_only(rows, asked).groupBy(*CHUNK, "term").agg(F.count("*").cast("double").alias("impact"))
 
 
 def feature_postings(chunks: DataFrame, asked: DataFrame | None = None, aliases: Mapping[str, Sequence[str]] = P.ALIASES) -> DataFrame:
@@ -80,7 +88,7 @@ def feature_postings(chunks: DataFrame, asked: DataFrame | None = None, aliases:
         plain = X.let(own, lambda f: F.transform(f, lambda t: F.struct(F.concat(F.lit("f"), t).alias("term"), (1 / F.sqrt(F.size(f).cast("double"))).alias("impact"))))
         return F.concat(plain, F.transform(stands, lambda t: F.struct(F.concat(F.lit("a"), t).alias("term"), F.lit(1.0).alias("impact"))))
 
-    rows = chunks.select("course_id", "chunk_index", F.explode(X.let(text, terms)).alias("x")).select("course_id", "x.term", "chunk_index", "x.impact")
+    rows = in_blocks(chunks).select(*CHUNK, F.explode(X.let(text, terms)).alias("x")).select(*CHUNK, "x.term", "x.impact")
     return asked_only(rows, asked)
 
 
@@ -89,18 +97,18 @@ def gram_postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFram
     from lectern.operators import lexical as L
 
     grams = X.let(F.lower(L.search_text()), lambda t: F.array_distinct(F.concat(X.ngrams(t, 2), X.ngrams(t, 3))))
-    rows = chunks.select("course_id", "chunk_index", F.explode(grams).alias("term"))
-    return asked_only(rows, asked).select(*KEY, "chunk_index", F.lit(1.0).alias("impact"))
+    rows = in_blocks(chunks).select(*CHUNK, F.explode(grams).alias("term"))
+    return asked_only(rows, asked).select(*CHUNK, "term", F.lit(1.0).alias("impact"))
 
 
 # blocks: course_id, term, block_no, n, top, entries
 
 
-def build_blocks(postings: DataFrame, block: int = BLOCK) -> DataFrame:
-    """course_id, term, block_no, n, top (the highest impact), entries (chunk_index, impact): at most `block` of them, in
+def build_blocks(postings: DataFrame) -> DataFrame:
+    """course_id, term, block_no, n, top (the highest impact), entries (chunk_index, impact): at most BLOCK of them, in
     order of the chunks."""
     entry = F.struct("chunk_index", "impact")
-    return postings.groupBy(*KEY, F.floor(F.col("chunk_index") / block).alias("block_no")).agg(
+    return postings.groupBy("course_id", "block_no", "term").agg(
         F.count("*").alias("n"), F.max("impact").alias("top"), F.array_sort(F.collect_list(entry)).alias("entries")
     )
 
@@ -180,16 +188,16 @@ def phrase_postings(chunks: DataFrame, phrases: DataFrame, grams: DataFrame | No
     """Postings of the phrases asked for (course_id, phrase), counted on the texts of their candidates. Each chunk's text
     is read once for all its phrases."""
     from lectern.operators import lexical as L
+    from lectern.operators.lexical import sized
 
     phrases = materialise(phrases.select("course_id", "phrase").distinct())
     if grams is None:
         asked = phrase_grams(phrases).select(*KEY)
         grams = build_blocks(gram_postings(chunks, asked))
     found = phrase_candidates(phrases, grams).groupBy("course_id", "chunk_index").agg(F.collect_list("phrase").alias("asked"))
-    rows = chunks.select("course_id", "chunk_index", F.lower(L.search_text()).alias("low")).join(found, ["course_id", "chunk_index"])
+    rows = in_blocks(chunks).select(*CHUNK, F.lower(L.search_text()).alias("low")).join(sized(found), ["course_id", "chunk_index"])
     counted = F.transform("asked", lambda p: F.struct(p.alias("term"), (F.length("low") - F.length(F.replace("low", p, F.lit("")))).cast("double").alias("impact")))
-    out = rows.select("course_id", "chunk_index", F.explode(counted).alias("x")).select("course_id", "x.term", "chunk_index", "x.impact")
-    return out.filter("impact > 0")
+    return rows.select(*CHUNK, F.explode(counted).alias("x")).select(*CHUNK, "x.term", "x.impact").filter("impact > 0")
 
 
 # search

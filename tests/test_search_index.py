@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import chunking, impact, lexical, vector
+from lectern.sources.scratch import materialise
 
 PAGE = "course_id string, file_id string, file_name string, path string, file_ord string, page int, page_seq int, text string"
 WORDS = ["stack", "heap", "tree", "of", "the", "page", "other", "队列", "栈", "后进先出", "tlb", "页表"]
@@ -42,14 +43,26 @@ def as_set(rows):
 @pytest.mark.parametrize("block", [4, 64])
 def test_legs_equal_all_pairs(tables, monkeypatch, leg, block):
     chunks, _, queries = tables
-    monkeypatch.setattr(impact.build_blocks, "__defaults__", (block,))
+    monkeypatch.setattr(impact, "BLOCK", block)
     got = lexical.leg_rank(leg, queries, chunks, 7)
     assert as_set(got) == as_set(all_pairs(chunks, queries, f"{leg}_score")) and got.count() > 40
 
 
-def test_stored_blocks_serve_bm25_without_moving_a_posting(spark, tables):
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(impact, "BLOCK", 4)
+
+
+def test_an_index_moves_texts_and_no_postings(tables):
+    chunks = materialise(tables[0])
+    for postings in (impact.token_postings, impact.name_postings, impact.feature_postings, impact.gram_postings):
+        plan = impact.build_blocks(postings(chunks))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_stored_blocks_serve_bm25_without_moving_a_posting(spark, tables, small_blocks):
     chunks, _, queries = tables
-    impact.write_blocks(impact.build_blocks(impact.token_postings(chunks), 4), "token_blocks", 4)
+    impact.write_blocks(impact.build_blocks(impact.token_postings(chunks)), "token_blocks", 4)
     blocks = impact.read_blocks(spark, "token_blocks")
     try:
         asked = impact.token_questions(queries, blocks, lexical.corpus_stats(chunks)).cache()
@@ -66,10 +79,10 @@ def test_stored_blocks_serve_bm25_without_moving_a_posting(spark, tables):
         spark.sql("DROP TABLE token_blocks")
 
 
-def test_only_pairs_with_a_shared_term_meet_and_weak_blocks_stay_shut(spark, tables):
+def test_only_pairs_with_a_shared_term_meet_and_weak_blocks_stay_shut(spark, tables, small_blocks):
     chunks, _, queries = tables
     asked = impact.feature_questions(queries).cache()
-    blocks = impact.build_blocks(impact.feature_postings(chunks, asked), 4).cache()
+    blocks = impact.build_blocks(impact.feature_postings(chunks, asked)).cache()
     everything = impact.bounds(asked, blocks).select("query_id", "course_id", "block_no")
     met = impact.opened(asked, blocks, everything)
     share = chunks.select("course_id", "chunk_index", F.lower(lexical.search_text()).alias("t")).join(queries, "course_id")
@@ -79,10 +92,10 @@ def test_only_pairs_with_a_shared_term_meet_and_weak_blocks_stay_shut(spark, tab
     assert 0 < few.count() < 0.8 * everything.count()
 
 
-def test_phrases_are_read_where_all_their_grams_stand(spark, tables):
+def test_phrases_are_read_where_all_their_grams_stand(spark, tables, small_blocks):
     chunks, _, _ = tables
     phrases = spark.createDataFrame([("c0", "othe"), ("c0", "of"), ("c0", "zzz"), ("c1", "页表")], "course_id string, phrase string")
-    grams = impact.build_blocks(impact.gram_postings(chunks), 4)
+    grams = impact.build_blocks(impact.gram_postings(chunks))
     found = {tuple(r) for r in impact.phrase_candidates(phrases, grams).select("phrase", "course_id", "chunk_index").collect()}
     texts = chunks.select("course_id", "chunk_index", F.lower(lexical.search_text()).alias("t")).collect()
     assert found == {(p, c, r.chunk_index) for c, p in (("c0", "othe"), ("c0", "of"), ("c1", "页表")) for r in texts if r.course_id == c and p in r.t}
