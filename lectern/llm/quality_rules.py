@@ -6,12 +6,13 @@ documents the false rejections of a step are counted, of all its rules together,
 bound of their rate is tested against the allowed risk; the last step before the first failure is taken. Going through
 a fixed sequence needs no correction along it.
 
-Two families of tests share the error level. Half of it is divided over the strata (Bonferroni): a stratum that passes
-steps by itself has the guarantee that, with probability 1 - delta for all strata together, its share of rejected good
-documents is max_risk at most. The other half goes to one ladder over all documents: a stratum with too few labels for
-a step of its own takes the cutoffs found there, for which the guarantee holds over all documents together. Where that
-fails too, for want of labels, the rules reject nothing. All this provided that the labelled documents are drawn like
-the others; exact copies among them count as one trial.
+Two families of tests share the error level. Half of it is divided over the strata (Bonferroni): with probability
+1 - delta for all strata together, the share of rejected good documents of a stratum with labels enough is max_risk at
+most; if its own first step fails, the rules reject nothing in it. The other half goes to one ladder over all documents:
+only a stratum with so few labels that it could not pass a step without a single error takes the cutoffs found there, for
+which the guarantee holds over all documents together. Where that fails too, for want of labels, the rules reject
+nothing. All this provided that the labelled documents are drawn like the others; exact copies among them count as one
+trial.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, quoted, small_batches
+from .common import materialise, quoted, sized, small_batches
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: Metric (higher is worse) and its cutoffs from the loosest to the strictest; the ladder's steps are their numbers.
@@ -38,8 +39,6 @@ RULES: dict[str, Sequence[float]] = {
     "repeat_share": tuple(x / 100 for x in range(49, 9, -1)),
     "upper_share": tuple(x / 100 for x in range(98, 19, -2)),
 }
-#: Values that a stratum may have: each has a row of counts on the driver.
-MOST_STRATA = 1_000
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
 
@@ -133,15 +132,26 @@ def last_step(n: int, errors: Sequence[int], max_risk: float, level: float) -> i
     return len(errors)
 
 
-def choose_steps(counts: Mapping[str | None, tuple[int, Sequence[int]]], max_risk: float, delta: float) -> dict[str | None, int]:
-    """Steps that each stratum may take, and under None those found over all documents.
+def own_step(n: int, errors: Sequence[int], max_risk: float, level: float) -> int | None:
+    """last_step of a stratum; None if it has too few good documents for any step, however few errors they show."""
+    return last_step(n, errors, max_risk, level) if n > 0 and binomial_upper(0, n, level) <= max_risk else None
 
-    counts: stratum to its good documents and their false rejections on each step; None for all documents.
-    """
-    strata = [s for s in counts if s is not None]
-    chosen = {s: last_step(*counts[s], max_risk, delta / 2 / len(strata)) for s in strata}
-    overall = last_step(*counts[None], max_risk, delta / 2) if None in counts else 0
-    return {s: k or overall for s, k in chosen.items()} | {None: overall}
+
+def choose_steps(counts: DataFrame, steps: int, max_risk: float, delta: float) -> tuple[DataFrame, int]:
+    """stratum, taken: the steps of each stratum with labels enough; and those found over all documents, for the others.
+
+    counts: stratum, n (its good documents) and e0, e1, ... (their false rejections on each step), a row for each
+    stratum. Rows stay on the executors; only sums reach the driver."""
+    total = counts.agg(F.count("*").alias("strata"), F.sum("n").alias("n"), *(F.sum(f"e{i}").alias(f"e{i}") for i in range(steps))).first()
+    overall = last_step(total["n"] or 0, [total[f"e{i}"] for i in range(steps)], max_risk, delta / 2) if total["strata"] else 0
+    level = delta / 2 / max(1, total["strata"])
+
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ns, errors in batches:
+            yield pd.Series([own_step(int(n), list(e), max_risk, level) for n, e in zip(ns, errors, strict=True)], dtype="Int64")
+
+    taken = F.pandas_udf(judge, "int")("n", F.array(*(F.col(f"e{i}") for i in range(steps))))
+    return counts.select("stratum", taken.alias("taken")).filter("taken is not null"), overall
 
 
 def quality_rules(
@@ -154,8 +164,8 @@ def quality_rules(
 ) -> DataFrame:
     """doc_id, the counts, base_failed, failed_rule (first rule that rejects, else null), kept: one row per row of docs.
 
-    stratum names a column with few values (at most MOST_STRATA, else an error: they make one row each on the driver);
-    null is a stratum of its own, and one without labels takes the cutoffs found over all documents. Good documents are
+    stratum names a column; null is a stratum of its own, and one with too few labels takes the cutoffs found over all
+    documents. Good documents are
     those with labels.quality = 1 that pass the base; a doc_id labelled twice counts once, as good if any of its labels
     is. Null or empty texts have zero counts and fail the base; texts of any length are counted whole; a metric equal to
     its cutoff passes. Repeated rows are judged each for itself, null ids too. Empty docs give no row; empty labels leave
@@ -171,18 +181,14 @@ def quality_rules(
     def rejected(step: int) -> Column:
         return reduce(Column.__or__, (metrics()[rule] > grid[step] for rule, grid in rules.items()))
 
-    seen = passed.rollup("stratum").agg(F.count("*").alias("n"), *(F.count_if(rejected(i)).alias(f"e{i}") for i in range(steps)))
-    found = seen.limit(MOST_STRATA + 2).collect()
-    if len(found) > MOST_STRATA + 1:
-        raise ValueError(f"{stratum} has more than {MOST_STRATA} values")
-    chosen = choose_steps({r["stratum"]: (r["n"], [r[f"e{i}"] for i in range(steps)]) for r in found}, max_risk, delta)
-    overall = chosen.pop(None)
-    taken = F.lit(overall)
-    for value, k in sorted(chosen.items()):
-        taken = F.when(F.col("stratum") == value, k).otherwise(taken)
+    counts = passed.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(rejected(i)).alias(f"e{i}") for i in range(steps)))
+    chosen, overall = choose_steps(materialise(counts), steps, max_risk, delta)
+    # a row for each stratum with labels: sent to all executors if they are measured to be few
+    counted = counted.join(sized(chosen, F.length("stratum") + 16), "stratum", "left")
+    counted = counted.withColumn("taken", F.coalesce("taken", F.lit(overall)))
     failed = F.lit(None).cast("string")
     for rule in reversed(list(rules)):
         cutoff = F.element_at(F.array(F.lit(float("inf")), *map(F.lit, rules[rule])), F.col("taken") + 1)
         failed = F.when(metrics()[rule] > cutoff, rule).otherwise(failed)
-    judged = counted.withColumn("taken", taken).select("doc_id", *_COUNTS, base_failed().alias("base_failed"), failed.alias("failed_rule"))
+    judged = counted.select("doc_id", *_COUNTS, base_failed().alias("base_failed"), failed.alias("failed_rule"))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
