@@ -3,8 +3,9 @@
 The features of a text are densities of three lexicons (a given list of insults, and words and word beginnings that
 the labels show to stand in toxic texts), how near they stand to a second person, capitals, exclamation marks and other punctuation, and
 the rate of obfuscated spellings (`1d1ot`, `i-d-i-o-t`, `stuuupid`, letters set apart). Labels are learned from a
-bounded sample of the rows that are not held out, cut by a hash of the id: three sixths for the learned lexicons, two
-for the trees, one for the calibration, so that no part checks itself.
+bounded sample of the rows that are not held out, cross-fitted in FOLDS parts by a hash of the id: a part's features come
+from a lexicon, and the margins that it is calibrated by from trees, that have not seen its labels. So every label serves
+all three, and no part checks itself; few labels are enough.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ _CACHE = 150_000
 _NEAR = 5
 #: Letters of a word's beginning.
 STEM = 5
+#: Parts of the labelled sample; and the weight of the trees' own probability beside the calibrated one.
+FOLDS, SMOOTH = 3, 0.25
 
 
 def _core(word: str) -> str:
@@ -170,8 +173,8 @@ def toxicity_scores(
     """doc_id, held_out, score, predicted for every row of docs.
 
     score is the calibrated probability of toxic = 1. At most `sample` labelled rows that are not held out, in order
-    of a hash of their id, are learned from; where they lack a class every score is the share of toxic ones among
-    them (0 without any). Where the calibration's sixth lacks a class, the score is the trees' own probability. A null or
+    of a hash of their id, are learned from; where they lack a class, or have one in a single part only, every score is
+    the share of toxic ones among them (0 without any). A null or
     empty text has all features zero and is scored like any other; texts of any length are read whole. Texts of the same
     features tie in score. Of several texts of a labelled doc_id the first in the alphabet is learned from, and the
     document is toxic if any of its labels is. Repeated rows are scored each for itself, null ids too. Other columns are
@@ -181,28 +184,34 @@ def toxicity_scores(
     rows = rows.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    texts = materialise(texts.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(6))))
-    learned = learn_lexicon(texts.filter("part < 3"), lexicon_size)
-    known = materialise(features(texts.filter("part > 2").coalesce(8), ["y", "part"], learned))
-    vector = array_to_vector("x").alias("features")
-    fitted = known.select(F.col("y").cast("double").alias("label"), "part", vector)
-    grouped = fitted.groupBy((F.col("part") == 5).alias("last"), "label").agg(F.count("*").alias("n")).collect()
-    counts = {(r["last"], r["label"]): r["n"] for r in grouped}
+    texts = materialise(texts.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")))
+    grouped = texts.groupBy("y").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts")).collect()
+    counts = {r["y"]: r["n"] for r in grouped}
     held = held_out(F.col("doc_id")).alias("held_out")
-    if not all(counts.get((False, y)) for y in (0.0, 1.0)):
+    if len(counts) < 2 or min(r["parts"] for r in grouped) < 2:  # some part would have nothing to learn a class from
         n = sum(counts.values())
-        share = sum(v for (_, y), v in counts.items() if y == 1.0) / n if n else 0.0
-        scored = docs.select("doc_id", held, F.lit(share).alias("score"))
-    else:
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, labelCol="label")
-        model = model.fit(fitted.filter("part < 5").coalesce(2))
-        margin = vector_to_array("probability")[1].alias("margin")
-        calibrator = None
-        if all(counts.get((True, y)) for y in (0.0, 1.0)):
-            held_rows = model.transform(fitted.filter("part = 5")).select("label", margin)
-            calibrator = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(held_rows)
-        scored = features(docs, ["doc_id"], learned).select("doc_id", vector)
-        scored = model.transform(scored).select("doc_id", margin)
-        scored = calibrator.transform(scored) if calibrator else scored.withColumn("score", F.col("margin"))
-        scored = scored.select("doc_id", held, F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
+        scored = docs.select("doc_id", held, F.lit(counts.get(1, 0) / n if n else 0.0).alias("score"))
+        return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    vector = array_to_vector("x").alias("features")
+    # each part's features come from a lexicon, and its margins from trees, that have not seen its labels
+    known = None
+    for part in range(FOLDS):
+        others = learn_lexicon(texts.filter(F.col("part") != part), lexicon_size)
+        own = features(texts.filter(F.col("part") == part), ["y", "part"], others)
+        known = own if known is None else known.unionByName(own)
+    known = materialise(known.coalesce(8))
+    fitted = known.select(F.col("y").cast("double").alias("label"), "part", vector).coalesce(2)
+    margin = vector_to_array("probability")[1].alias("margin")
+    boosted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, labelCol="label")
+    unseen = None
+    for part in range(FOLDS):
+        judged = boosted.fit(fitted.filter(F.col("part") != part)).transform(fitted.filter(F.col("part") == part)).select("label", margin)
+        unseen = judged if unseen is None else unseen.unionByName(judged)
+    calibrator = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(materialise(unseen))
+    model = boosted.fit(fitted)
+    learned = learn_lexicon(texts, lexicon_size)
+    scored = calibrator.transform(model.transform(features(docs, ["doc_id"], learned).select("doc_id", vector)).select("doc_id", margin))
+    # the mean with the trees' own probability: steps of few rows are rough, and ties within a step keep their order
+    smooth = (1 - SMOOTH) * F.col("score") + SMOOTH * F.col("margin")
+    scored = scored.select("doc_id", held, F.least(F.greatest(smooth, F.lit(0.0)), F.lit(1.0)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
