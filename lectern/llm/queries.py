@@ -69,7 +69,7 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    spans = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), within=True)
     return spans.select("doc_id", "start", "end", "n_words", "first_doc_id")
 
 

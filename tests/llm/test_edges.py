@@ -90,3 +90,21 @@ def test_conversations_keep_their_ids(spark):
     out = chat_format.conversation_digests(chat_format.format_turns(table)).collect()
     assert {r.conv_id: r.n_turns for r in out} == {None: 1, BIG: 1, BIG + 1: 3}
     assert chat_format.conversation_digests(chat_format.format_turns(table.limit(0))).count() == 0
+
+
+def test_conversations_of_text_ids(spark):
+    rows = [("a-1", 0, "user", "x"), ("a-1", 1, "assistant", "y"), ("007", 0, "user", "z"), (None, 0, "user", "w")]
+    table = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    out = chat_format.conversation_digests(chat_format.format_turns(table)).collect()
+    assert {r.conv_id: r.n_turns for r in out} == {"a-1": 2, "007": 1, None: 1}
+
+
+def test_a_template_that_breaks_its_declaration_late_is_an_error():
+    late = chat_format.Template(lambda turns: "".join(f"<{t}{'!' if turns.index((r, t)) > 0 and t == 'k30' else ''}>" for r, t in turns), reach=0)
+    renderer = chat_format.Renderer(late)
+    with pytest.raises(ValueError):
+        for k in range(40):
+            renderer.add(("user", f"k{k}"), False)
+    steady = chat_format.Renderer(chat_format.INST_TEMPLATE)
+    pieces = [steady.add(("user", f"k{k}"), True) for k in range(200)]
+    assert all(p[1] == sum(len(q[0]) for q in pieces[:k]) for k, p in enumerate(pieces)) and len(steady.turns) <= 2

@@ -48,3 +48,18 @@ def test_ids_with_several_texts_go_or_stay_as_a_whole(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, a), (3, a), (8, "")] and out.columns == docs.columns
+
+
+def test_extra_columns_of_any_name_and_empty_tables_pass_all_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["score", "n_lines", "dropped", "carried", "b.c", "a`b", "kept", "component_id"]
+    wide = docs
+    for k, name in enumerate(names):
+        wide = wide.withColumn(name, docs["doc_id"] + k)
+    wide = wide.cache()
+    for rows in (wide, wide.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, rows = rows, stage(spark, rows, SF).cache()
+            assert rows.columns == wide.columns and rows.count() <= before.count(), name
+            assert all(r[n] == r.doc_id + k for r in rows.collect() for k, n in enumerate(names)), name
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() == rows.count()
