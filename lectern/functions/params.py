@@ -59,6 +59,11 @@ WEB_STOPS = (
     "please", "about", "what", "with", "from", "search", "latest",
 )
 
+# Fixed values of query intents.
+FRESHNESS = r"(?i)最新|现在|目前|今天|今年|近期|最近|联网|网上|20\d{2}\s*年?|web\s*search|current|latest|today|recent"
+COURSE_EXPLAIN = r"(?i)讲一下|解释|说明|总结|概括|复习|知识点|课程内容|这节课|这个课程|帮我学|怎么理解|what is|explain|summari[sz]e"
+WEB_INTENT = r"(?i)联网|网上|搜索|查一下|资料外|补充资料|外部资料|竞品|官网|论文|新闻|current|latest|web\s*search|search"
+
 # Fixed values of study plans.
 PLAN_FIRST = ("教材", "chapter", "lecture", "课件", "讲义")
 PLAN_SECOND = ("习题", "练习", "quiz", "作业", "复习")

@@ -158,6 +158,24 @@ def plan_action(question: Column, has_history: Column, has_attachment: Column) -
     return F.when(text.rlike(r"^[\d一二三四五六七八九十]+[.。]?$"), "clarify").when(has_history, "course_search").when(greeting, "final").otherwise("course_search")
 
 
+def query_intent(question: Column, quality: Column) -> Column:
+    """clarification, light_followup, web_lookup, course_explain, general_question or course_question, the first that
+    fits; quality is that of the retrieval (null: none)."""
+    text = X.text_or_empty(question)
+    compact = F.regexp_replace(text, r"(?U)[^\w\u3400-\u9fff]+", "")
+    unclear = (compact == "") | compact.rlike(r"(?U)^(?:\d+|[零〇一二三四五六七八九十百千万亿]+)$")
+    return (
+        F.when(unclear, "clarification").when(X.strip(text).rlike(P.LIGHT_CHAT), "light_followup")
+        .when(text.rlike(P.FRESHNESS) | text.rlike(P.WEB_INTENT), "web_lookup").when(text.rlike(P.COURSE_EXPLAIN), "course_explain")
+        .when(F.coalesce(quality, F.lit("none")) == "none", "general_question").otherwise("course_question")
+    )
+
+
+def should_search_web(question: Column, quality: Column) -> Column:
+    """Questions for the web, and those of which the course knows nothing."""
+    return query_intent(question, quality).isin("web_lookup", "general_question")
+
+
 def count_attempts(messages: DataFrame, needed: int = 2) -> DataFrame:
     """conv_id, attempts, disclosure_allowed: whether the last user message asks for the answer, or enough earlier ones
     show an attempt."""

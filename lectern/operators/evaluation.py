@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,44 +53,118 @@ def eval_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def payload_checks(payloads: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """id, check, passed for every payload (id, payload as JSON text) and rule; a rule that is null has failed."""
-    each = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in rules.items()])
-    return payloads.select("id", F.explode(each).alias("c")).select("id", "c.check", "c.passed")
+def payload_checks(payloads: DataFrame, rules: Mapping[str, Column | tuple[Column, Column]]) -> DataFrame:
+    """id, check, passed for every payload (id, payload as JSON text) and rule. A rule is a condition, or a pair of when
+    it applies and the condition; a condition that is null has failed."""
+    each = []
+    for name, rule in rules.items():
+        applies, passed = rule if isinstance(rule, tuple) else (F.lit(True), rule)
+        each.append(F.when(F.coalesce(applies, F.lit(False)), F.struct(F.lit(name).alias("check"), F.coalesce(passed, F.lit(False)).alias("passed"))))
+    return payloads.select("id", F.explode(F.array_compact(F.array(*each))).alias("c")).select("id", "c.check", "c.passed")
+
+
+# Fixed values of payload checks.
+LLM_STATUSES = ("used", "fallback", "disabled", "skipped", "failed", "empty", "client_error", "summary_error")
+WEB_STATUSES = ("used", "empty", "failed", "disabled", "skipped", "clarification")
+SUMMARY_METHODS = ("map_reduce", "single_prompt", "extractive")
+TRACE_LABELS = ("感知", "读取", "上下文", "检索", "联网", "回答", "记忆")
+TELEMETRY_STAGES = ("retrieval", "web", "llm", "citation_check")
+ANSWER_FIELDS = ("answer", "citations", "trace", "retrieval_trace", "citation_check", "llm_status", "web_search_status", "telemetry")
+SUMMARY_FIELDS = ("content", "citations", "llm_status", "summary_method")
+
+
+def _field(path: str, of: str | Column = "payload") -> Column:
+    return F.get_json_object(of, path)
+
 
+def _items(path: str, of: str | Column = "payload") -> Column:
+    """The items of a JSON list as JSON texts; none where there is no list."""
+    value = _field(path, of)
+    return F.when(X.text_or_empty(value).startswith("["), F.coalesce(F.from_json(value, "array<string>"), X.empty_strings())).otherwise(X.empty_strings())
 
-def _field(path: str) -> Column:
-    return F.get_json_object("payload", path)
 
+def _objects(path: str, of: str | Column = "payload") -> Column:
+    return F.filter(_items(path, of), lambda x: x.startswith("{"))
 
-def _list(path: str, kind: str = "array<string>") -> Column:
-    return F.coalesce(F.from_json(_field(path), kind), F.array().cast(kind))
 
+def _keys(path: str) -> Column:
+    return F.coalesce(F.json_object_keys(_field(path)), X.empty_strings())
 
-def answer_payload_checks(payloads: DataFrame, min_citations: int = 1, max_unsupported: int | None = None) -> DataFrame:
-    labels = F.transform(_list("$.citations", "array<struct<label:string>>"), lambda c: c.label)
-    stages = F.transform(_list("$.trace", "array<struct<stage:string,status:string>>"), lambda t: t.stage)
-    statuses = F.transform(_list("$.trace", "array<struct<stage:string,status:string>>"), lambda t: t.status)
+
+def _text(path: str, of: str | Column = "payload") -> Column:
+    return X.text_or_empty(_field(path, of))
+
+
+def _truthy(value: Column) -> Column:
+    """Anything but what is empty, zero, false or null."""
+    return ~X.text_or_empty(value).isin("", "false", "0", "0.0", "[]", "{}", "null")
+
+
+def answer_payload_checks(payloads: DataFrame, min_citations: int = 1, max_unsupported: int | None = None, expect_contextual: bool | None = None) -> DataFrame:
+    """id, check, passed: what an answer's payload must have. With expect_contextual, whether the question was to be
+    rewritten from its context; with max_unsupported, how many claims may lack support."""
+    has = F.coalesce(F.json_object_keys("payload"), X.empty_strings())
+    citations = _items("$.citations")
+    mapped = F.filter(citations, lambda c: c.startswith("{"))
+    labels = F.transform(mapped, lambda c: X.strip(_text("$.reference_label", c)))
+    shown = F.transform(_objects("$.trace"), lambda t: _text("$.label", t))
+    context = "$.retrieval_trace.contextual_query"
+    used, rewritten = _truthy(_field(f"{context}.used")), _text(f"{context}.retrieval_query") != _text(f"{context}.original_query")
     unsupported = F.coalesce(_field("$.citation_check.stats.unsupported_count").try_cast("int"), F.lit(0))
-    rules = {
-        "has_answer": F.length(X.strip(_field("$.answer"))) > 0, "has_quality": _field("$.retrieval_quality").isin(*_QUALITY), "min_citations": F.size(labels) >= min_citations,
-        "unique_labels": F.size(F.array_distinct(labels)) == F.size(labels), "known_statuses": F.forall(statuses, lambda s: s.isin("ok", "done", "skipped", "error", "fallback", "disabled", "used")),
-        "retrieval_stage": F.array_contains(stages, "retrieval"), "context_used": F.coalesce(_field("$.context.turns_used").try_cast("int"), F.lit(0)) >= 0,
-        "unsupported_budget": F.lit(True) if max_unsupported is None else unsupported <= max_unsupported,
-    }
+    stages = F.array(*map(F.lit, TELEMETRY_STAGES))
+    rules = {f"chatflow_field:{name}": F.array_contains(has, name) for name in ANSWER_FIELDS}
+    rules |= {
+        "chatflow_answer_nonempty": X.strip(_text("$.answer")) != "",
+        "chatflow_min_citations": F.size(citations) >= min_citations,
+        "chatflow_citation_labels_present": F.size(mapped) == F.size(citations),
+        "chatflow_citation_labels_unique": F.size(F.array_distinct(labels)) == F.size(labels),
+        "chatflow_llm_status_known": _text("$.llm_status").isin(*LLM_STATUSES),
+        "chatflow_web_status_known": _text("$.web_search_status").isin(*WEB_STATUSES),
+        "chatflow_trace_stage_coverage": F.size(F.array_except(F.array(*map(F.lit, TRACE_LABELS)), shown)) == 0,
+        "chatflow_contextual_trace_present": F.size(_keys(context)) > 0,
+        "chatflow_citation_check_stats": F.size(_keys("$.citation_check.stats")) > 0,
+        "chatflow_telemetry_stage_coverage": F.size(F.array_except(stages, _keys("$.telemetry.summary"))) == 0,
+    }
+    if expect_contextual is not None:
+        rules["chatflow_contextual_expected_usage"] = used == expect_contextual
+    if expect_contextual:
+        rules["chatflow_contextual_signals"] = _truthy(_field(f"{context}.signals"))
+        rules["chatflow_contextual_turns"] = F.coalesce(_field(f"{context}.context_turns_used").try_cast("int"), F.lit(0)) > 0
+        rules["chatflow_contextual_rewrite"] = rewritten
+    if max_unsupported is not None:
+        rules["chatflow_unsupported_claim_budget"] = unsupported <= max_unsupported
     return payload_checks(payloads, rules)
 
 
-def summary_payload_checks(payloads: DataFrame, min_quote_rate: float = 0.5) -> DataFrame:
-    quotes = F.transform(_list("$.citations", "array<struct<quote:string>>"), lambda c: F.length(X.strip(c.quote)) > 0)
-    rate = F.size(F.filter(quotes, lambda q: q)) / F.greatest(F.size(quotes), F.lit(1))
-    labels = _list("$.evidence_labels")
-    said = F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", _field("$.content"), _field("$.map_outputs")), F.lit(r"\b(S\d+)\b"), F.lit(1)))
-    method = _field("$.method")
-    rules = {
-        "has_content": F.length(X.strip(_field("$.content"))) > 0, "known_method": method.isin("map_reduce", "single", "extractive"), "quote_rate": rate >= min_quote_rate,
-        "labels_known": F.size(F.array_except(said, labels)) == 0, "labels_used": (method == "extractive") | (F.size(F.array_intersect(said, labels)) > 0),
-    }
+def summary_payload_checks(payloads: DataFrame, min_quote_rate: float = 1.0, min_label_rate: float = 0.0, expected_method: str | None = None) -> DataFrame:
+    """id, check, passed: what a summary's payload must have; some rules apply to one method only."""
+    has = F.coalesce(F.json_object_keys("payload"), X.empty_strings())
+    citations, groups, parts = _items("$.citations"), _items("$.evidence_groups"), _items("$.map_summaries")
+    quoted = F.size(F.filter(citations, lambda c: X.strip(_text("$.quote", c)) != ""))
+    rate = lambda n, total: F.when(total > 0, F.round(n / total, 4)).otherwise(0.0)
+    method, reason = _text("$.summary_method"), _text("$.fallback_reason")
+    status = F.coalesce(F.nullif(_field("$.llm_status"), F.lit("")), _text("$.status"))
+    given = F.flatten(F.transform(_objects("$.evidence_groups"), lambda g: F.transform(_objects("$.evidence", g), lambda e: X.strip(_text("$.label", e)))))
+    given = F.array_distinct(F.filter(given, lambda x: x != ""))
+    mapped = F.transform(_objects("$.map_summaries"), lambda m: F.concat_ws("\n", _text("$.content", m), F.array_join(_items("$.evidence_labels", m), "\n")))
+    said = F.regexp_extract_all(F.concat_ws("\n", _text("$.content"), F.array_join(mapped, "\n")), F.lit(r"(?U)\b(S\d+)\b"), F.lit(1))
+    reduced, extracted = method == "map_reduce", method == "extractive"
+    rules: dict[str, Column | tuple[Column, Column]] = {f"summary_field:{name}": F.array_contains(has, name) for name in SUMMARY_FIELDS}
+    rules |= {
+        "summary_content_nonempty": (X.strip(_text("$.content")) != "") | (status == "empty"),
+        "summary_method_known": method.isin(*SUMMARY_METHODS),
+        "summary_llm_status_known": status.isin(*LLM_STATUSES),
+        "summary_citation_quote_coverage": rate(quoted, F.size(citations)) >= min_quote_rate,
+        "summary_evidence_label_coverage": (F.size(given) > 0, rate(F.size(F.array_intersect(given, said)), F.size(given)) >= min_label_rate),
+        "summary_map_reduce_status_used": (reduced, status == "used"),
+        "summary_map_reduce_evidence_groups": (reduced, F.size(groups) > 0),
+        "summary_map_reduce_map_outputs": (reduced, F.size(parts) > 0),
+        "summary_map_reduce_no_fallback_reason": (reduced, reason == ""),
+        "summary_extractive_fallback_reason": (extracted & (F.size(citations) > 0), (reason != "") | status.isin("skipped", "empty")),
+        "summary_single_prompt_citations": (method == "single_prompt", F.size(citations) > 0),
+    }
+    if expected_method is not None:
+        rules["summary_expected_method"] = method == expected_method
     return payload_checks(payloads, rules)
 
 
@@ -211,22 +287,59 @@ def normalize_results(payloads: DataFrame) -> DataFrame:
 # web sources
 
 
+_SOURCE_FIELDS = ("url", "link", "uri", "title", "name", "content", "snippet", "description", "text", "score")
+_SOURCE = ", ".join(f"{n}: string" for n in _SOURCE_FIELDS)
+_LISTS = ("results", "items", "sources", "data")
+
+
+def _sources(json: Column) -> Column:
+    """The sources of a JSON list; null if it is none."""
+    found = F.filter(F.from_json(json, "array<string>"), lambda s: s.startswith("{"))
+    return F.when(X.text_or_empty(json).rlike(r"^\s*\["), F.transform(found, lambda s: F.from_json(s, _SOURCE.replace(":", ""))))
+
+
+def _labelled_sources(text: Column) -> Column:
+    """Sources of blocks between lines of ---, with a title, a URL and what follows a line of `Highlights:`."""
+
+    def one(block: Column) -> Column:
+        found = {"title": F.trim(F.regexp_extract(block, r"(?m)^Title:\s*(.+)$", 1)), "url": F.regexp_extract(block, r"(?m)^URL:\s*(https?://\S+)$", 1)}
+        found["content"] = X.strip(F.regexp_extract(block, r"(?ms)^Highlights:\s*?$(.*)\z", 1))
+        return F.struct(*(found.get(n, F.lit(None).cast("string")).alias(n) for n in _SOURCE_FIELDS))
+
+    return F.filter(F.transform(F.split(text, r"\n\s*---\s*\n"), one), lambda s: (s.title != "") & (s.url != ""))
+
+
 def parse_search_results(raw: DataFrame) -> DataFrame:
-    """query_id, ord, url, title, snippet, score of tool results (query_id, result as JSON text): structured lists,
-    else text blocks `Title: / URL: / Highlights:` between lines of ---."""
-    kind = "array<struct<url:string,link:string,uri:string,title:string,name:string,content:string,snippet:string,description:string,text:string,score:double>>"
-    lists = [F.from_json(F.get_json_object("result", p), kind) for p in ("$.structuredContent.results", "$.results", "$.structuredContent.sources", "$.sources")]
-    blocks = F.from_json(F.get_json_object("result", "$.content"), "array<struct<type:string,text:string,uri:string,name:string,description:string>>")
-    links = F.transform(F.filter(blocks, lambda b: b.type == "resource_link"), lambda b: F.struct(b.uri.alias("url"), b["name"].alias("title"), b.description.alias("snippet"), F.lit(0.0).alias("score")))
-    texts = F.flatten(F.transform(F.filter(blocks, lambda b: b.type == "text"), lambda b: F.split(b.text, r"\n-{3,}\n")))
-    part = lambda t, n: F.trim(F.regexp_extract(t, rf"(?m)^{n}:\s*(.*)$", 1))
-    plain = F.transform(texts, lambda t: F.struct(part(t, "URL").alias("url"), part(t, "Title").alias("title"), F.trim(F.regexp_extract(t, r"(?s)Highlights:\s*(.*)$", 1)).alias("snippet"), F.lit(0.0).alias("score")))
-    in_text = F.from_json(F.get(F.transform(F.filter(blocks, lambda b: (b.type == "text") & b.text.rlike(r"^\s*\{")), lambda b: F.get_json_object(b.text, "$.results")), F.lit(0)), kind)
-    one = lambda c: F.struct(F.coalesce(c.url, c.link, c.uri).alias("url"), F.coalesce(c.title, c["name"]).alias("title"), F.coalesce(c.content, c.snippet, c.description, c.text).alias("snippet"), F.coalesce(c.score, F.lit(0.0)).alias("score"))
-    structured = F.transform(F.coalesce(*lists, in_text), one)
-    named = F.filter(plain, lambda p: p.url != "")
-    found = F.coalesce(structured, F.when(F.size(links) > 0, links), named)
-    return raw.select("query_id", F.posexplode(found).alias("ord", "c")).select("query_id", "ord", "c.*")
+    """query_id, ord, url, title, snippet, score of tool results (query_id, result as JSON text), in order: all lists of
+    structuredContent (results, items, sources, data), or the object itself if it has none and a URL; then of content
+    the resource links, the resources, and the texts. A text is a JSON list of sources, an object with such a list or a
+    source itself, or labelled blocks. Of alias fields the first that is not empty counts; a missing score is 0."""
+    none = F.array().cast(f"array<struct<{_SOURCE}>>")
+    structured = F.get_json_object("result", "$.structuredContent")
+    listed = F.flatten(F.array(*(F.coalesce(_sources(F.get_json_object("result", f"$.structuredContent.{n}")), none) for n in _LISTS)))
+    itself = F.from_json(structured, _SOURCE.replace(":", ""))
+    alone = F.coalesce(itself.url, itself.link, itself.uri).isNotNull()
+    listed = X.let(listed, lambda found: F.when((F.size(found) == 0) & alone, F.array(itself)).otherwise(found))
+    kind = f"type string, resource struct<{_SOURCE}>, " + _SOURCE.replace(":", "")
+    items = F.transform(_objects("$.content", "result"), lambda x: F.from_json(x, kind))
+
+    def of_text(text: Column) -> Column:
+        nested = F.coalesce(*(_sources(F.get_json_object(text, f"$.{n}")) for n in _LISTS), F.array(F.from_json(text, _SOURCE.replace(":", ""))))
+        parsed = F.when(text.rlike(r"^\s*\{"), nested).otherwise(F.coalesce(_sources(text), none))
+        return F.when(F.get_json_object(text, "$").isNotNull(), parsed).otherwise(_labelled_sources(text))
+
+    def of_item(item: Column) -> Column:
+        link = F.array(F.struct(*(item[n].alias(n) for n in _SOURCE_FIELDS)))
+        resource = F.when(item.resource.isNotNull(), F.array(item.resource)).otherwise(none)
+        return F.when(item.type == "resource_link", link).when(item.type == "resource", resource).when(item.type == "text", of_text(X.text_or_empty(item.text))).otherwise(none)
+
+    found = F.concat(F.coalesce(listed, none), F.coalesce(F.flatten(F.transform(items, of_item)), none))
+    first = lambda *names: F.coalesce(*(F.nullif(F.col(f"c.{n}"), F.lit("")) for n in names))
+    rows = raw.select("query_id", F.posexplode(found).alias("ord", "c"))
+    return rows.select(
+        "query_id", "ord", F.trim(X.text_or_empty(first("url", "link", "uri"))).alias("url"), first("title", "name").alias("title"),
+        X.strip(first("content", "snippet", "description", "text")).alias("snippet"), F.coalesce(F.col("c.score").try_cast("double"), F.lit(0.0)).alias("score"),
+    )
 
 
 def source_quality(url: Column, title: Column, snippet: Column) -> Column:

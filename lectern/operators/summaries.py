@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import text as X
 from lectern.operators.lexical import sized
+from lectern.sources.scratch import materialise
 
 
 def representative_chunks(chunks: DataFrame, limit: int = 6) -> DataFrame:
@@ -48,11 +49,8 @@ def group_evidence(evidence: DataFrame, max_groups: int = 12, per_group: int = 5
     return rows.select("course_id", F.concat(F.lit("G"), F.col("n")).alias("group_id"), "file_id", "section_title", F.transform("items", lambda i: i.label).alias("labels"), F.transform("items", lambda i: i.text).alias("texts"))
 
 
-def map_reduce_summary(groups: DataFrame, courses: DataFrame, generate: Callable[[str], str] | None) -> DataFrame:
-    """course_id, status, reason, content. generate: prompt to text, called once for each group and course, in
-    parallel. Statuses: used, disabled (no generator), empty (no group), failed (an empty or broken answer)."""
-    if generate is None:
-        return courses.select("course_id", F.lit("disabled").alias("status"), F.lit("no generator").alias("reason"), F.lit("").alias("content"))
+def _asking(generate: Callable[[str], str]) -> Callable[[F.Column], F.Column]:
+    """generate as a column function; a broken model's answer is empty."""
 
     @F.pandas_udf("string")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -65,6 +63,16 @@ def map_reduce_summary(groups: DataFrame, courses: DataFrame, generate: Callable
                     out.append("")
             yield pd.Series(out)
 
+    return ask
+
+
+def map_reduce_summary(groups: DataFrame, courses: DataFrame, generate: Callable[[str], str] | None) -> DataFrame:
+    """course_id, status, reason, content. generate: prompt to text, called once for each group and course, in
+    parallel. Statuses: used, disabled (no generator), empty (no group), failed (an empty or broken answer)."""
+    if generate is None:
+        return courses.select("course_id", F.lit("disabled").alias("status"), F.lit("no generator").alias("reason"), F.lit("").alias("content"))
+
+    ask = _asking(generate)
     evidence = F.array_join(F.zip_with("labels", "texts", lambda a, b: F.concat(F.lit("["), a, F.lit("] "), b)), "\n")
     mapped = groups.repartition("course_id", "group_id").select("course_id", "group_id", ask(F.concat(F.lit("分组 "), F.col("group_id"), F.lit("：\n"), evidence)).alias("part"))
     number = F.substr("group_id", F.lit(2), F.lit(9)).cast("int")
@@ -80,6 +88,35 @@ def map_reduce_summary(groups: DataFrame, courses: DataFrame, generate: Callable
     )
 
 
+def course_summary(chunks: DataFrame, courses: DataFrame, generate: Callable[[str], str] | None, limit: int = 8) -> DataFrame:
+    """course_id, content, llm_status, summary_method, fallback_reason: of each course the first that works of a summary
+    by groups, one from a single prompt over the representative chunks, and extracts of these. chunks: an index of
+    chunks; courses: course_id, name. A course without chunks is `skipped`; one without a model's answer is `fallback`,
+    or `disabled` if there is no model."""
+    chosen = materialise(representative_chunks(chunks, limit))
+    groups = materialise(group_evidence(summary_evidence(chosen)))
+    reduced = materialise(map_reduce_summary(groups, courses, generate))
+    rest = materialise(reduced.filter("status <> 'used'").select("course_id", F.when(F.col("status") == "empty", "no_summary_chunks").when(F.col("status") == "disabled", "llm_disabled").otherwise("map_reduce_failed").alias("fallback_reason")))
+    evidence = summary_evidence(chosen).join(rest, "course_id", "left_semi")
+    lines = F.concat(F.lit("["), F.col("label"), F.lit("] "), F.col("text"))
+    prompts = evidence.groupBy("course_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", lines.alias("line")))), lambda x: x.line), "\n").alias("evidence"))
+    prompts = prompts.join(courses.select("course_id", X.text_or_empty(F.col("name")).alias("name")), "course_id")
+    prompt = F.concat(F.lit("课程《"), F.col("name"), F.lit("》复习摘要：\n"), F.col("evidence"))
+    said = F.lit("") if generate is None else _asking(generate)(prompt)
+    single = materialise(prompts.repartition("course_id").select("course_id", said.alias("single")))
+    extracts = extractive_summary(chosen.join(rest, "course_id", "left_semi")).withColumnRenamed("content", "extract")
+    out = courses.select("course_id").join(reduced.select("course_id", "status", "content"), "course_id").join(rest, "course_id", "left")
+    out = out.join(single, "course_id", "left").join(extracts, "course_id", "left")
+    used, prompted, bare = F.col("status") == "used", X.strip(F.col("single")) != "", F.col("extract").isNull()
+    return out.select(
+        "course_id",
+        F.when(used, F.col("content")).when(prompted, F.col("single")).otherwise(X.text_or_empty(F.col("extract"))).alias("content"),
+        F.when(used | prompted, "used").when(bare, "skipped").when(F.lit(generate is None), "disabled").otherwise("fallback").alias("llm_status"),
+        F.when(used, "map_reduce").when(prompted, "single_prompt").otherwise("extractive").alias("summary_method"),
+        X.text_or_empty(F.col("fallback_reason")).alias("fallback_reason"),
+    )
+
+
 def _listed(chunks: DataFrame, line: F.Column) -> F.Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x.line)
 

@@ -38,6 +38,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), course.alias("course_id"), F.col("text").alias("question"))
 
 
+def named_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that name a kind of file and a course."""
+    kinds = F.array(*map(F.lit, ("chapter", "lecture", "quiz", "note", "doc")))
+    named = F.concat_ws(" ", "question", F.element_at(kinds, (F.col("query_id") % 5 + 1).cast("int")), "course_id")
+    return questions(spark, sf_dir).withColumn("question", named)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("role").alias("role"), F.col("text").alias("content"))
 
@@ -80,6 +87,8 @@ def tokens_sql(text: str) -> str:
 
 ASKED_SQL = f"""asked AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS course_id, text AS question,
         list_filter({tokens_sql("text")}, lambda t: NOT regexp_full_match(t, '[0-9]{{1,3}}')) AS tokens FROM benchmark)"""
+_NAMED = "(text || ' ' || ['chapter', 'lecture', 'quiz', 'note', 'doc'][item_id % 5 + 1] || ' src' || (item_id % 20))"
+NAMED_SQL = ASKED_SQL.replace("text AS question", f"{_NAMED} AS question").replace("regexp_extract_all(text", f"regexp_extract_all({_NAMED}")
 ANSWERS_SQL = """answers AS (SELECT user_id AS course_id, 'kp-' || (CAST(json_extract_string(props, '$.k') AS INTEGER) % 10) AS point_id,
         event_id, ts, event_type <> 'error' AS correct,
         CASE WHEN value < 20 THEN 'easy' WHEN value < 60 THEN 'normal' ELSE 'hard' END AS difficulty,

@@ -191,6 +191,14 @@ def plan_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.messages(spark, sf_dir).select("conv_id", "turn", C.plan_action(text, F.col("turn") > 4, F.lit(False)).alias("action"))
 
 
+def query_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array(*map(F.lit, ("latest ", "explain ", "hello", "12", "", "in 2024 ")))
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    text = F.when(k.isin(2, 3), F.get(words, k.cast("int"))).otherwise(F.concat(F.get(words, k.cast("int")), F.regexp_replace(F.lower("content"), "current|latest|today|recent|search", "")))
+    rows = I.messages(spark, sf_dir).withColumns({"q": text, "quality": F.when(F.col("conv_id") % 2 == 0, "partial")})
+    return rows.select("conv_id", "turn", C.query_intent(F.col("q"), F.col("quality")).alias("intent"), C.should_search_web(F.col("q"), F.col("quality")).alias("search"))
+
+
 def count_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.messages(spark, sf_dir).withColumn("content", F.concat(F.when(F.col("conv_id") % 2 == 0, "因为 ").otherwise(""), F.col("content")))
     return C.count_attempts(rows)
@@ -357,14 +365,15 @@ def normalize_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_payload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir).groupBy("query_id").agg(F.first("question").alias("question"), F.collect_list(F.struct(F.concat(F.lit("L"), "rank").alias("label"), F.col("text").alias("quote"))).alias("citations"))
-    body = F.to_json(F.struct(F.col("question").alias("answer"), F.lit("partial").alias("retrieval_quality"), "citations", F.array(F.struct(F.lit("retrieval").alias("stage"), F.lit("ok").alias("status"))).alias("trace")))
+    pairs = _pairs(spark, sf_dir).groupBy("query_id").agg(F.first("question").alias("question"), F.collect_list(F.struct(F.concat(F.lit("L"), "rank").alias("reference_label"), F.col("text").alias("quote"))).alias("citations"))
+    stages = F.array(*(F.struct(F.lit(x).alias("label")) for x in E.TRACE_LABELS[:-1]))
+    body = F.to_json(F.struct(F.col("question").alias("answer"), F.lit("used").alias("llm_status"), "citations", stages.alias("trace")))
     return E.answer_payload_checks(pairs.select(F.col("query_id").alias("id"), body.alias("payload")), 2)
 
 
 def summary_payload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.summary_evidence(_representative(spark, sf_dir)).groupBy("course_id").agg(F.sort_array(F.collect_list("label")).alias("evidence_labels"), F.collect_list(F.struct(F.col("text").alias("quote"))).alias("citations"))
-    body = F.to_json(F.struct(F.array_join("evidence_labels", " ").alias("content"), F.lit("map_reduce").alias("method"), "evidence_labels", "citations"))
+    rows = S.summary_evidence(_representative(spark, sf_dir)).groupBy("course_id").agg(F.sort_array(F.collect_list("label")).alias("labels"), F.collect_list(F.struct(F.col("text").alias("quote"))).alias("citations"), F.collect_list(F.struct("label")).alias("evidence"))
+    body = F.to_json(F.struct(F.array_join("labels", " ").alias("content"), F.lit("map_reduce").alias("summary_method"), F.lit("used").alias("llm_status"), F.array(F.struct("evidence")).alias("evidence_groups"), "citations"))
     return E.summary_payload_checks(rows.select(F.col("course_id").alias("id"), body.alias("payload")))
 
 
@@ -407,7 +416,7 @@ def normalize_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _candidates(spark, sf_dir)
-    block = F.concat(F.lit("Title: t"), F.col("ord"), F.lit("\nURL: "), F.col("url"), F.lit("\nHighlights: "), F.col("snippet"))
+    block = F.concat(F.lit("Title: t"), F.col("ord"), F.lit("\nURL: "), F.col("url"), F.lit("\nHighlights:\n"), F.col("snippet"))
     body = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), block.alias("text"))).alias("content")))
     out = E.parse_search_results(rows.select(F.col("ord").alias("query_id"), body.alias("result")))
     return out.select("query_id", "ord", "url", "title", F.md5("snippet").alias("snippet"))
@@ -477,7 +486,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = """score_delta fold_answers mistakes resolve_mistakes upsert_points learning_progress review_queue mastery_summary
     materials_stats generated_artifacts recent_activity course_dashboard default_study_plan apply_changes retain_uploads pair_turns
-    recent_turns contextual_query follow_up_signals conversation_stats memory_topics memory_topics_folded plan_action count_attempts
+    recent_turns contextual_query follow_up_signals conversation_stats memory_topics memory_topics_folded plan_action query_intent count_attempts
     grounded_answers label_citations check_claims citation_report annotate_unsupported build_prompts representative_chunks
     summary_evidence group_evidence map_reduce_summary extractive_summary extractive_quiz eval_cases eval_summary stage_summary
     observation_summary counters stage_windows chat_sessions normalize_results answer_payload_checks summary_payload_checks
@@ -584,6 +593,12 @@ ORACLES = {
         t AS (SELECT *, CASE WHEN len(u) > 0 THEN array_to_string(u[1:3], ' / ') ELSE substr(text, 1, 24) END AS topic FROM q),
         c AS (SELECT conv_id, topic, count(*) AS count, md5(substr(arg_max(text, ord), 1, 80)) AS digest, max(ord) AS last FROM t GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY count DESC, last DESC) AS rank FROM c) SELECT conv_id, topic, count, rank, digest FROM r WHERE rank <= 8""",
+    "query_intent": """WITH m AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS k, regexp_replace(lower(text), 'current|latest|today|recent|search', '', 'g') AS t FROM conversations),
+        q AS (SELECT conv_id, turn, k, CASE WHEN k = 2 THEN 'hello' WHEN k = 3 THEN '12' ELSE ['latest ', 'explain ', '', '', '', 'in 2024 '][k + 1] || t END AS q FROM m),
+        i AS (SELECT conv_id, turn, CASE WHEN k = 3 OR regexp_replace(q, '[^0-9A-Za-zÀ-ɏ_]+', '', 'g') = '' THEN 'clarification' WHEN k = 2 THEN 'light_followup'
+            WHEN k = 0 OR regexp_matches(q, '20[0-9][0-9]') THEN 'web_lookup' WHEN regexp_matches(q, 'what is|explain|summari[sz]e') THEN 'course_explain'
+            WHEN conv_id % 2 <> 0 THEN 'general_question' ELSE 'course_question' END AS intent FROM q)
+        SELECT conv_id, turn, intent, intent IN ('web_lookup', 'general_question') AS search FROM i""",
     "plan_action": """SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'clarify' WHEN turn > 4 THEN 'course_search' WHEN turn % 3 = 0 THEN 'final' ELSE 'course_search' END AS action FROM conversations""",
     "count_attempts": """WITH a AS (SELECT conv_id, count(*) FILTER (WHERE lower(role) = 'user' AND conv_id % 2 = 0 AND length('因为 ' || text) >= 12) AS attempts FROM conversations GROUP BY 1) SELECT conv_id, attempts, attempts >= 2 AS disclosure_allowed FROM a""",
     "grounded_answers": f"""WITH {_TOP2}, h AS (SELECT query_id, question, list(text ORDER BY rank) AS t, list(file_name ORDER BY rank) AS f FROM hits GROUP BY 1, 2)

@@ -59,7 +59,9 @@ def index_build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exclude_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = chunking.exclude_generated(I.pages(spark, sf_dir))
+    name = F.when(F.col("file_ord") % 7 == 0, "练习题-20260101-000000.md").when(F.col("file_ord") % 13 == 0, F.concat(F.lit("课程摘要-"), "file_name")).otherwise(F.col("file_name"))
+    path = F.when(F.col("file_ord") % 11 == 0, F.concat(F.col("course_id"), F.lit("/AI生成/"), "file_name")).otherwise(F.col("path"))
+    kept = chunking.exclude_generated(I.pages(spark, sf_dir).withColumns({"file_name": name, "path": path}))
     return kept.groupBy("course_id").agg(F.count("*").alias("files"))
 
 
@@ -82,9 +84,10 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "course_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
 
-def _leg(leg: str):
+def _leg(leg: str, questions=I.questions):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = lexical.leg_rank(leg, asked(spark, sf_dir), index(spark, sf_dir), LIMIT)
+        queries = materialise(lexical.prepare_queries(questions(spark, sf_dir)))
+        out = lexical.leg_rank(leg, queries, index(spark, sf_dir), LIMIT)
         return out.select("query_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
     return query
@@ -202,7 +205,7 @@ QUERIES = {
     "build_postings": build_postings,
     "bm25_rank": bm25_rank,
     "phrase_rank": _leg("phrase"),
-    "metadata_rank": _leg("metadata"),
+    "metadata_rank": _leg("metadata", I.named_questions),
     "semantic_rank": _leg("semantic"),
     "reciprocal_rank_fusion": reciprocal_rank_fusion,
     "local_rerank_score": local_rerank_score,
@@ -232,13 +235,13 @@ ORACLES = {
         b AS (SELECT course_id, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'warning') AS warning,
             count(*) FILTER (WHERE status = 'failed') AS failed FROM judged GROUP BY 1)
         SELECT course_id, files, chunks, ok, warning, failed FROM a JOIN b USING (course_id)""",
-    "exclude_generated": "SELECT source AS course_id, count(*) AS files FROM documents GROUP BY 1",
+    "exclude_generated": "SELECT source AS course_id, count(*) AS files FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 GROUP BY 1",
     "corpus_stats": f"WITH {_BM25} SELECT course_id, n AS n_chunks, round(avgdl, 6) AS avg_tokens FROM stats",
     "document_frequency": f"WITH {_BM25} SELECT course_id, token, df FROM dfs",
     "build_postings": f"WITH {_BM25} SELECT course_id, token, count(*) AS df, sum(tf)::BIGINT AS cf, max(dl)::BIGINT AS longest FROM post GROUP BY 1, 2",
     "bm25_rank": f"WITH {_BM25} SELECT query_id, course_id, chunk_index, round(score, 6) AS score, rank FROM ranked WHERE rank <= {LIMIT}",
     "phrase_rank": f"WITH {I.CHUNKS_SQL}, {I.ASKED_SQL}, {_PHRASE} SELECT query_id, chunk_index, score::DOUBLE AS score, rank FROM ph_ranked WHERE rank <= {LIMIT}",
-    "metadata_rank": f"WITH {I.CHUNKS_SQL}, {I.ASKED_SQL}, {_METADATA} SELECT query_id, chunk_index, score::DOUBLE AS score, rank FROM meta_ranked WHERE rank <= {LIMIT}",
+    "metadata_rank": f"WITH {I.CHUNKS_SQL}, {I.NAMED_SQL}, {_METADATA} SELECT query_id, chunk_index, score::DOUBLE AS score, rank FROM meta_ranked WHERE rank <= {LIMIT}",
     "semantic_rank": f"WITH {I.CHUNKS_SQL}, {I.ASKED_SQL}, {_SEMANTIC} SELECT query_id, chunk_index, round(score, 6) AS score, rank FROM sem_ranked WHERE rank <= {LIMIT}",
     "reciprocal_rank_fusion": f"""WITH {_BM25}, {_PHRASE},
         lists AS (SELECT query_id, chunk_index, rank, 0 AS l FROM ranked WHERE rank <= {CUT} UNION ALL SELECT query_id, chunk_index, rank, 1 FROM ph_ranked WHERE rank <= {CUT}),

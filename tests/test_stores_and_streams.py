@@ -215,20 +215,3 @@ def test_prompts_and_extracts(spark):
     chunks = spark.createDataFrame([("c", 2, "g.md", "queue text. more"), ("c", 1, "f.md", "stack text. more")], "course_id string, position int, file_name string, text string")
     (summary,), (quiz,) = summaries.extractive_summary(chunks).collect(), summaries.extractive_quiz(chunks).collect()
     assert summary.content.index("f.md") < summary.content.index("g.md") and summary.content.count("\n- ") == 3 and "f.md" in quiz.content
-
-
-def test_payload_checks_find_what_is_missing(spark):
-    good = {"answer": "x", "retrieval_quality": "sufficient", "citations": [{"label": "L1"}], "trace": [{"stage": "retrieval", "status": "ok"}], "citation_check": {"stats": {"unsupported_count": 0}}}
-    cases = {"good": good, "no answer": good | {"answer": " "}, "twice": good | {"citations": [{"label": "L1"}] * 2}, "no stage": good | {"trace": []}, "over": good | {"citation_check": {"stats": {"unsupported_count": 2}}}}
-    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in cases.items()], "id string, payload string")
-    failed = {}
-    for r in evaluation.answer_payload_checks(rows, max_unsupported=0).filter("not passed").collect():
-        failed.setdefault(r.id, set()).add(r.check)
-    assert failed == {"no answer": {"has_answer"}, "twice": {"unique_labels"}, "no stage": {"retrieval_stage"}, "over": {"unsupported_budget"}}
-    good = {"content": "as S1 says", "method": "map_reduce", "citations": [{"quote": "q"}], "evidence_labels": ["S1", "S2"]}
-    cases = {"good": good, "unknown": good | {"content": "S9"}, "quotes": good | {"citations": [{"quote": " "}]}, "method": good | {"method": "odd"}}
-    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in cases.items()], "id string, payload string")
-    failed = {}
-    for r in evaluation.summary_payload_checks(rows).filter("not passed").collect():
-        failed.setdefault(r.id, set()).add(r.check)
-    assert failed == {"unknown": {"labels_known", "labels_used"}, "quotes": {"quote_rate"}, "method": {"known_method"}}
