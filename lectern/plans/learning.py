@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import text as X
 from lectern.operators import answers as A
+from lectern.operators import changes as G
 from lectern.operators import conversations as C
 from lectern.operators import dashboard as D
 from lectern.operators import evaluation as E
@@ -17,6 +18,7 @@ from lectern.operators import summaries as S
 from lectern.operators import vector as V
 from lectern.plans import inputs as I
 from lectern.plans import retrieval as R
+from lectern.sources.scratch import materialise
 
 NOW = "2024-03-01 00:00:00"
 
@@ -138,6 +140,27 @@ def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("course_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "done").alias("done"), F.max("id").alias("top"))
 
 
+def plan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of changes of every kind to the plan items, and what they are behind it."""
+    rows = plan(spark, sf_dir).withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "updated_at", "completed_at")})
+    steps = (
+        (3, "update", ["status"], None, None, "done", None), (4, "update", ["title", "kind", "estimated_minutes"], "  ", "odd", None, "999"),
+        (6, "update", ["status"], None, None, "doing", None), (12, "update", None, None, None, "done", None),
+        (7, "delete", None, None, None, None, None), (14, "update", ["title"], "late", None, None, None), (10, "add", None, "new", None, None, "1"),
+    )
+    changes = None
+    for n, (every, op, sets, title, kind, status, minutes) in enumerate(steps, 1):
+        text = lambda v: F.lit(v).cast("string")
+        named = F.lit(None).cast("array<string>") if sets is None else F.array(*map(F.lit, sets))
+        one = rows.filter(F.col("id") % every == 0).select(
+            "course_id", (F.lit(None).cast("long") if op == "add" else F.col("id")).alias("id"), F.lit(op).alias("op"), (10 * F.col("id") + n).alias("seq"), F.lit(f"2024-01-0{n}").cast("timestamp").alias("at"),
+            named.alias("sets"), text(title).alias("title"), text(kind).alias("kind"), text(status).alias("status"), text(minutes).alias("estimated_minutes"),
+        )
+        changes = one if changes is None else changes.unionByName(one)
+    out, _ = G.fold_changes(rows, changes, G.PLAN_ITEMS)
+    return out.select("course_id", "id", "title", "kind", "status", "estimated_minutes", F.date_format("completed_at", "yyyy-MM-dd").alias("completed"))
+
+
 def retain_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     uploads = I.read(spark, sf_dir, "events").select(F.col("user_id").alias("course_id"), F.col("event_id").cast("string").alias("name"), F.col("ts").alias("mtime"))
     now = uploads.agg(F.max("mtime")).first()[0]
@@ -280,6 +303,13 @@ def map_reduce_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.map_reduce_summary(groups, R.index(spark, sf_dir).select("course_id").distinct(), lambda prompt: prompt.split("\n")[0] + f" {len(prompt)}")
 
 
+def course_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = R.index(spark, sf_dir)
+    courses = chunks.select("course_id", F.col("course_id").alias("name")).distinct()
+    # a model that answers some prompts only, so that all three ways are taken
+    return S.course_summary(chunks, courses, lambda p: f"S1 {len(p)}" if len(p) % 3 else "")
+
+
 def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.extractive_summary(_representative(spark, sf_dir))
 
@@ -336,6 +366,15 @@ def observation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stage", "name", "count", "min", "max", "avg", F.array_join(parts, ",").alias("distribution"))
 
 
+def observation_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = E.observation_sketches(telemetry(spark, sf_dir).withColumn("value", F.col("duration_ms")))
+    return E.sketch_summary(E.merge_sketches(days)).select("stage", "name", "n", "low", "high", F.round("avg", 2).alias("avg"), (F.col("p50").between(F.col("low"), F.col("high")) & (F.col("p50") <= F.col("p99"))).alias("ordered"))
+
+
+def frequent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.frequent_values(telemetry(spark, sf_dir), 0.12)
+
+
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.counters(telemetry(spark, sf_dir).filter("kind = 'counter'").select("stage", "name", "value"))
 
@@ -476,6 +515,13 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "id", "rank", "retrieval_method", F.round("hybrid_rrf_score", 6).alias("score"))
 
 
+def approximate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialise(_vectors(spark, sf_dir))
+    centres = V.fit_cells(rows)
+    queries = rows.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "course_id", "vector")
+    return V.approximate_search(queries, V.cell_index(rows, centres), centres).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = R.index(spark, sf_dir)
     vectors = V.hash_embed(chunks, ["id", "course_id", "chunk_index"]).withColumnsRenamed({"id": "doc_id", "chunk_index": "ord"})
@@ -485,13 +531,13 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = """score_delta fold_answers mistakes resolve_mistakes upsert_points learning_progress review_queue mastery_summary
-    materials_stats generated_artifacts recent_activity course_dashboard default_study_plan apply_changes retain_uploads pair_turns
+    materials_stats generated_artifacts recent_activity course_dashboard default_study_plan apply_changes plan_changes retain_uploads pair_turns
     recent_turns contextual_query follow_up_signals conversation_stats memory_topics memory_topics_folded plan_action query_intent count_attempts
     grounded_answers label_citations check_claims citation_report annotate_unsupported build_prompts representative_chunks
-    summary_evidence group_evidence map_reduce_summary extractive_summary extractive_quiz eval_cases eval_summary stage_summary
-    observation_summary counters stage_windows chat_sessions normalize_results answer_payload_checks summary_payload_checks
+    summary_evidence group_evidence map_reduce_summary course_summary extractive_summary extractive_quiz eval_cases eval_summary stage_summary
+    observation_summary observation_sketches frequent_values counters stage_windows chat_sessions normalize_results answer_payload_checks summary_payload_checks
     summarize_checks source_quality source_relevance normalize_sources parse_search_results cosine_similarity unit_vector
-    vector_search upsert_vectors hash_embed embed_with build_vector_index hybrid_merge hybrid_search""".split()
+    vector_search upsert_vectors hash_embed embed_with build_vector_index approximate_search hybrid_merge hybrid_search""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _DELTA = """CASE WHEN {c} THEN greatest(1, round_even((8 + least(greatest({streak}, 0), 3)) * {w} * {f} * greatest(0.35::DOUBLE, (100 - {s}) / 100.0::DOUBLE), 0))
@@ -625,6 +671,16 @@ ORACLES = {
         round(max(duration_ms) FILTER (WHERE kind = 'span'), 3) AS max_ms, round(round(avg(duration_ms) FILTER (WHERE kind = 'span'), 3), 2) AS avg_ms, coalesce(sum(value) FILTER (WHERE kind = 'counter'), 0) AS counted FROM telemetry GROUP BY 1""",
     "observation_summary": f"""WITH {_TELEMETRY}, v AS (SELECT stage, name, value, count(*) AS n FROM telemetry GROUP BY 1, 2, 3)
         SELECT stage, name, sum(n)::BIGINT AS count, min(value) AS min, max(value) AS max, round(sum(value * n) / sum(n), 3) AS avg, string_agg(value::BIGINT || ':' || n, ',' ORDER BY value) AS distribution FROM v GROUP BY 1, 2""",
+    "observation_sketches": f"""WITH {_TELEMETRY} SELECT stage, name, count(*) AS n, min(duration_ms) AS low, max(duration_ms) AS high, round(round(sum(duration_ms) / count(*), 3), 2) AS avg, true AS ordered
+        FROM telemetry WHERE duration_ms IS NOT NULL GROUP BY 1, 2""",
+    "frequent_values": f"""WITH {_TELEMETRY}, v AS (SELECT stage, name, value, count(*) AS n FROM telemetry GROUP BY 1, 2, 3), t AS (SELECT stage, name, sum(n) AS all_n FROM v GROUP BY 1, 2)
+        SELECT stage, name, value, n FROM v JOIN t USING (stage, name) WHERE n >= 0.12 * all_n""",
+    "plan_changes": f"""WITH {_PLAN}, tops AS (SELECT course_id, max(id) AS top FROM plan GROUP BY 1),
+        kept AS (SELECT course_id, id, CASE WHEN id % 4 = 0 THEN '未命名学习项' ELSE title END AS title, CASE WHEN id % 4 = 0 THEN 'read' ELSE kind END AS kind,
+            CASE WHEN id % 12 = 0 THEN 'done' WHEN id % 6 = 0 THEN 'doing' WHEN id % 3 = 0 THEN 'done' ELSE status END AS status, CASE WHEN id % 4 = 0 THEN 240 ELSE estimated_minutes END AS estimated_minutes,
+            CASE WHEN id % 12 = 0 THEN '2024-01-04' WHEN id % 6 = 0 THEN NULL WHEN id % 3 = 0 THEN '2024-01-01' WHEN id % 4 = 0 AND status = 'done' THEN '2024-01-02' END AS completed FROM plan WHERE id % 7 <> 0)
+        SELECT * FROM kept UNION ALL
+        SELECT course_id, top + row_number() OVER (PARTITION BY course_id ORDER BY id), 'new', 'read', 'todo', 5, NULL FROM plan JOIN tops USING (course_id) WHERE id % 10 = 0""",
     "counters": f"WITH {_TELEMETRY} SELECT stage, name, sum(value) AS value FROM telemetry WHERE kind = 'counter' GROUP BY 1, 2",
     "stage_windows": f"WITH {_TELEMETRY} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, stage, count(*) AS n, count(*) FILTER (WHERE status = 'error') AS errors FROM telemetry GROUP BY 1, 2",
     "chat_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import chunking, lexical, quality
+from lectern.operators import chunking, impact, lexical, quality
 from lectern.plans import inputs as I
 from lectern.sources.scratch import materialise
 
@@ -84,6 +84,15 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "course_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
 
+def bm25_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_rank from the index of all tokens, built without knowing the questions."""
+    queries, chunks_ = asked(spark, sf_dir), index(spark, sf_dir)
+    blocks = materialise(impact.build_blocks(impact.token_postings(chunks_)))
+    weighed = materialise(impact.token_questions(queries, blocks, lexical.corpus_stats(chunks_)))
+    out = impact.top_k(weighed, blocks, LIMIT)
+    return out.select("query_id", "course_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
+
+
 def _leg(leg: str, questions=I.questions):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         queries = materialise(lexical.prepare_queries(questions(spark, sf_dir)))
@@ -204,6 +213,7 @@ QUERIES = {
     "document_frequency": document_frequency,
     "build_postings": build_postings,
     "bm25_rank": bm25_rank,
+    "bm25_blocks": bm25_blocks,
     "phrase_rank": _leg("phrase"),
     "metadata_rank": _leg("metadata", I.named_questions),
     "semantic_rank": _leg("semantic"),
@@ -274,3 +284,4 @@ ORACLES = {
         SELECT a.query_id, CASE WHEN c IS NULL THEN 'none' WHEN c >= 0.33 OR (c >= 0.24 AND s >= 45) THEN 'sufficient' ELSE 'partial' END AS quality
         FROM asked a LEFT JOIN m USING (query_id)""",
 }
+ORACLES["bm25_blocks"] = ORACLES["bm25_rank"]
