@@ -31,6 +31,8 @@ from .common import materialise, small_batches
 Cell = list[tuple[int, str] | None]  # at p * states + q
 #: Rows of a piece of a conversation.
 PIECE = 512
+#: Edits that leave a task at once.
+EDIT_ROWS = 20_000
 FINE, TRUNCATED, DUPLICATE, BLANK = range(4)
 
 
@@ -274,12 +276,17 @@ def _parts(grammar: RepairGrammar) -> Callable:
 
 
 def _edits(grammar: RepairGrammar) -> Callable:
+    names = ["at", "k", "edit", "given"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser = Parser(grammar)
+        parser, rows = Parser(grammar), []
         for batch in batches:
             for first, state, audit, letters in zip(*(batch[c].tolist() for c in ("first_at", "state", "own_audit", "letters")), strict=True):
-                rows = [(first + row, k, edit, role) for k, (row, edit, role) in enumerate(parser.replay(state, audit, letters))]
-                yield pd.DataFrame(rows, columns=["at", "k", "edit", "given"])
+                rows += [(first + row, k, edit, role) for k, (row, edit, role) in enumerate(parser.replay(state, audit, letters))]
+                if len(rows) > EDIT_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        yield pd.DataFrame(rows, columns=names)
 
     return run
 
