@@ -185,6 +185,72 @@ def _chat_sql() -> str:
     FROM turns GROUP BY conv_id"""
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    bit = "xor(x >> 1, 3988292384 * (x & 1))"
+    byte = f"list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda a, b: {byte}), 4294967295::BIGINT)"
+
+
+_RUNS_SQL = f"""
+    WITH cut AS (SELECT doc_id, {_crc32("doc_id::VARCHAR")} AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    placed AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a, (h // 10) % 8 AS e FROM cut),
+    period AS (SELECT *, 1 + (n - a) // (3 + e) AS p FROM placed),
+    docs AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM period),
+    words AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS x FROM docs),
+    matches AS (SELECT l.doc_id, r.i - l.i AS q, l.i FROM words l JOIN words r ON l.doc_id = r.doc_id AND l.x = r.x AND r.i > l.i WHERE 4 * (r.i - l.i) <= l.n),
+    islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM matches),
+    found AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+    runs AS (SELECT doc_id, start, length, min(q) AS period FROM found GROUP BY 1, 2, 3),
+    best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS k FROM runs),
+    listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM runs GROUP BY 1),
+    gone AS (SELECT DISTINCT w.doc_id, w.i FROM words w JOIN runs r ON w.doc_id = r.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length),
+    kept AS (SELECT w.doc_id, string_agg(w.x, ' ' ORDER BY w.i) AS collapsed FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i WHERE g.i IS NULL GROUP BY 1)
+    SELECT d.doc_id, coalesce(l.n_runs, 0)::BIGINT AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+           sha256(coalesce(l.runs, '')) AS runs_sha256, sha256(coalesce(k.collapsed, '')) AS collapsed_sha256
+    FROM docs d LEFT JOIN listed l USING (doc_id) LEFT JOIN best b ON b.doc_id = d.doc_id AND b.k = 1 LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
+
+def _repair_sql() -> str:
+    """The repair as a walk over the rows with the cheapest way into each state of the grammar: nothing yet (s0), behind a
+    system (s1), user (s2) or assistant (s3) row."""
+    pack = lambda cost, audit, out: f"struct_pack(cost := {cost}, audit := {audit}, out := {out})"
+    step = lambda s, cost, letter, line: f"CASE WHEN {s} IS NOT NULL THEN {pack(f'{s}.cost + {cost}', f"{s}.audit || '{letter}'", f'{s}.out || {line}')} END"
+    insert = lambda s, role: step(s, 2, "I", f"chr(10) || '{role}:'")
+    delete = lambda s: step(s, 3, "D", "''")
+    keep = lambda s, first: f"CASE WHEN ok AND letter = '{first}' THEN {step(s, 'more', 'K', "chr(10) || role || ':' || text")} END"
+    change = lambda s, role: f"CASE WHEN ok THEN {step(s, '2 + more', 'R', f"chr(10) || '{role}:' || text")} END"
+    least = lambda *ways: f"list_min([{', '.join(ways)}])"
+    user = [w for s in ("s0", "s1", "s3") for w in (keep(s, "u"), change(s, "user"))]
+    start = pack("0", "''", "''")
+    return f"""
+    WITH RECURSIVE known AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS d FROM conversations),
+    damaged AS (SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+            unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM known),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM damaged),
+    flagged AS (SELECT *, substr(role, 1, 1) AS letter, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last,
+            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS nth, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM placed),
+    judged AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM flagged),
+    ready AS (SELECT *, fault IN ('', 'truncated') AS ok, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END AS more FROM judged),
+    ids AS (SELECT DISTINCT conv_id FROM conversations),
+    walk AS (SELECT conv_id, 0::BIGINT AS k, {start} AS s0, CASE WHEN false THEN {start} END AS s1, {pack("2", "'I'", "chr(10) || 'user:'")} AS s2,
+            {pack("4", "'II'", "chr(10) || 'user:' || chr(10) || 'assistant:'")} AS s3 FROM ids
+        UNION ALL
+        SELECT conv_id, k, r0, r1, t2, {least("r3", insert("t2", "assistant"))}
+        FROM (SELECT *, {least("r2", insert("r0", "user"), insert("r1", "user"), insert("r3", "user"))} AS t2
+            FROM (SELECT w.conv_id, r.k, {delete("s0")} AS r0, {least(delete("s1"), keep("s0", "s"))} AS r1, {least(delete("s2"), *user)} AS r2,
+                    {least(delete("s3"), keep("s2", "a"), change("s2", "assistant"))} AS r3
+                FROM walk w JOIN ready r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.k = w.k + 1))),
+    ends AS (SELECT conv_id, arg_max(list_min([s0, s3]), k) AS e FROM walk GROUP BY 1),
+    figures AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+            count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE k > 1 AND (before || letter) NOT IN ('su', 'ua', 'au')) AS illegal FROM ready GROUP BY 1)
+    SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+           coalesce(illegal, 0)::BIGINT AS illegal, (e.cost)::BIGINT AS cost, e.audit AS audit, sha256(substr(e.out, 2)) AS repaired_sha256
+    FROM ids i LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filters": op2_url_filters,
@@ -200,4 +266,9 @@ QUERIES = {
     "op12_conversation_repair": op12_conversation_repair,
     "op13_language_id": op13_language_id,
 }
-ORACLES = {"op2_url_filters": _url_sql(), "op3_chat_format": _chat_sql()}
+ORACLES = {
+    "op2_url_filters": _url_sql(),
+    "op3_chat_format": _chat_sql(),
+    "op11_periodic_runs": _RUNS_SQL,
+    "op12_conversation_repair": _repair_sql(),
+}
