@@ -100,6 +100,24 @@ def conversation_stats(messages: DataFrame, reads: DataFrame | None = None) -> D
     )
 
 
+def conversation_list(messages: DataFrame, reads: DataFrame | None = None) -> DataFrame:
+    """course_id, conv_id, title, message_count, unread_count, updated_at, position: the conversations of each course,
+    the last active first. messages: course_id, conv_id, role, content, created_at; reads: course_id, conv_id,
+    last_read_at. Messages of users and assistants count; a conversation is named by its first question that is not
+    blank, else 新对话; answers later than the last reading are unread."""
+    key = ["course_id", "conv_id"]
+    rows = messages if reads is None else messages.join(reads, key, "left")
+    read_at = F.lit(None).cast("timestamp") if reads is None else F.col("last_read_at")
+    role, said = F.lower("role"), X.strip(F.col("content"))
+    asks = (role == "user") & (said != "")
+    unread = (role == "assistant") & (read_at.isNull() | (F.col("created_at") > read_at))
+    title = F.min_by(F.when(asks, F.substr(said, F.lit(1), F.lit(24))), F.when(asks, F.col("created_at")))
+    out = rows.groupBy(*key).agg(
+        F.coalesce(title, F.lit("新对话")).alias("title"), F.count_if(role.isin("user", "assistant")).alias("message_count"), F.count_if(unread).alias("unread_count"), F.max("created_at").alias("updated_at")
+    )
+    return out.withColumn("position", F.row_number().over(Window.partitionBy("course_id").orderBy(F.desc("updated_at"), "conv_id")))
+
+
 def memory_topic(question: Column) -> Column:
     """The first three terms that are neither stop terms nor numbers; else the first 24 characters."""
     terms = F.regexp_extract_all(F.lower(X.text_or_empty(question)), F.lit(r"([A-Za-z0-9_]+|[一-鿿]{2,})"), F.lit(1))

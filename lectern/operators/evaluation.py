@@ -284,6 +284,99 @@ def normalize_results(payloads: DataFrame) -> DataFrame:
     return payloads.select("id", "kind", status.alias("status"), F.explode(each).alias("m")).select("id", "kind", "m.name", "m.value", "status")
 
 
+_ERROR_WORDS, _OK_WORDS = ("error", "failed", "failure", "timeout"), ("ok", "success", "succeeded", "completed", "ready")
+_TRUE_WORDS, _FALSE_WORDS = ("true", "yes", "1", "ok", "sufficient"), ("false", "no", "0", "insufficient", "empty")
+
+
+def _present(*keys: str) -> Column:
+    """The first of the keys that is not null, as text."""
+    return F.coalesce(*(_field(f"$.{k}") for k in keys))
+
+
+def _listed(*keys: str) -> Column:
+    """The items of the first of the keys that is not null, as JSON texts; null if that is no list."""
+    value = _present(*keys)
+    return F.when(value.startswith("["), F.from_json(value, "array<string>"))
+
+
+def _amount(*keys: str) -> Column:
+    """As a number: of a list its length, of true and false 1 and 0."""
+    value = _present(*keys)
+    return F.coalesce(F.size(_listed(*keys)).cast("double"), value.try_cast("double"), F.when(value == "true", 1.0).when(value == "false", 0.0))
+
+
+def _yes(*keys: str) -> Column:
+    value = _present(*keys)
+    word = F.lower(X.strip(value))
+    return F.when(value.isNull(), F.lit(None).cast("boolean")).when(word.isin(*_TRUE_WORDS), True).when(word.isin(*_FALSE_WORDS), False).otherwise(_truthy(value))
+
+
+def _result_status() -> Column:
+    word = F.lower(X.strip(_present("status", "llm_status")))
+    return F.when(word.isin(*_ERROR_WORDS), "error").when(word.isin(*_OK_WORDS), "ok").when(_truthy(_present("error", "error_message")), "error").otherwise("ok")
+
+
+def record_results(payloads: DataFrame) -> DataFrame:
+    """kind (event, counter, observation), name, stage, value, attributes: the telemetry of result payloads (id, kind in
+    index, retrieval, llm; payload JSON), an event with the payload's id, counters and observations for each. Of alias
+    keys the first that is not null counts; what a payload lacks is not observed. Rows fit stage_summary, counters and
+    observation_summary; payloads of other kinds give none."""
+    duration = lambda own: _amount("duration_ms", "elapsed_ms", own)
+    failed = _result_status() == "error"
+    files_failed, chunks = _amount("files_failed", "failed_files", "parse_failed"), _amount("chunks_total", "chunk_count", "chunks")
+    trace = _listed("retrieval_trace", "trace")
+    n_trace = F.size(trace).cast("double")
+    of = lambda *keys: F.size(_listed(*keys)).cast("double")
+    counted = lambda c: F.when(c >= 0, c)  # noqa: E731  the size of null is -1 where ANSI is off
+    quality, sufficient = _present("retrieval_quality", "quality", "evidence_quality"), _yes("sufficient", "is_sufficient", "evidence_sufficient")
+    poor = F.coalesce(~sufficient, F.lit(False)) | F.coalesce(quality.isin("insufficient", "empty"), F.lit(False))
+    asked, answered = _amount("prompt_tokens", "input_tokens"), _amount("completion_tokens", "output_tokens")
+    both = F.when(asked.isNotNull() | answered.isNotNull(), F.coalesce(asked, F.lit(0.0)) + F.coalesce(answered, F.lit(0.0)))
+    reason = _present("fallback_reason", "fallback", "fallback_to")
+    fell_back = _truthy(reason) | _truthy(_present("used_fallback", "fallback_used"))
+
+    def seen(key: str) -> Column:
+        values = F.array_distinct(F.transform(F.coalesce(trace, X.empty_strings()), lambda t: F.when(t.startswith("{"), F.get_json_object(t, f"$.{key}"))))
+        values = F.slice(F.array_compact(values), 1, 8)
+        return F.when(F.size(values) > 0, F.to_json(values))
+
+    error = _present("error", "error_message", "message")
+    kinds = {
+        "index": (
+            "indexing",
+            {"index_jobs_total": F.lit(1.0), "index_jobs_failed": F.when(failed, 1.0), "index_jobs_succeeded": F.when(~failed, 1.0), "index_files_failed": F.when(files_failed > 0, files_failed), "index_chunks_total": F.when(chunks > 0, chunks)},
+            {"files_total": _amount("files_total", "total_files", "material_count"), "files_indexed": _amount("files_indexed", "indexed_files", "processed_files"), "files_skipped": _amount("files_skipped", "skipped_files"),
+             "files_failed": files_failed, "chunks_total": chunks, "duration_ms": duration("index_duration_ms")},
+            {"status": _result_status(), "course_id": _present("course_id", "course"), "schema_version": _present("schema_version", "index_schema_version"), "error": error},
+        ),
+        "retrieval": (
+            "retrieval",
+            {"retrieval_queries_total": F.lit(1.0), "retrieval_queries_insufficient": F.when(poor, 1.0), "retrieval_queries_with_evidence": F.when(~poor, 1.0)},
+            {"top_k": F.coalesce(_amount("top_k", "topK", "k", "limit"), counted(n_trace)), "candidate_count": F.coalesce(_amount("candidate_count", "candidates_count", "recalled_count"), counted(of("candidates", "results", "matches"))),
+             "reranked_count": F.coalesce(_amount("reranked_count", "rerank_count"), counted(n_trace)), "citation_count": F.coalesce(_amount("citation_count", "citations_count"), counted(of("citations", "sources"))),
+             "duration_ms": duration("retrieval_duration_ms")},
+            {"strategy": _present("strategy", "retrieval_strategy"), "quality": quality, "sufficient": sufficient.cast("string"), "methods": seen("method"), "files": seen("file_name")},
+        ),
+        "llm": (
+            "llm",
+            {"llm_calls_total": F.lit(1.0), "llm_calls_failed": F.when(failed, 1.0), "llm_calls_succeeded": F.when(~failed, 1.0), "llm_calls_fallback": F.when(fell_back, 1.0)},
+            {"duration_ms": duration("latency_ms"), "prompt_tokens": asked, "completion_tokens": answered, "total_tokens": F.coalesce(_amount("total_tokens", "tokens_total"), both)},
+            {"status": _result_status(), "route": _present("route", "task", "purpose"), "model": _present("model", "model_name"), "provider": _present("provider", "base_url"), "fallback_reason": reason,
+             "error_type": _present("error_type"), "error": error},
+        ),
+    }
+    rows = F.array().cast("array<struct<kind:string,name:string,stage:string,value:double,attributes:map<string,string>>>")
+    none = F.lit(None).cast("map<string,string>")
+    for kind, (stage, counts, measures, texts) in kinds.items():
+        row = lambda of, name, value, attributes: F.struct(F.lit(of).alias("kind"), F.lit(name).alias("name"), F.lit(stage).alias("stage"), value.cast("double").alias("value"), attributes.alias("attributes"))  # noqa: B023, E731
+        entries = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))) for k, v in (texts | measures).items()]
+        made = [row("event", f"{kind}-result", F.lit(None), F.map_from_entries(F.array_compact(F.array(*entries))))]
+        made += [F.when(v.isNotNull(), row("counter", n, v, none)) for n, v in counts.items()]
+        made += [F.when(v.isNotNull(), row("observation", f"{kind}_{n}", v, none)) for n, v in measures.items()]
+        rows = F.when(F.col("kind") == kind, F.array_compact(F.array(*made))).otherwise(rows)
+    return payloads.select("id", F.explode(rows).alias("r")).select("id", "r.*")
+
+
 # web sources
 
 

@@ -18,14 +18,17 @@ def representative_chunks(chunks: DataFrame, limit: int = 6) -> DataFrame:
     """The chunks of each course that say most and differ: the first of a file or keyword in the order of distinct
     tokens and length, then the others in that order. chunks: course_id, chunk_index, file_id, tokens, text."""
     variety = F.size(F.array_distinct(F.filter("tokens", lambda t: F.length(t) > 1))).alias("variety")
-    # ids and sizes only are sorted; the texts of the few that are chosen are fetched at the end
-    rows = chunks.select("course_id", "chunk_index", "file_id", variety, F.length("text").alias("n_chars"), X.pick_keyword(F.col("text")).alias("keyword"))
-    order = [F.desc("variety"), F.desc("n_chars"), F.col("chunk_index")]
-    first = lambda *by: F.row_number().over(Window.partitionBy("course_id", *by).orderBy(*order)) == 1
-    rows = rows.withColumn("fresh", first("file_id") | first("keyword"))
-    w = Window.partitionBy("course_id").orderBy(F.desc("fresh"), *order)
-    chosen = rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
-    return chunks.join(sized(chosen.select("course_id", "chunk_index", "variety", "keyword", "position")), ["course_id", "chunk_index"])
+    # a few numbers of each chunk; the texts of the few that are chosen are fetched at the end
+    rows = materialise(chunks.select("course_id", "chunk_index", "file_id", variety, F.length("text").alias("n_chars"), X.pick_keyword(F.col("text")).alias("keyword")))
+    best = F.struct((-F.col("variety")).alias("less"), (-F.col("n_chars")).alias("shorter"), "chunk_index", "variety", "keyword").alias("c")
+    top = lambda df, n, *by: df.withColumn("position", F.row_number().over(Window.partitionBy("course_id").orderBy(*by, "c"))).filter(F.col("position") <= n)
+    # firsts are found by aggregations, which combine a hot file or keyword before they shuffle
+    firsts = [rows.groupBy("course_id", by).agg(F.min(best).alias("c")).select("course_id", "c") for by in ("file_id", "keyword")]
+    fresh = materialise(top(firsts[0].union(firsts[1]).distinct(), limit).select("course_id", "c"))
+    # where fresh ones are too few, the best 2 * limit of all hold enough others
+    others = top(rows.select("course_id", best), 2 * limit).select("course_id", "c").join(sized(fresh), ["course_id", "c"], "left_anti")
+    chosen = top(fresh.withColumn("stale", F.lit(0)).union(others.withColumn("stale", F.lit(1))), limit, "stale")
+    return chunks.join(sized(chosen.select("course_id", "c.chunk_index", "c.variety", "c.keyword", "position")), ["course_id", "chunk_index"])
 
 
 def summary_evidence(chunks: DataFrame, max_chars: int = 900) -> DataFrame:

@@ -197,6 +197,13 @@ def conversation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.conversation_stats(I.messages(spark, sf_dir), I.messages(spark, sf_dir).select("conv_id").distinct().withColumn("last_read", F.lit(2).cast("long")))
 
 
+def conversation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    course = F.concat(F.lit("src"), F.col("conv_id") % 20).alias("course_id")
+    rows = I.messages(spark, sf_dir).select(course, "conv_id", "role", "content", F.timestamp_seconds(1_700_000_000 + F.col("conv_id") * 7919 % 100_003 + F.col("turn")).alias("created_at"))
+    reads = rows.groupBy("course_id", "conv_id").agg(F.min("created_at").alias("last_read_at")).filter("conv_id % 3 <> 0")
+    return C.conversation_list(rows, reads).select("course_id", "conv_id", "title", "message_count", "unread_count", "position")
+
+
 def _user_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.messages(spark, sf_dir).filter("role = 'user'").select((F.col("conv_id") % 20).alias("conv_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("content").alias("question"))
 
@@ -403,6 +410,10 @@ def normalize_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("kind", "name", "status").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+def record_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.record_results(_payloads(spark, sf_dir)).groupBy("kind", "name", "stage").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
 def answer_payload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir).groupBy("query_id").agg(F.first("question").alias("question"), F.collect_list(F.struct(F.concat(F.lit("L"), "rank").alias("reference_label"), F.col("text").alias("quote"))).alias("citations"))
     stages = F.array(*(F.struct(F.lit(x).alias("label")) for x in E.TRACE_LABELS[:-1]))
@@ -532,10 +543,10 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = """score_delta fold_answers mistakes resolve_mistakes upsert_points learning_progress review_queue mastery_summary
     materials_stats generated_artifacts recent_activity course_dashboard default_study_plan apply_changes plan_changes retain_uploads pair_turns
-    recent_turns contextual_query follow_up_signals conversation_stats memory_topics memory_topics_folded plan_action query_intent count_attempts
+    recent_turns contextual_query follow_up_signals conversation_stats conversation_list memory_topics memory_topics_folded plan_action query_intent count_attempts
     grounded_answers label_citations check_claims citation_report annotate_unsupported build_prompts representative_chunks
     summary_evidence group_evidence map_reduce_summary course_summary extractive_summary extractive_quiz eval_cases eval_summary stage_summary
-    observation_summary observation_sketches frequent_values counters stage_windows chat_sessions normalize_results answer_payload_checks summary_payload_checks
+    observation_summary observation_sketches frequent_values counters stage_windows chat_sessions normalize_results record_results answer_payload_checks summary_payload_checks
     summarize_checks source_quality source_relevance normalize_sources parse_search_results cosine_similarity unit_vector
     vector_search upsert_vectors hash_embed embed_with build_vector_index approximate_search hybrid_merge hybrid_search""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
@@ -639,6 +650,11 @@ ORACLES = {
         t AS (SELECT *, CASE WHEN len(u) > 0 THEN array_to_string(u[1:3], ' / ') ELSE substr(text, 1, 24) END AS topic FROM q),
         c AS (SELECT conv_id, topic, count(*) AS count, md5(substr(arg_max(text, ord), 1, 80)) AS digest, max(ord) AS last FROM t GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY count DESC, last DESC) AS rank FROM c) SELECT conv_id, topic, count, rank, digest FROM r WHERE rank <= 8""",
+    "conversation_list": """WITH m AS (SELECT 'src' || (conv_id % 20) AS course_id, conv_id, lower(role) AS role, trim(text, chr(10) || ' ') AS said, conv_id * 7919 % 100003 + turn AS t FROM conversations),
+        f AS (SELECT conv_id, min(t) AS first_at FROM m WHERE conv_id % 3 <> 0 GROUP BY 1),
+        g AS (SELECT course_id, m.conv_id, coalesce(arg_min(substr(said, 1, 24), t) FILTER (WHERE role = 'user' AND said <> ''), '新对话') AS title, count(*) FILTER (WHERE role IN ('user', 'assistant')) AS message_count,
+            count(*) FILTER (WHERE role = 'assistant' AND (first_at IS NULL OR t > first_at)) AS unread_count, max(t) AS last FROM m LEFT JOIN f USING (conv_id) GROUP BY 1, 2)
+        SELECT course_id, conv_id, title, message_count, unread_count, row_number() OVER (PARTITION BY course_id ORDER BY last DESC, conv_id) AS position FROM g""",
     "query_intent": """WITH m AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS k, regexp_replace(lower(text), 'current|latest|today|recent|search', '', 'g') AS t FROM conversations),
         q AS (SELECT conv_id, turn, k, CASE WHEN k = 2 THEN 'hello' WHEN k = 3 THEN '12' ELSE ['latest ', 'explain ', '', '', '', 'in 2024 '][k + 1] || t END AS q FROM m),
         i AS (SELECT conv_id, turn, CASE WHEN k = 3 OR regexp_replace(q, '[^0-9A-Za-zÀ-ɏ_]+', '', 'g') = '' THEN 'clarification' WHEN k = 2 THEN 'light_followup'
@@ -686,6 +702,12 @@ ORACLES = {
     "chat_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT user_id, sum(starts) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2)
         SELECT user_id, count(*) AS sessions, max(n) AS longest, sum(n)::BIGINT AS events FROM c GROUP BY 1""",
+    "record_results": """WITH p AS (SELECT event_id % 3 AS m, event_id % 7 AS files, event_id % 3 = 1 AS bad FROM events),
+        r AS (SELECT 'event' AS kind, ['index', 'retrieval', 'llm'][m + 1] || '-result' AS name, m, NULL::DOUBLE AS v FROM p
+            UNION ALL SELECT 'counter', unnest(['index_jobs_total', 'index_jobs_succeeded']), m, 1 FROM p WHERE m = 0
+            UNION ALL SELECT 'counter', unnest(['retrieval_queries_total', 'retrieval_queries_with_evidence']), m, 1 FROM p WHERE m = 1
+            UNION ALL SELECT 'counter', unnest(['llm_calls_total', 'llm_calls_succeeded']), m, 1 FROM p WHERE m = 2)
+        SELECT kind, name, ['indexing', 'retrieval', 'llm'][m + 1] AS stage, count(*) AS n, sum(v) AS total FROM r GROUP BY ALL""",
     "normalize_results": """WITH p AS (SELECT event_id % 3 AS m, ['ok', 'error', 'degraded'][event_id % 3 + 1] AS status, event_id, value FROM events),
         r AS (SELECT 'index' AS kind, unnest(['files', 'chunks', 'failed']) AS name, unnest([event_id % 7, 0, 0])::DOUBLE AS v, status FROM p WHERE m = 0
             UNION ALL SELECT 'retrieval', unnest(['hits', 'top_score', 'coverage']), unnest([1, value, 0])::DOUBLE, status FROM p WHERE m = 1

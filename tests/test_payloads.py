@@ -137,3 +137,44 @@ def test_the_chain_of_summaries(spark):
     one = outcome(lambda p: "done" if p.startswith("课程《A") else "")
     assert one == {"a": ("single_prompt", "used", "map_reduce_failed", True), "b": ("extractive", "fallback", "map_reduce_failed", True), "c": none}
     assert outcome(None) == {"a": ("extractive", "disabled", "llm_disabled", True), "b": ("extractive", "disabled", "llm_disabled", True), "c": ("extractive", "skipped", "llm_disabled", False)}
+
+
+def test_telemetry_of_results(spark):
+    payloads = {
+        ("index", "failed"): {"status": "Failed", "files_total": 5, "indexed_files": ["a", "b"], "parse_failed": "3", "chunk_count": 0, "error": "boom", "course": "c", "elapsed_ms": 12.5},
+        ("retrieval", "partial"): {"quality": "partial", "is_sufficient": "yes", "trace": [{"method": "bm25", "file_name": "f"}, {"method": "bm25"}, {"method": "mmr"}, 3], "sources": [1, 2], "limit": 4},
+        ("retrieval", "minimal"): {},
+        ("retrieval", "poor"): {"sufficient": False, "candidates": [], "retrieval_duration_ms": True},
+        ("retrieval", "empty"): {"retrieval_quality": "empty"},
+        ("llm", "fallback"): {"llm_status": "ok", "fallback": "local", "input_tokens": 7, "model": "m"},
+        ("llm", "timeout"): {"status": "timeout", "prompt_tokens": 3, "output_tokens": 4, "latency_ms": "9"},
+        ("llm", "silent"): {"status": "odd", "error_message": "x", "total_tokens": 11},
+        ("other", "none"): {"status": "ok"},
+    }
+    rows = spark.createDataFrame([(i, k, json.dumps(v)) for (k, i), v in payloads.items()], "id string, kind string, payload string")
+    found = {}
+    for r in evaluation.record_results(rows).collect():
+        found.setdefault(r.id, {})[r.kind, r.name] = r.attributes if r.kind == "event" else r.value
+    stage = {"index": "indexing", "retrieval": "retrieval", "llm": "llm"}
+    assert {(r.kind, r.stage) for r in evaluation.record_results(rows).select("kind", "stage").collect()} <= {(k, s) for k in ("event", "counter", "observation") for s in stage.values()}
+
+    def split(id_):
+        own = found[id_]
+        return {n: v for (k, n), v in own.items() if k == "counter"}, {n: v for (k, n), v in own.items() if k == "observation"}, next(v for (k, _), v in own.items() if k == "event")
+
+    assert split("failed") == (
+        {"index_jobs_total": 1, "index_jobs_failed": 1, "index_files_failed": 3},
+        {"index_files_total": 5, "index_files_indexed": 2, "index_files_failed": 3, "index_chunks_total": 0, "index_duration_ms": 12.5},
+        {"status": "error", "course_id": "c", "error": "boom", "files_total": "5.0", "files_indexed": "2.0", "files_failed": "3.0", "chunks_total": "0.0", "duration_ms": "12.5"},
+    )
+    counts, seen, event = split("partial")
+    assert counts == {"retrieval_queries_total": 1, "retrieval_queries_with_evidence": 1}
+    assert seen == {"retrieval_top_k": 4, "retrieval_reranked_count": 4, "retrieval_citation_count": 2}
+    assert json.loads(event["methods"]) == ["bm25", "mmr"] and json.loads(event["files"]) == ["f"] and event["sufficient"] == "true"
+    assert split("minimal") == ({"retrieval_queries_total": 1, "retrieval_queries_with_evidence": 1}, {}, {})
+    assert split("poor")[:2] == ({"retrieval_queries_total": 1, "retrieval_queries_insufficient": 1}, {"retrieval_candidate_count": 0, "retrieval_duration_ms": 1})
+    assert split("empty")[0] == {"retrieval_queries_total": 1, "retrieval_queries_insufficient": 1}
+    assert split("fallback")[:2] == ({"llm_calls_total": 1, "llm_calls_succeeded": 1, "llm_calls_fallback": 1}, {"llm_prompt_tokens": 7, "llm_total_tokens": 7})
+    assert split("timeout")[:2] == ({"llm_calls_total": 1, "llm_calls_failed": 1}, {"llm_prompt_tokens": 3, "llm_completion_tokens": 4, "llm_total_tokens": 7, "llm_duration_ms": 9})
+    assert split("silent")[0] == {"llm_calls_total": 1, "llm_calls_failed": 1} and split("silent")[1] == {"llm_total_tokens": 11}
+    assert "none" not in found
