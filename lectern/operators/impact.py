@@ -113,6 +113,22 @@ def build_blocks(postings: DataFrame) -> DataFrame:
     )
 
 
+#: Keys of a task up to which lists are collected by hashing; Spark's own limit, 128, would sort nearly all postings.
+HASHED_KEYS = 200_000
+_FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+
+
+def kept_blocks(postings: DataFrame) -> DataFrame:
+    """build_blocks, written out; the session's settings are as before when it returns."""
+    conf = postings.sparkSession.conf
+    before = conf.get(_FALLBACK)
+    conf.set(_FALLBACK, str(max(int(before), HASHED_KEYS)))
+    try:
+        return materialise(build_blocks(postings))
+    finally:
+        conf.set(_FALLBACK, before)
+
+
 def write_blocks(blocks: DataFrame, table: str, buckets: int = 64) -> None:
     """Stored as a table bucketed by course and term; joins with it on these move the other side only."""
     dealt = blocks.repartition(buckets, *KEY)
@@ -193,7 +209,7 @@ def phrase_postings(chunks: DataFrame, phrases: DataFrame, grams: DataFrame | No
     phrases = materialise(phrases.select("course_id", "phrase").distinct())
     if grams is None:
         asked = phrase_grams(phrases).select(*KEY)
-        grams = build_blocks(gram_postings(chunks, asked))
+        grams = kept_blocks(gram_postings(chunks, asked))
     found = phrase_candidates(phrases, grams).groupBy("course_id", "chunk_index").agg(F.collect_list("phrase").alias("asked"))
     rows = in_blocks(chunks).select(*CHUNK, F.lower(L.search_text()).alias("low")).join(sized(found), ["course_id", "chunk_index"])
     counted = F.transform("asked", lambda p: F.struct(p.alias("term"), (F.length("low") - F.length(F.replace("low", p, F.lit("")))).cast("double").alias("impact")))

@@ -160,7 +160,7 @@ def leg_rank(leg: str, queries: DataFrame, chunks: DataFrame, limit: int) -> Dat
         postings = M.feature_postings(chunks, asked)
     else:
         raise ValueError(leg)
-    return M.top_k(asked, materialise(M.build_blocks(postings)), limit)
+    return M.top_k(asked, M.kept_blocks(postings), limit)
 
 
 def reciprocal_rank_fusion(lists: Sequence[DataFrame], limit: int, k: int = P.RRF_K) -> DataFrame:

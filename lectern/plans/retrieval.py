@@ -87,7 +87,7 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bm25_rank from the index of all tokens, built without knowing the questions."""
     queries, chunks_ = asked(spark, sf_dir), index(spark, sf_dir)
-    blocks = materialise(impact.build_blocks(impact.token_postings(chunks_)))
+    blocks = impact.kept_blocks(impact.token_postings(chunks_))
     weighed = materialise(impact.token_questions(queries, blocks, lexical.corpus_stats(chunks_)))
     out = impact.top_k(weighed, blocks, LIMIT)
     return out.select("query_id", "course_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
