@@ -714,3 +714,11 @@ def test_leaks_equal_a_search_for_runs(spark):
             expected.add((d, i))
     benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs(spark, texts), benchmark).collect()} == expected
+
+
+def test_toxicity_learns_from_few_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    docs_, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    rows = toxicity.toxicity_scores(docs_, labels).join(labels, "doc_id").filter("held_out").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == y] for y in (1, 0))
+    assert len(toxic) > 10 and sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.02 * len(clean)
