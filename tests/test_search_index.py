@@ -1,6 +1,7 @@
 """Search from indexes with block maxima against scores of all pairs."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,25 @@ def test_hybrid_search_equals_a_search_one_by_one(spark, tables):
             assert abs(r.score - 1000 * both[r.chunk_index]) < 1e-3
             shared = set(rows[r.chunk_index].plain) & (sets[r.chunk_index] if r.chunk_index in first else set())
             assert r.matched_terms == sorted(shared)[:12] and r.text in r.context_text
+
+
+def test_a_batch_of_questions_moves_no_postings(tables):
+    chunks, _, queries = tables
+    chunks, queries = materialise(chunks), materialise(queries)
+    postings = r"(?s)Exchange hashpartitioning\(course_id#\d+, (term#\d+, block_no|block_no#\d+L?, term)"
+    for leg in ("phrase", "metadata", "semantic"):
+        plan = lexical.leg_rank(leg, queries, chunks, 7)._jdf.queryExecution().executedPlan().toString()
+        assert "entries" not in plan and not re.search(postings, plan), plan
+
+
+def test_phrases_of_many_questions_in_parts_and_with_runs_that_are_not_kept(tables, monkeypatch):
+    chunks, _, queries = tables
+    for name, value in (("ASKED_AT_ONCE", 3), ("COUNTERS", 1)):
+        monkeypatch.setattr(impact, name, value)
+    monkeypatch.setattr(impact._PhraseCounter, "KEPT", 40)
+    assert as_set(lexical.leg_rank("phrase", queries, chunks, 7)) == as_set(all_pairs(chunks, queries, "phrase_score"))
+
+
+def test_a_phrase_counts_apart_from_itself_and_inside_runs():
+    counter = impact._PhraseCounter([["aa", "ana"], ["栈"*2], ["aa"]], [[1.0, 2.0], [1.0], [3.0]])
+    assert counter.scores(["aaaa banana", "栈栈栈 x", ""]) == [[10.0, 0.0, 0.0], [0.0, 2.0, 0.0], [12.0, 0.0, 0.0]]
