@@ -108,3 +108,12 @@ def test_a_template_that_breaks_its_declaration_late_is_an_error():
     steady = chat_format.Renderer(chat_format.INST_TEMPLATE)
     pieces = [steady.add(("user", f"k{k}"), True) for k in range(200)]
     assert all(p[1] == sum(len(q[0]) for q in pieces[:k]) for k, p in enumerate(pieces)) and len(steady.turns) <= 2
+
+
+def test_local_and_whole_rendering_agree_on_both_sides_of_the_probe():
+    texts = ["</s>[INST] ok", "a\\b", "", "[TURN x\n"]
+    for n in (chat_format.PROBE - 1, chat_format.PROBE, chat_format.PROBE + 1, 3 * chat_format.PROBE):
+        local, whole = chat_format.Renderer(chat_format.INST_TEMPLATE), chat_format.Renderer(chat_format.Template(chat_format.INST_TEMPLATE.render))
+        for k in range(n):
+            turn = (("user", "assistant", "system", "odd\n")[k % 4], texts[k * 7 % 4])
+            assert local.add(turn, True) == whole.add(turn, True)
