@@ -288,9 +288,31 @@ _ERROR_WORDS, _OK_WORDS = ("error", "failed", "failure", "timeout"), ("ok", "suc
 _TRUE_WORDS, _FALSE_WORDS = ("true", "yes", "1", "ok", "sufficient"), ("false", "no", "0", "insufficient", "empty")
 
 
+#: All keys that record_results reads.
+_RESULT_KEYS = (
+    "base_url", "candidate_count", "candidates", "candidates_count", "chunk_count", "chunks", "chunks_total",
+    "citation_count", "citations", "citations_count", "completion_tokens", "course", "course_id", "duration_ms",
+    "elapsed_ms", "error", "error_message", "error_type", "evidence_quality", "evidence_sufficient", "failed_files",
+    "fallback", "fallback_reason", "fallback_to", "fallback_used", "files_failed", "files_indexed", "files_skipped",
+    "files_total", "index_duration_ms", "index_schema_version", "indexed_files", "input_tokens", "is_sufficient", "k",
+    "latency_ms", "limit", "llm_status", "matches", "material_count", "message", "model", "model_name",
+    "output_tokens", "parse_failed", "processed_files", "prompt_tokens", "provider", "purpose", "quality",
+    "recalled_count", "rerank_count", "reranked_count", "results", "retrieval_duration_ms", "retrieval_quality",
+    "retrieval_strategy", "retrieval_trace", "route", "schema_version", "skipped_files", "sources", "status",
+    "strategy", "sufficient", "task", "tokens_total", "topK", "top_k", "total_files", "total_tokens", "trace",
+    "used_fallback",
+)
+
+
+def _unpacked(payloads: DataFrame) -> DataFrame:
+    """id, kind and the result keys of each payload as texts, null where it lacks them: a payload is parsed once, however
+    many keys and aliases are asked for. Of a key that stands twice the last counts."""
+    return payloads.select("id", "kind", F.json_tuple("payload", *_RESULT_KEYS).alias(*(f"at_{k}" for k in _RESULT_KEYS)))
+
+
 def _present(*keys: str) -> Column:
-    """The first of the keys that is not null, as text."""
-    return F.coalesce(*(_field(f"$.{k}") for k in keys))
+    """The first of the keys that is not null, as text; of rows that _unpacked made."""
+    return F.coalesce(*(F.col(f"at_{k}") for k in keys))
 
 
 def _listed(*keys: str) -> Column:
@@ -374,7 +396,7 @@ def record_results(payloads: DataFrame) -> DataFrame:
         made += [F.when(v.isNotNull(), row("counter", n, v, none)) for n, v in counts.items()]
         made += [F.when(v.isNotNull(), row("observation", f"{kind}_{n}", v, none)) for n, v in measures.items()]
         rows = F.when(F.col("kind") == kind, F.array_compact(F.array(*made))).otherwise(rows)
-    return payloads.select("id", F.explode(rows).alias("r")).select("id", "r.*")
+    return _unpacked(payloads).select("id", F.explode(rows).alias("r")).select("id", "r.*")
 
 
 # web sources

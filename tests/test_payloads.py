@@ -178,3 +178,13 @@ def test_telemetry_of_results(spark):
     assert split("timeout")[:2] == ({"llm_calls_total": 1, "llm_calls_failed": 1}, {"llm_prompt_tokens": 3, "llm_completion_tokens": 4, "llm_total_tokens": 7, "llm_duration_ms": 9})
     assert split("silent")[0] == {"llm_calls_total": 1, "llm_calls_failed": 1} and split("silent")[1] == {"llm_total_tokens": 11}
     assert "none" not in found
+
+
+def test_a_result_payload_is_parsed_once(spark):
+    rows = spark.createDataFrame([("a", "llm", '{"status": "ok", "status": "failed", "topK": 1}'), ("b", "llm", "["), ("c", "index", None)], "id string, kind string, payload string")
+    out = evaluation.record_results(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("json_tuple(payload") == 1 and "get_json_object(payload" not in plan
+    # what the JSON says last counts, and what is no object has no keys
+    names = {(r.id, r.name) for r in out.filter("kind = 'counter'").collect()}
+    assert names == {(i, n) for i, n in [("a", "llm_calls_total"), ("a", "llm_calls_failed"), ("b", "llm_calls_total"), ("b", "llm_calls_succeeded"), ("c", "index_jobs_total"), ("c", "index_jobs_succeeded")]}
