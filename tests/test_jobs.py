@@ -139,3 +139,29 @@ def test_stream_memory_equals_the_batch_fold(spark, tmp_path):
     query.awaitTermination(120)
     assert query.exception() is None
     assert sorted(map(tuple, spark.table("memory_out").collect())) == sorted(map(tuple, memory_topics_folded(batch).collect()))
+
+
+def test_postings_are_counted_where_their_chunk_stands(spark):
+    rows = [("a", 1, "f1.md", "a/f1.md", "", "stack stack queue"), ("a", 2, "f2.md", "a/f2.md", "Stack", ""), ("b", 1, None, None, None, None)]
+    chunks = spark.createDataFrame(rows, "course_id string, chunk_index long, file_name string, path string, section_title string, text string")
+    postings = lexical.build_postings(chunks)
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    found = {(r.course_id, r.chunk_index, r.token): (r.tf, r.dl) for r in postings.collect()}
+    assert found == {
+        ("a", 1, "stack"): (2, 8), ("a", 1, "queue"): (1, 8), ("a", 1, "f1"): (2, 8), ("a", 1, "md"): (2, 8), ("a", 1, "a"): (1, 8),
+        ("a", 2, "stack"): (1, 6), ("a", 2, "f2"): (2, 6), ("a", 2, "md"): (2, 6), ("a", 2, "a"): (1, 6),
+    }
+
+
+def test_an_index_is_built_once_for_the_summaries_of_its_groups(spark, monkeypatch):
+    from lectern.plans import retrieval
+
+    built = []
+    chunks = retrieval.chunks
+    monkeypatch.setattr(retrieval, "chunks", lambda *args: built.append(1) or chunks(*args))
+    assert __spark_entry__.queries()["map_reduce_summary"](spark, SF).count() > 0 and len(built) == 1
+
+
+def test_hits_are_found_once_for_their_rerank_scores(spark):
+    plan = __spark_entry__.queries()["apply_rerank_scores"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "qtf" not in plan and "idf" not in plan and plan.count("Window") == 1
