@@ -125,3 +125,47 @@ def test_a_text_of_line_feeds_only_is_cut_like_any_other(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     got = [[(s.title, s.text) for s in r.s] for r in rows.select(chunking.split_sections(F.col("text")).alias("s")).collect()]
     assert got == [[("a", "a\nb"), ("c", "c\nd")], [("", "x"), ("y", "y")], [("", "#no")], [("", "a"), ("b", "b\nc")]]
+
+
+def test_sentences_are_cut_like_by_one_pattern(spark):
+    import random
+
+    rnd = random.Random(5)
+    pieces = ["stack", " ", ".", "!", "?", "；", "。", "[L1]", "[2]", " [W3]", "\n", "\r\n", "- ", "1. ", "# x", "栈", "\u3000", "$1", "\\"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 25))) for _ in range(400)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.s for r in rows.select("i", X.split_sentences(F.col("text")).alias("s")).collect()}
+
+    def plain(text):
+        out = []
+        for line in re.split(r"\r\n|[\n\r]", text):
+            line = line.strip(" \t\u3000")
+            if line and not line.startswith("#"):
+                line = re.sub(r"(?a)^\s*\d+[.)、]\s+", "", re.sub(r"(?a)^\s*[-*+]\s+", "", line))
+                out += re.findall(r"([^。！？!?；;]*[。！？!?；;](?:\s*\[[A-Za-z]?\d+\])*|[^。！？!?；;]+$)", line)
+        return [s for s in (p.strip(" \t\u3000") for p in out) if s]
+
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_a_long_line_without_stops_is_one_sentence(spark):
+    import time
+
+    line = "栈 push. " * 400_000
+    began = time.perf_counter()
+    assert one(spark, line, X.split_sentences) == [line.strip()]
+    assert time.perf_counter() - began < 10
+
+
+def test_counted_tokens_and_keywords(spark):
+    from collections import Counter
+    import random
+
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice(("a", "bb", "Cc", "dd", "ee_1", "F")) for _ in range(rnd.randint(0, 12))) for _ in range(200)] + ["\u0130b \u212aB KB", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("tokens", X.tokenize_lexical(F.col("text")))
+    for r in rows.select("text", "tokens", X.counted(F.col("tokens")).alias("c"), X.pick_keyword(F.col("text")).alias("k"), X.pick_keyword(F.col("text"), F.col("tokens")).alias("known")).distinct().collect():
+        assert r.tokens == [t.lower() for t in re.findall("[A-Za-z0-9_]+", r.text)]
+        assert [(c.token, c.n) for c in r.c] == sorted(Counter(r.tokens).items())
+        seen = [t for t in r.tokens if len(t) > 1]
+        assert r.k == r.known == (max(seen, key=Counter(seen).get) if seen else "核心概念"), r
