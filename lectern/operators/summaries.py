@@ -18,8 +18,10 @@ def representative_chunks(chunks: DataFrame, limit: int = 6) -> DataFrame:
     """The chunks of each course that say most and differ: the first of a file or keyword in the order of distinct
     tokens and length, then the others in that order. chunks: course_id, chunk_index, file_id, tokens, text."""
     variety = F.size(F.array_distinct(F.filter("tokens", lambda t: F.length(t) > 1))).alias("variety")
+    # the tokens of a chunk without a title are those of its text
+    known = F.when(X.text_or_empty(F.col("section_title")) == "", F.col("tokens")) if "section_title" in chunks.columns else None
     # a few numbers of each chunk; the texts of the few that are chosen are fetched at the end
-    rows = materialise(chunks.select("course_id", "chunk_index", "file_id", variety, F.length("text").alias("n_chars"), X.pick_keyword(F.col("text")).alias("keyword")))
+    rows = materialise(chunks.select("course_id", "chunk_index", "file_id", variety, F.length("text").alias("n_chars"), X.pick_keyword(F.col("text"), known).alias("keyword")))
     best = F.struct((-F.col("variety")).alias("less"), (-F.col("n_chars")).alias("shorter"), "chunk_index", "variety", "keyword").alias("c")
     top = lambda df, n, *by: df.withColumn("position", F.row_number().over(Window.partitionBy("course_id").orderBy(*by, "c"))).filter(F.col("position") <= n)
     # firsts are found by aggregations, which combine a hot file or keyword before they shuffle
