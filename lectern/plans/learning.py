@@ -306,8 +306,10 @@ def group_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_reduce_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = S.group_evidence(S.summary_evidence(_representative(spark, sf_dir)))
-    return S.map_reduce_summary(groups, R.index(spark, sf_dir).select("course_id").distinct(), lambda prompt: prompt.split("\n")[0] + f" {len(prompt)}")
+    chunks = R.index(spark, sf_dir)
+    # read twice, for the parts and for the statuses
+    groups = materialise(S.group_evidence(S.summary_evidence(S.representative_chunks(chunks))))
+    return S.map_reduce_summary(groups, chunks.select("course_id").distinct(), lambda prompt: prompt.split("\n")[0] + f" {len(prompt)}")
 
 
 def course_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
