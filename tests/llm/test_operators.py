@@ -486,6 +486,38 @@ def test_units_are_the_text(spark):
             assert substring_dedup._WORDS.findall(text[start:end]) == own[before : before + n]
 
 
+def test_runs_of_fifty_words_are_found_wherever_they_stand(spark):
+    rnd = random.Random(31)
+    texts, places = {}, {}
+    for k in range(30):
+        passage = words(rnd, 50, 90_000)
+        for i in range(4 * k, 4 * k + 4):
+            before = words(rnd, rnd.randint(0, 60), 90_000)
+            texts[i] = f"{before} {passage.upper() if i % 4 == 1 else passage} {words(rnd, rnd.randint(0, 60), 90_000)}"
+            places[i] = (len(before), len(before) + 1 + len(passage))
+    found = substring_dedup.repeated_spans(docs(spark, texts), within=True).collect()
+    assert sorted((r.doc_id, r.first_doc_id) for r in found) == [(i, i - i % 4) for i in texts if i % 4]
+    assert all(places[r.doc_id][0] <= r.start and r.end <= places[r.doc_id][1] and 42 <= r.n_words <= 50 for r in found)
+
+
+def test_texts_that_share_a_run_share_a_passage():
+    rnd = random.Random(32)
+    for n_words in (1, 5, 42):
+        cut = substring_dedup.Passages(n_words)
+        for _ in range(200):
+            few = rnd.choice([2, 9, 9_000])
+            run = words(rnd, n_words + substring_dedup.SLACK, few)
+            one, other = (f"{words(rnd, rnd.randint(0, 90), few)} {run} {words(rnd, rnd.randint(0, 90), few)}" for _ in range(2))
+            shared = {}
+            for i, text in enumerate((one, other)):
+                own = substring_dedup._WORDS.findall(text)
+                for start, end, n, before, digest in cut(text).tolist():
+                    assert substring_dedup._WORDS.findall(text[start:end]) == own[before : before + n] and n == n_words
+                    shared.setdefault(digest, ({}, {}))[i][tuple(own[before : before + n])] = True
+            assert any(a and b for a, b in shared.values())
+            assert all(len(a | b) == 1 for a, b in shared.values())  # equal digests are equal words
+
+
 def test_planted_runs_are_found_in_whole_tables(spark):
     """Recall and false alarms against a search for all runs of 50 words that two documents share, word by word."""
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
