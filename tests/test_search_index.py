@@ -215,3 +215,22 @@ def test_phrases_of_many_questions_in_parts_and_with_runs_that_are_not_kept(tabl
 def test_a_phrase_counts_apart_from_itself_and_inside_runs():
     counter = impact._PhraseCounter([["aa", "ana"], ["栈"*2], ["aa"]], [[1.0, 2.0], [1.0], [3.0]])
     assert counter.scores(["aaaa banana", "栈栈栈 x", ""]) == [[10.0, 0.0, 0.0], [0.0, 2.0, 0.0], [12.0, 0.0, 0.0]]
+
+
+def test_bm25_rank_reads_a_chunk_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = [("c", i, "a.md", "c/a.md", "", f"alpha {'beta ' * (i % 3)}gamma") for i in range(1, 21)] + [("d", 1, "b.md", "d/b.md", "", "alpha")]
+    chunks = spark.createDataFrame(rows, "course_id string, chunk_index long, file_name string, path string, section_title string, text string")
+    once = chunks.withColumn("text", F.udf(read, "string").asNondeterministic()(F.col("text")))
+    queries = lexical.prepare_queries(spark.createDataFrame([(1, "c", "beta")], "query_id long, course_id string, question string"))
+    got = [(r.chunk_index, r.rank) for r in lexical.bm25_rank(queries, once, 3).orderBy("rank").collect()]
+    assert got == [(2, 1), (5, 2), (8, 3)] and seen.value == len(rows)
+    plain = lexical.bm25_scores(queries, lexical.build_postings(chunks), lexical.corpus_stats(chunks))
+    assert [(r.chunk_index, round(r.score, 9)) for r in lexical.ranked(plain, 3).orderBy("rank").collect()] == [
+        (r.chunk_index, round(r.score, 9)) for r in lexical.bm25_rank(queries, chunks, 3).orderBy("rank").collect()
+    ]
