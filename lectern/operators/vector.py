@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,25 +53,28 @@ def token_hash(token: str) -> tuple[int, float]:
 def hash_embed(rows: DataFrame, keys: Sequence[str], text: str = "text", dims: int = 64) -> DataFrame:
     """keys, vector: signed counts of hashed tokens, length one. Distinct tokens are hashed once for each task."""
 
-    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, float]] = {}
         for batch in batches:
             if len(known) > 200_000:
                 known.clear()
-            out = []
-            for tokens in batch["tokens"]:
-                v = np.zeros(dims)
-                for t in tokens:
-                    if t not in known:
-                        known[t] = token_hash(t)
-                    v[known[t][0] % dims] += known[t][1]
-                norm = np.linalg.norm(v)
-                out.append((v / norm if norm else v).tolist())
-            yield batch[list(keys)].assign(vector=out)
+            lists = batch.column("tokens")
+            rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            coded = lists.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            for t in distinct:
+                if t not in known:
+                    known[t] = token_hash(t)
+            hashed = np.array([known[t] for t in distinct]).reshape(-1, 2)[coded.indices.to_numpy(zero_copy_only=False)]
+            v = np.bincount(rows * dims + hashed[:, 0].astype(np.int64) % dims, hashed[:, 1], len(lists) * dims).reshape(-1, dims).astype(float)  # of no tokens numpy counts integers
+            norms = np.linalg.norm(v, axis=1, keepdims=True)
+            v = np.divide(v, norms, out=v, where=norms > 0)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dims), pa.int32()), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), vectors], names=[*keys, "vector"])
 
     ready = rows.select(*keys, X.tokenize_embedding(F.col(text)).alias("tokens"))
     schema = ", ".join(f"{c} {t}" for c, t in ready.drop("tokens").dtypes)
-    return ready.mapInPandas(embed, f"{schema}, vector array<double>")
+    return ready.mapInArrow(embed, f"{schema}, vector array<double>")
 
 
 def embed_with(rows: DataFrame, key: str, text: str, model: Callable[[Sequence[str]], Sequence[Sequence[float]]], batch: int = BATCH) -> DataFrame:
@@ -141,6 +146,63 @@ def vector_search(queries: DataFrame, index: DataFrame, limit: int = 5, min_scor
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
+#: Bytes of the vectors of queries that are sent to all tasks.
+FEW_BYTES = 16 << 20
+
+
+def search_few(queries: DataFrame, index: DataFrame, limit: int, min_score: float | None = None) -> DataFrame | None:
+    """vector_search for queries whose vectors may be sent to all tasks, else None: the index is read once where it is, and
+    of each query a task gives only what may be among its best. ord: a number."""
+    width = F.coalesce(F.sum(F.size("vector") * 8 + F.length(F.col("course_id").cast("string"))), F.lit(0))
+    asked = materialise(queries.select("query_id", "course_id", "vector").filter(F.col("course_id").isNotNull() & F.col("vector").isNotNull()).withColumn("number", F.monotonically_increasing_id()))
+    if asked.agg(width).first()[0] > FEW_BYTES:
+        return None
+    own = asked.select("number", F.col("course_id").cast("string").alias("course"), "vector").toPandas()  # bounded above
+    shared = asked.sparkSession.sparkContext.broadcast({c: (rows["number"].to_numpy(), _unit_rows(rows["vector"])) for c, rows in own.groupby("course")})
+    kinds = dict(index.dtypes)
+    near = index.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("course_id").cast("string").alias("course"), F.col("ord").cast("long").alias("ord"), "vector")
+    names = ["number", "doc_id", "ord", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            courses, docs, ords = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("course", "doc_id", "ord"))
+            vectors = batch.column("vector")
+            flat, sizes = vectors.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            for course in set(courses.tolist()) & shared.value.keys():
+                numbers, wanted = shared.value[course]
+                at = np.flatnonzero(courses == course)
+                if not (sizes[at] == wanted.shape[1]).all():
+                    raise ValueError("vectors of different lengths")
+                scores = np.round(wanted @ _unit_rows(flat[(ends[at] - wanted.shape[1])[:, None] + np.arange(wanted.shape[1])]).T, 12)
+                for number, row in zip(numbers.tolist(), scores, strict=True):
+                    good = np.flatnonzero(row >= max(best[number][0].min() - 2e-9 if number in best and len(best[number][0]) >= limit else -2, -2 if min_score is None else min_score))
+                    if len(good):
+                        s, o, d = (np.concatenate(x) for x in zip(best.get(number, (np.empty(0), np.empty(0, np.int64), np.empty(0, object))), (row[good], ords[at[good]], docs[at[good]]), strict=True))
+                        best[number] = _first_of(s, o, d, limit)
+        for number, (s, o, d) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(s), pa.int64()), pa.array(d, pa.string()), pa.array(o, pa.int64()), pa.array(s, pa.float64())], names=names)
+
+    found = near.mapInArrow(run, "number long, doc_id string, ord long, score double")
+    found = found.join(F.broadcast(asked.select("number", "query_id")), "number")
+    found = found.select("query_id", *(F.col(c).cast(kinds[c]).alias(c) for c in ("doc_id", "ord")), "score")
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "ord")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+
+
+def _first_of(s: np.ndarray, o: np.ndarray, d: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, numbers and ids of those that may be among the first `limit` by score at nine digits, then number."""
+    if len(s) > limit:
+        order = np.lexsort((o, -s))
+        s, o, d = s[order], o[order], d[order]
+        at = np.arange(len(s))
+        same = at - np.maximum.accumulate(np.where(np.concatenate([[True], s[1:] != s[:-1]]), at, 0))
+        keep = (s >= s[limit - 1] - 2e-9) & (same < limit)
+        s, o, d = s[keep], o[keep], d[keep]
+    return s, o, d
+
+
 #: Bytes of centroids up to which they are sent to all executors.
 CENTROID_BYTES = 32 << 20
 
@@ -241,16 +303,20 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, lim
     Tokens are expanded by synonyms for the search, and coverage is of the plain ones. Generated files are left out of
     both lists. A question without a vector hit keeps its lexical hits; one without a token has none."""
     from lectern.operators import lexical as L
-    from lectern.operators.chunking import exclude_generated
+    from lectern.operators.chunking import exclude_generated, is_generated
 
     usable = exclude_generated(chunks)
-    generated = L.sized(chunks.select(F.col("id").alias("doc_id")).join(usable.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"))
+    generated = materialise(chunks.filter(is_generated()).select(F.col("id").alias("doc_id")))
+    kept = usable.select(F.col("id").alias("doc_id")).join(L.sized(generated), "doc_id", "left_semi")  # ids of both kinds of files
+    generated = L.sized(generated.join(kept, "doc_id", "left_anti"))
     asked = materialise(L.prepare_queries(queries))
     candidates = L.fused_candidates(asked, usable, limit).withColumn("tokens", X.tokenize_lexical(L.search_text()))
     first = materialise(L.select_diverse(candidates, 2 * limit))
     lexical = first.select("query_id", "id", F.col("picked").alias("rank"), (1000 * F.col("rrf_score")).alias("score"))
     embedded = hash_embed(asked, ["query_id", "course_id"], "normalized", dims)
-    near = materialise(vector_search(embedded, vectors.join(generated, "doc_id", "left_anti"), max(4 * limit, 12), 0.2).withColumnRenamed("doc_id", "id"))
+    near, most = vectors.join(generated, "doc_id", "left_anti"), max(4 * limit, 12)
+    few = search_few(embedded, near, most, 0.2) if dict(vectors.dtypes)["ord"] in ("int", "bigint") else None
+    near = materialise((vector_search(embedded, near, most, 0.2) if few is None else few).withColumnRenamed("doc_id", "id"))
     merged = hybrid_merge(lexical, near, max(4 * limit, 12))
     met = merged.join(near.select("query_id").distinct(), "query_id", "left_semi")
     known = met.join(first.select("query_id", "id", "tokens", "rerank_score"), ["query_id", "id"], "left")

@@ -536,7 +536,7 @@ def approximate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = R.index(spark, sf_dir)
+    chunks = materialise(R.chunks(spark, sf_dir).drop("tokens"))  # its tokens are those of the texts
     vectors = V.hash_embed(chunks, ["id", "course_id", "chunk_index"]).withColumnsRenamed({"id": "doc_id", "chunk_index": "ord"})
     hits = V.hybrid_search(I.questions(spark, sf_dir), chunks, vectors)
     terms = F.array_join("matched_terms", " ").alias("matched_terms")

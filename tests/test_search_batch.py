@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import batch, lexical
+from lectern.operators import batch, lexical, vector
 
 WORDS = ["de", "aa", "aaa", "banana", "ana", "the", "a", "x9", "12", "2024", "stack", "internationalisation", "internationally", "queue_item", "Straße", "İstanbul", "Kelvin"]
 ODD = ["队列", "后进先出", "缓存页表", "栈", "tlb页", "\U0001f600\U0001f600", "什么", "程" * 9]
@@ -81,3 +81,39 @@ def test_questions_of_too_many_terms_are_scored_as_before(odd, monkeypatch):
     monkeypatch.setattr(batch, "ASKED_TERMS", 3)
     assert batch.best_chunks(["semantic"], queries, chunks, 5) is None
     assert own == {tuple(r) for r in lexical.leg_rank("semantic", queries, chunks, 5).select("query_id", "rank", "chunk_index").collect()} and len(own) > 40
+
+
+@pytest.mark.parametrize("least", [None, 0.2])
+def test_a_search_of_few_vectors_equals_the_search_in_blocks(spark, least):
+    rnd = random.Random(2)
+    some = [[rnd.choice([-1.0, 0.0, 1.0]) for _ in range(4)] for _ in range(12)] + [[0.0] * 4]
+    index = spark.createDataFrame([(f"d{i}", f"c{i % 3}", i, rnd.choice(some)) for i in range(400)], "doc_id string, course_id string, ord long, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([(2**53 + 2 * i + 1, f"c{i % 4}", some[i]) for i in range(13)] + [(7, None, some[0])], "query_id long, course_id string, vector array<double>")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(n):
+        read.add(1)
+        return n
+
+    once = index.withColumn("ord", F.udf(seen, "long").asNondeterministic()("ord"))
+    got = {(r.query_id, r["rank"], r.doc_id, r.ord, round(r.score, 9)) for r in vector.search_few(queries, once, 5, least).collect()}
+    assert read.value == 400 and len(got) > 30
+    assert got == {(r.query_id, r["rank"], r.doc_id, r.ord, round(r.score, 9)) for r in vector.vector_search(queries, index, 5, least, block=64).collect()}
+
+
+def test_a_search_of_many_vectors_goes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector, "FEW_BYTES", 8)
+    queries = spark.createDataFrame([(1, "c", [1.0, 0.0])], "query_id int, course_id string, vector array<double>")
+    assert vector.search_few(queries, queries.select(F.col("query_id").alias("doc_id"), "course_id", F.lit(1).alias("ord"), "vector"), 5) is None
+
+
+def test_vectors_of_texts_without_tokens_and_null_ids(spark):
+    rows = spark.createDataFrame([(2**53 + 1, "alpha beta alpha"), (None, ""), (3, None), (4, "栈 x 队")], "id long, text string")
+    got = {r.id: r.vector for r in vector.hash_embed(rows, ["id"], dims=8).collect()}
+    assert set(got) == {2**53 + 1, None, 3, 4} and got[None] == got[3] == [0.0] * 8
+    v = [0.0] * 8
+    for token in ("alpha", "beta", "alpha"):
+        at, sign = vector.token_hash(token)
+        v[at % 8] += sign
+    norm = sum(x * x for x in v) ** 0.5
+    assert got[2**53 + 1] == pytest.approx([x / norm for x in v])
